@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import quality
+from cohortspark.llm import bpe, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +20,23 @@ def op10_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("fingerprint_bits")).alias("fingerprint"), "component_id")
+
+
+def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and of the decoded text of every document."""
+    coded = bpe.encode_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES = {
+    "op4_bpe_automaton": op4_bpe_automaton,
+    "op9_simhash_near_dup": op9_simhash_near_dup,
     "op10_quality_llr": op10_quality_llr,
 }
 
