@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bpe, quality, simhash
+from cohortspark.llm import bpe, quality, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +34,20 @@ def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secret_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document: counts and digest of the base kinds, and all spans."""
+    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    spans = F.col("spans")
+    return found.select(
+        "doc_id",
+        *[secrets.count_of(spans, kind).alias(f"n_{kind}") for kind in secrets.BASE_KINDS],
+        F.sha2(secrets.spans_text(spans, secrets.BASE_KINDS), 256).alias("base_sha256"),
+        secrets.spans_text(spans).alias("spans"),
+    )
+
+
 QUERIES = {
+    "op3_secret_structure": op3_secret_structure,
     "op4_bpe_automaton": op4_bpe_automaton,
     "op9_simhash_near_dup": op9_simhash_near_dup,
     "op10_quality_llr": op10_quality_llr,
