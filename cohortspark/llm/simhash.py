@@ -85,12 +85,15 @@ def segment_counts(bits: Column) -> Column:
 
 
 def _groups_for(n: int, max_bits: int) -> int:
-    """The number of groups with the least work per fingerprint: copies (64 each) plus expected partners."""
+    """The number of groups with the least work per fingerprint: copies (64 each) plus expected partners.
+
+    With one group more than bits, a single choice keeps only 13 bits of counts; the range starts above that.
+    """
     def work(groups: int) -> float:
         keys = comb(groups, max_bits)
         return keys * 64 + keys * n * 0.375 ** (_SEGMENTS * (groups - max_bits) / groups)
 
-    return min(range(max_bits + 1, max_bits + 7), key=work)
+    return min(range(max_bits + 2, max_bits + 7), key=work)
 
 
 def _signed(mask: int) -> int:
