@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bpe, quality, secrets, simhash
+from cohortspark.llm import bpe, mixing, oracles, quality, secrets, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,11 +46,42 @@ def op3_secret_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, by row counts."""
+    docs = _table(spark, sf_dir, "documents")
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size")
+    thin = docs.select("doc_id", size, F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    placed = sharding.sharded(thin, ["doc_id", "text_crc32", "size"])
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op5_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that the mix of its source takes."""
+    docs = _table(spark, sf_dir, "documents")
+    mixed, sizes, quotas = mixing.mix(docs)
+    sources = mixing.source_table(docs, sizes, quotas)
+    joined = mixed.alias("m").join(F.broadcast(sources).alias("s"), F.col("m.source").eqNullSafe(F.col("s.source")))
+    taken = (F.col("size") * F.col("copies")).cast("long").alias("taken")
+    return joined.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), taken)
+
+
 QUERIES = {
+    "op1_feistel_shards": op1_feistel_shards,
+    "op5_flow_mix": op5_flow_mix,
     "op3_secret_structure": op3_secret_structure,
     "op4_bpe_automaton": op4_bpe_automaton,
     "op9_simhash_near_dup": op9_simhash_near_dup,
     "op10_quality_llr": op10_quality_llr,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_flow_mix": oracles.MIX,
+}
