@@ -82,12 +82,19 @@ class Permutation:
         return F.aggregate(turns, first, turn, lambda s: s["l"] * self.b + s["r"])
 
     def _longest_walk(self, spark: SparkSession) -> int:
-        """How many further steps a number that landed at n or above may need."""
-        at, steps = spark.range(self.n, self.a * self.b), 0
-        while not at.isEmpty():
+        """How many further steps a number that landed at n or above may need.
+
+        Each step, every path through the numbers from n on loses one of them to below n, until only cycles that no
+        number below n enters are left: then the count stays.
+        """
+        at, steps, left = spark.range(self.n, self.a * self.b), 0, self.a * self.b - self.n
+        while left:
             at = staged(at.select(self._step(F.col("id")).alias("id")).where(F.col("id") >= self.n))
+            before, left = left, at.count()
+            if left == before:
+                break
             steps += 1
-        return steps
+        return steps + bool(left)
 
     def _walk(self, x: Column, back: bool) -> Column:
         once = self._step(x, back)
