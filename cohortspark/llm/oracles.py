@@ -38,3 +38,39 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
        (size * (passes + CASE WHEN rest > 0 AND 2 * upto - own < 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM steps
 """
+
+COSINE_COMPONENTS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+   AND list_cosine_similarity(a.x, b.x) >= 0.93
+), reach AS (
+  SELECT vec_id AS node, vec_id AS root FROM embeddings
+  UNION
+  SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node WHERE r.root < l.b
+), least AS (
+  SELECT node, min(root) AS component_id FROM reach GROUP BY node
+)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id)::BIGINT AS n_links, c.component_id,
+       e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN least c ON c.node = e.vec_id
+"""
+
+WARC = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), d AS (
+  SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS digest
+  FROM p
+), g AS (SELECT hex, max(page_id) AS response FROM d GROUP BY hex)
+SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = response THEN NULL ELSE response END AS refers_to
+FROM d JOIN g USING (hex)
+"""

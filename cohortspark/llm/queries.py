@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bpe, mixing, oracles, quality, secrets, sharding, simhash
+from cohortspark.llm import bpe, embeddings, mixing, oracles, quality, secrets, sharding, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +73,20 @@ def op5_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), taken)
 
 
+def op8_int8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and verdict of every vector."""
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as archives and read back."""
+    read = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
+    "op7_warc_zstd": op7_warc_zstd,
+    "op8_int8_near_dup": op8_int8_near_dup,
     "op1_feistel_shards": op1_feistel_shards,
     "op5_flow_mix": op5_flow_mix,
     "op3_secret_structure": op3_secret_structure,
@@ -83,5 +96,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op7_warc_zstd": oracles.WARC,
+    "op8_int8_near_dup": oracles.COSINE_COMPONENTS,
     "op5_flow_mix": oracles.MIX,
 }
