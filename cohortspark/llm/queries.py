@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bpe, embeddings, mixing, oracles, quality, secrets, sharding, simhash, warc
+import corpus_pipeline
+from cohortspark.llm import bpe, embeddings, mixing, oracles, quality, rollups, secrets, sharding, simhash, urls, warc
+from cohortspark.llm.shared import shared_folder, staged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,7 +86,38 @@ def op7_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_url_association(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    labelled = urls.labelled_urls(pages, _table(spark, sf_dir, "labels"))
+    return urls.judge(pages, labelled).select("page_id", "host", "path", "rule", "verdict", "blocked_by")
+
+
+def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: all documents come in, exact copies leave, every count is revised by its end token.
+
+    The second batch is applied twice, as after a lost acknowledgement; the totals must not show it.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    version = "word_bpe_49k"
+    tokens = rollups.count_tokens(spark, F.col("text"))
+    counted = staged(docs.select("doc_id", "source", "lang", F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("sha"), tokens.alias("n")))
+    store = rollups.Store(spark, shared_folder(spark))
+    store.commit(1, rollups.changes_of(counted, "insert", version, 1, F.col("n")))
+    first = staged(counted.groupBy("h", "sha").agg(F.min("doc_id").alias("first_id")))
+    copies = counted.join(first.hint("merge"), ["h", "sha"]).where("doc_id > first_id")
+    copies = staged(copies.select("doc_id", "source", "lang", "n"))
+    leave = rollups.changes_of(copies, "delete", version, 2, F.lit(None))
+    for _ in range(2):
+        store.commit(2, leave)
+    store.commit(3, rollups.changes_of(store.ledger(), "revise", version, 3, F.col("n_tokens") + 1))
+    return store.totals()
+
+
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op6_token_rollups": op6_token_rollups,
+    "op2_url_association": op2_url_association,
     "op7_warc_zstd": op7_warc_zstd,
     "op8_int8_near_dup": op8_int8_near_dup,
     "op1_feistel_shards": op1_feistel_shards,
