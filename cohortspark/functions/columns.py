@@ -54,7 +54,8 @@ def hours_between(earlier: Column, later: Column) -> Column:
 def prorated(amount: Column, observed: Column, original: Column) -> Column:
     """An interval's amount scaled to its observed part; an interval without length counts in full."""
     share = F.try_divide(observed, F.when(original > 0, original))
-    return amount * F.coalesce(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)), F.lit(1.0))
+    within = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))  # these skip nulls, so the null is tested first
+    return amount * F.when(share.isNull(), F.lit(1.0)).otherwise(within)
 
 
 def decimal_rounded(value: Column, digits: int = 3) -> Column:
