@@ -29,8 +29,9 @@ BUCKETS = 8192
 ORDER = 1
 #: Trusted documents are at most so many labelled ones, those with the smallest hash of their id.
 TRUSTED_LIMIT = 20_000
-#: Mean log-likelihood ratio below which a document goes.
-THRESHOLD = -0.15
+#: Mean log-likelihood ratio below which a document goes. Labelled good documents lie above -0.1 at every size tried;
+#: small corpora widen the spread of unlabelled ones.
+THRESHOLD = -0.2
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
