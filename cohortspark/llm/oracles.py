@@ -74,3 +74,47 @@ SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, digest AS payloa
        CASE WHEN page_id = response THEN NULL ELSE response END AS refers_to
 FROM d JOIN g USING (hex)
 """
+
+
+def _nibble_table() -> str:
+    """CRC-32 of the 16 half bytes (reflected polynomial 0xEDB88320), as a SQL list."""
+    values = []
+    for half in range(16):
+        for _ in range(4):
+            half = (half >> 1) ^ (0xEDB88320 if half & 1 else 0)
+        values.append(half)
+    return "list_value(" + ", ".join(f"{v}::BIGINT" for v in values) + ")"
+
+
+_BYTE = "xor(c, b)"
+for _ in range(2):
+    _BYTE = f"xor(({_BYTE}) >> 4, list_extract({_nibble_table()}, (({_BYTE}) & 15) + 1))"
+
+
+def _drawn(turn: int, half: str, below: str) -> str:
+    return f"(('0x' || substr(md5('11:{turn}:' || ({half})), 1, 15))::BIGINT % {below})"
+
+
+#: Row numbers by rank, then four rounds on (left, right) and a walk by recursion.
+SHARDS = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS bytes,
+         xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+             lambda c, b: {_BYTE}), 4294967295) AS text_crc32
+  FROM documents
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, bytes) - 1 AS row_no FROM docs
+), dims AS (
+  SELECT n, a, CAST(ceil(n::DOUBLE / a) AS BIGINT) AS b
+  FROM (SELECT count(*) AS n, floor(sqrt(count(*) - 1))::BIGINT + 1 AS a FROM documents)
+), walk AS (
+  SELECT row_no, row_no AS spot, 0 AS step FROM ranked
+  UNION ALL
+  SELECT row_no, l4 * b + (r2 + {_drawn(4, "l4", "b")}) % b AS spot, step + 1
+  FROM (SELECT *, (l2 + {_drawn(3, "r2", "a")}) % a AS l4 FROM
+    (SELECT *, (spot % b + {_drawn(2, "l2", "b")}) % b AS r2 FROM
+      (SELECT *, (spot // b + {_drawn(1, "spot % b", "a")}) % a AS l2 FROM walk, dims WHERE step = 0 OR spot >= n)))
+)
+SELECT doc_id, (bytes + 1)::BIGINT AS size, text_crc32, 'rows' AS law, (spot % 8)::INT AS shard, (spot // 8)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM ranked JOIN (SELECT row_no, arg_max(spot, step) AS spot FROM walk GROUP BY row_no) USING (row_no)
+"""

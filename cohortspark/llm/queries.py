@@ -94,7 +94,7 @@ def op2_url_association(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four batches: all documents come in, exact copies leave, every count is revised by its end token.
+    """Totals after three batches: all documents come in, exact copies leave, every count is revised by its end token.
 
     The second batch is applied twice, as after a lost acknowledgement; the totals must not show it.
     """
@@ -129,6 +129,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_feistel_shards": oracles.SHARDS,
     "op7_warc_zstd": oracles.WARC,
     "op8_int8_near_dup": oracles.COSINE_COMPONENTS,
     "op5_flow_mix": oracles.MIX,
