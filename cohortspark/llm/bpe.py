@@ -29,8 +29,10 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_ARCS = 150_000
-MAX_WORDS = 300_000
+from cohortspark.llm.shared import bounded_batches
+
+MAX_ARCS = 120_000
+MAX_WORDS = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -54,7 +56,7 @@ class Gadgets:
         self._empty()
 
     def _empty(self) -> None:
-        self.arcs: dict[tuple[int, int | None], tuple[int, tuple[int, ...]]] = {}
+        self.arcs: dict[tuple[int, int], tuple[int, tuple[int, ...]]] = {}
         self.states: list[tuple] = [()]
         self.numbers: dict[tuple, int] = {(): 0}
 
@@ -66,18 +68,16 @@ class Gadgets:
         at = bisect_left(ranks, first)
         return ranks[at] if at < len(ranks) else inf
 
-    def _compile(self, state: tuple, symbol: int | None) -> tuple[tuple, tuple[int, ...]]:
-        """The state after ``symbol`` (None: the end) and the tokens emitted.
+    def _compile(self, state: tuple, symbol: int) -> tuple[tuple, tuple[int, ...]]:
+        """The state after ``symbol`` and the tokens emitted.
 
         ``held`` lists [token, rank of its gadget], foremost first: ranks fall, the newcomer is last.
         """
-        held = list(state)
-        if symbol is not None:
-            held.append((symbol, 0))
+        held = [*state, (symbol, 0)]
         rank_of, n = self.rank.get, len(held)
-        while n:
+        while True:
             # How far each token gets: the last to its own gadget, each other only as far as it is pushed.
-            stop = inf if symbol is None else self._held_at(*held[-1])
+            stop = self._held_at(*held[-1])
             stops, best, at = [stop], inf, -1
             for i in range(n - 2, -1, -1):
                 token, rank = held[i]
@@ -93,36 +93,52 @@ class Gadgets:
                 break
             held[at : at + 2] = [(self.merged[best], best + 1)]
             n -= 1
-        if not n:
-            return (), ()
         stops.reverse()
         rest = n - len(stops)
         moved = tuple((t, s) for (t, _), s in zip(held[rest:], stops, strict=True) if s != inf)
         out = tuple(t for (t, _), s in zip(held[rest:], stops, strict=True) if s == inf)
         return (*held[:rest], *moved), out
 
+    def _finish(self, held: list[tuple[int, int]]) -> list[int]:
+        """Tokens that leave the gadgets when the word ends behind ``held``: nothing stops on the way."""
+        tokens, ranks = [t for t, _ in held], [r for _, r in held]
+        rank_of = self.rank.get
+        while True:
+            best, at = inf, -1
+            for i in range(len(tokens) - 1):
+                rank = rank_of((tokens[i], tokens[i + 1]), -1)
+                if ranks[i] <= rank < best:
+                    best, at = rank, i
+            if at < 0:
+                return tokens
+            tokens[at : at + 2] = [self.merged[best]]
+            ranks[at : at + 2] = [best + 1]
+
     def run(self, symbols: list[int]) -> list[int]:
-        """Tokens of one word."""
+        """Tokens of one word.
+
+        Where the table has no arc, one is compiled, and the rest of the word goes through the gadgets at once: the
+        table grows by an arc per new word, towards the prefixes that occur again and again.
+        """
         if len(self.arcs) > self.max_arcs:
             self._empty()
         state, out = 0, []
-        for symbol in (*symbols, None):
-            if symbol is None and state == 0:
-                break
+        for at, symbol in enumerate(symbols):
             arc = self.arcs.get((state, symbol))
             if arc is None:
-                after, emitted = self._compile(self.states[state], symbol)
-                if not after:  # back at the start, as after any word's last byte: the word table keeps what it emits
-                    state = 0
+                rest = at
+                if at + 1 < len(symbols):
+                    after, emitted = self._compile(self.states[state], symbol)
+                    number = self.numbers.setdefault(after, len(self.states))
+                    if number == len(self.states):
+                        self.states.append(after)
+                    self.arcs[state, symbol] = (number, emitted)
+                    state, rest = number, at + 1
                     out.extend(emitted)
-                    continue
-                number = self.numbers.setdefault(after, len(self.states))
-                if number == len(self.states):
-                    self.states.append(after)
-                arc = self.arcs[state, symbol] = (number, emitted)
+                return out + self._finish([*self.states[state], *[(s, 0) for s in symbols[rest:]]])
             state = arc[0]
             out.extend(arc[1])
-        return out
+        return out + self._finish(list(self.states[state]))
 
 
 class _Words(dict):
@@ -213,6 +229,7 @@ def tokenizer_file(path: str | None = None) -> bytes:
 
 def encoded(spark: SparkSession, text: Column, path: str | None = None) -> Column:
     """A struct (ids binary: little-endian unsigned 32-bit integers, decoded string) of each text."""
+    bounded_batches(spark)
     file = spark.sparkContext.broadcast(tokenizer_file(path))
 
     @F.pandas_udf("ids binary, decoded string")
@@ -236,6 +253,7 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str | None = Non
 
 def decoded(spark: SparkSession, ids: Column, path: str | None = None) -> Column:
     """The text of packed ids: each token's label, joined by a space."""
+    bounded_batches(spark)
     file = spark.sparkContext.broadcast(tokenizer_file(path))
 
     @F.pandas_udf("string")

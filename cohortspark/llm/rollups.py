@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm import bpe
-from cohortspark.llm.shared import drop_folder
+from cohortspark.llm.shared import bounded_batches, drop_folder
 
 GROUP = ("source", "lang", "tokenizer_version")
 _LEDGER = "doc_id long, tokenizer_version string, source string, lang string, n_tokens long, alive boolean, batch long"
@@ -31,6 +31,7 @@ _DELTAS = "source string, lang string, tokenizer_version string, n_docs long, n_
 
 def count_tokens(spark: SparkSession, text: Column, path: str | None = None) -> Column:
     """Number of tokens of each text (null: 0), by the tokenizer file of ``bpe``."""
+    bounded_batches(spark)
     file = spark.sparkContext.broadcast(bpe.tokenizer_file(path))
 
     @F.pandas_udf("long")

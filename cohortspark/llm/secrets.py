@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortspark.llm.shared import bounded_batches, fresh
+
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "key", "token")
 MASK = "[SECRET]"
@@ -194,7 +196,9 @@ def _masked(texts: pd.Series) -> pd.Series:
 
 def scan(docs: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:
     """``docs`` and an array of structs (kind, start, end) of the spans of each text."""
-    parts = F.split(F.col("spans_found"), ",")
+    bounded_batches(docs.sparkSession)
+    found = fresh(docs, "spans_found")
+    parts = F.split(F.col(found), ",")
     spans = F.transform(
         F.filter(parts, lambda p: p != ""),
         lambda p: F.struct(
@@ -203,8 +207,8 @@ def scan(docs: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:
             F.split(p, ":")[2].cast("int").alias("end"),
         ),
     )
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (name.lower(), "spans_found")]
-    return docs.select(*kept, _spans(F.col(text)).alias("spans_found")).withColumn(name, spans).drop("spans_found")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()]
+    return docs.select(*kept, _spans(F.col(text)).alias(found)).withColumn(name, spans).drop(found)
 
 
 def spans_text(spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:
@@ -219,15 +223,17 @@ def count_of(spans: Column, kind: str) -> Column:
 
 def mask_documents(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """``docs`` with secrets masked; a column of text lengths, if there is one, follows where the text changed."""
-    new = docs.withColumn("masked_text", _masked(F.col(text)))
-    changed = ~F.col("masked_text").eqNullSafe(F.col(text))
+    bounded_batches(docs.sparkSession)
+    other = fresh(docs, "masked_text")
+    new = docs.withColumn(other, _masked(F.col(text)))
+    changed = ~F.col(other).eqNullSafe(F.col(text))
     columns = []
     for c in docs.columns:
         if c == text:
-            columns.append(F.col("masked_text").alias(c))
+            columns.append(F.col(other).alias(c))
         elif c == length:
             kind = docs.schema[c].dataType
-            columns.append(F.when(changed, F.length("masked_text").cast(kind)).otherwise(F.col(c)).alias(c))
-        elif c.lower() != "masked_text":
+            columns.append(F.when(changed, F.length(other).cast(kind)).otherwise(F.col(c)).alias(c))
+        else:
             columns.append(F.col(f"`{c}`"))
     return new.select(*columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\f\r"
+#: What goes to Python in one Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 #: The same as a Java pattern for one or more of them.
 SPACES_PATTERN = "[ \\t-\\r]+"
 
@@ -36,6 +39,18 @@ def staged(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session hand Python at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` at once, as texts may be long.
+
+    These settings hold for the session's later queries too; smaller ones are left alone.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = int(re.sub(r"\D", "", spark.conf.get(name)) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder of staged rows that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm.components import connected_components
-from cohortspark.llm.shared import fresh, shared_folder, staged
+from cohortspark.llm.shared import bounded_batches, fresh, staged
 
 WORDS = 4
 MAX_BITS = 4
@@ -65,6 +65,7 @@ def fingerprint_bytes(text: str | None, words: int = WORDS, seed: int = SEED) ->
 
 def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint_bits", words: int = WORDS) -> DataFrame:
     """``docs`` and the fingerprint of each text as a signed long."""
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def fingerprint(texts: pd.Series) -> pd.Series:
@@ -146,7 +147,6 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 def link_forest(reps: DataFrame, bits: str, max_bits: int = MAX_BITS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints whose components are those of all links of at most ``max_bits``."""
-    spark = reps.sparkSession
     groups = _groups_for(reps.count(), max_bits)
     masks = _group_masks(groups)
     keys = list(combinations(range(groups), groups - max_bits))

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm.shared import fresh, shared_folder, staged
+from cohortspark.llm.shared import bounded_batches, fresh, shared_folder, staged
 
 #: Magic number of the skippable frame that holds a dictionary.
 SKIPPABLE = 0x184D2A5D
@@ -168,22 +168,22 @@ def train_dictionary(pages: DataFrame, payload: str = "html") -> bytes:
 
 def with_roles(pages: DataFrame, min_bytes: int = 0, payload: str = "html") -> DataFrame:
     """``pages`` with kind (response or revisit) and refers_to."""
-    place, digest = fresh(pages, "record_place"), fresh(pages, "record_digest")
+    place, digest, first = (fresh(pages, f"record_{c}") for c in ("place", "digest", "first"))
     body = F.coalesce(F.col(payload), F.lit(""))
     marked = pages.withColumn(place, F.monotonically_increasing_id()).withColumn(digest, F.sha1(body.cast("binary")))
     thin = marked.where(F.octet_length(body) >= min_bytes).select(
         F.col(digest).alias("digest"), F.struct(F.col("page_id").alias("id"), F.col(place).alias("place")).alias("one")
     )
-    groups = thin.groupBy("digest").agg(F.max("one").alias("first"), F.count("*").alias("n")).where("n > 1")
-    groups = staged(groups.select(F.col("digest").alias(digest), "first"))
+    groups = thin.groupBy("digest").agg(F.max("one").alias(first), F.count("*").alias("n")).where("n > 1")
+    groups = staged(groups.select(F.col("digest").alias(digest), first))
     groups = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups.hint("merge")
     joined = marked.join(groups, digest, "left")
-    other = F.col("first").isNotNull() & (F.col("first.place") != F.col(place))
+    other = F.col(first).isNotNull() & (F.col(f"{first}.place") != F.col(place))
     other = other & (F.octet_length(body) >= min_bytes)
     return joined.select(
         *[F.col(f"`{c}`") for c in pages.columns],
         F.when(other, "revisit").otherwise("response").alias("kind"),
-        F.when(other, F.col("first.id")).alias("refers_to"),
+        F.when(other, F.col(f"{first}.id")).alias("refers_to"),
     )
 
 
@@ -261,4 +261,5 @@ def _text(value: int | None) -> str | None:
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Pages written to archives in the shared folder and read back."""
     spark = pages.sparkSession
+    bounded_batches(spark)
     return read_archives(spark, write_archives(pages, shared_folder(spark), min_bytes))

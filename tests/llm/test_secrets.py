@@ -90,7 +90,7 @@ def test_query(spark):
 
 def test_mask(spark):
     rows = [(1, "my token = abcdefghijklmnop here", 32, "a"), (2, None, None, "b"), (3, "", 0, "c"), (3, "", 0, "c"), (None, "x" * 200_000, 9, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, masked_text string")
     got = sorted(map(tuple, secrets.mask_documents(docs).collect()), key=str)
     assert got == sorted([(1, "my [SECRET] here", 16, "a"), *rows[1:]], key=str)
     assert secrets.scan(docs).where(F.size("spans") > 0).count() == 1
