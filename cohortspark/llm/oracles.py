@@ -118,3 +118,51 @@ WITH RECURSIVE docs AS (
 SELECT doc_id, (bytes + 1)::BIGINT AS size, text_crc32, 'rows' AS law, (spot % 8)::INT AS shard, (spot // 8)::BIGINT AS slot, NULL::INT AS grown_shard
 FROM ranked JOIN (SELECT row_no, arg_max(spot, step) AS spot FROM walk GROUP BY row_no) USING (row_no)
 """
+
+_HOST = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+
+#: Token sets of up to three tokens counted outright, subsets pruned, the best fixed rule by length.
+URLS = f"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, {_HOST} AS host, {_PATH} AS path, row_number() OVER () AS n FROM pages
+), t AS (
+  SELECT DISTINCT n, unnest(list_concat(
+    CASE WHEN regexp_extract(url, '(?s)^([A-Za-z0-9+.-]*)://', 1) <> '' THEN ['scheme:' || lower(regexp_extract(url, '(?s)^([A-Za-z0-9+.-]*)://', 1))] ELSE [] END,
+    list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'host:' || x),
+    list_transform(list_filter(string_split_regex(lower(path), '[/.]'), lambda x: x <> '' AND NOT regexp_full_match(x, '[0-9]+')), lambda x: 'path:' || x),
+    list_transform(list_filter(list_transform(string_split(regexp_extract(url, '(?s)[?]([^#]*)', 1), '&'), lambda x: string_split(x, '=')[1]), lambda x: x <> ''), lambda x: 'query:' || x)
+  )) AS tok FROM p WHERE host <> ''
+), l AS (
+  SELECT doc_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels GROUP BY 1
+), marked AS (
+  SELECT p.n, l.bad FROM p JOIN l ON l.doc_id = try_cast(nullif(regexp_extract(p.path, '/([0-9]{{1,18}})(?:[^0-9/][^/]*)?/?$', 1), '') AS BIGINT)
+  WHERE l.bad IS NOT NULL AND p.host <> ''
+), mt AS (
+  SELECT t.n, t.tok, m.bad FROM t JOIN marked m USING (n)
+), least AS (
+  SELECT greatest(10, 0.002 * count(*)) AS hits, greatest(0.6, 2.0 * sum(bad) / count(*)) AS confidence FROM marked
+), often AS (
+  SELECT tok FROM mt GROUP BY tok HAVING sum(bad) >= (SELECT hits FROM least)
+), o AS (
+  SELECT mt.* FROM mt SEMI JOIN often USING (tok)
+), sets AS (
+  SELECT [tok] AS r, sum(bad) AS hits, count(*) AS freq FROM o GROUP BY 1
+  UNION ALL SELECT [a.tok, b.tok], sum(a.bad), count(*) FROM o a JOIN o b ON a.n = b.n AND a.tok < b.tok GROUP BY 1
+  UNION ALL SELECT [a.tok, b.tok, c.tok], sum(a.bad), count(*) FROM o a JOIN o b ON a.n = b.n AND a.tok < b.tok JOIN o c ON a.n = c.n AND b.tok < c.tok GROUP BY 1
+), strong AS (
+  SELECT r FROM sets, least l WHERE sets.hits >= l.hits AND sets.hits / freq >= l.confidence
+), rules AS (
+  SELECT r FROM strong s WHERE NOT EXISTS (SELECT 1 FROM strong q WHERE len(q.r) < len(s.r) AND len(list_intersect(q.r, s.r)) = len(q.r))
+), met AS (
+  SELECT n, min(array_to_string(r, ' ')) AS blocked_by
+  FROM (SELECT n, list(tok) AS toks FROM t GROUP BY n) x, rules WHERE len(list_intersect(x.toks, r)) = len(r) GROUP BY n
+), fixed AS (
+  SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) f(h, x, v)
+), best AS (
+  SELECT n, arg_max(h || x, len(h || x)) AS rule, arg_max(v, len(h || x)) AS v FROM p, fixed
+  WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, x) GROUP BY n
+)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN blocked_by IS NULL THEN 'allow' ELSE 'block' END) AS verdict, blocked_by
+FROM p LEFT JOIN best USING (n) LEFT JOIN met USING (n)
+"""

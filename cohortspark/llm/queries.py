@@ -132,5 +132,6 @@ ORACLES: dict[str, str] = {
     "op1_feistel_shards": oracles.SHARDS,
     "op7_warc_zstd": oracles.WARC,
     "op8_int8_near_dup": oracles.COSINE_COMPONENTS,
+    "op2_url_association": oracles.URLS,
     "op5_flow_mix": oracles.MIX,
 }

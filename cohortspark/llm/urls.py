@@ -37,6 +37,8 @@ BAD = "!bad"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
 MIN_LIFT = 2.0
+#: Whatever the share, a rule has met at least so many bad urls.
+MIN_HITS = 10
 #: A rule of more tokens than this is never minimal in practice and would make mining deep.
 MAX_TOKENS = 3
 #: Up to so many index rows, the index is sent to every task.
@@ -93,7 +95,7 @@ def mine_rules(
     if not bad:
         return spark.createDataFrame([], schema)
     # Only sets that occur with the mark matter: tokens that are rare among the bad are taken out before mining.
-    least = max(2, min_support * total)
+    least = max(MIN_HITS, min_support * total)
     often = rows.where("bad").select(F.explode("items").alias("item")).groupBy("item").count().where(F.col("count") >= least)
     often = [r["item"] for r in often.orderBy(F.desc("count"), "item").collect()]  # at most items per url / min_support
     keep = F.lit(None).cast("array<string>") if not often else F.array(*map(F.lit, often))

@@ -39,7 +39,7 @@ def tokens(url):
 def brute_rules(rows, support, confidence, lift):
     sets = [(tokens(u), b) for u, b in rows]
     share = sum(b for _, b in sets) / len(sets)
-    least = max(2, support * len(sets))
+    least = max(urls.MIN_HITS, support * len(sets))
     found = {}
     for size in (1, 2, 3):
         for combo in {c for t, b in sets if b for c in itertools.combinations(sorted(t), size)}:
