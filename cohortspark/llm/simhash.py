@@ -18,7 +18,7 @@ get equal results. An empty table gives an empty result. Columns other than the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.llm import shingles
 from cohortspark.llm.components import connected_components
 from cohortspark.llm.shared import bounded_batches, fresh, staged
 
@@ -232,42 +233,57 @@ def link_forest(reps: DataFrame, bits: str, max_bits: int = MAX_BITS) -> DataFra
     return dealt.mapInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, words: int = WORDS
+) -> DataFrame:
     """One row per document: doc_id, fingerprint_bits and component_id (the least doc_id of its component)."""
-    marked = with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    marked = with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words=words)
     return with_components(staged(marked.select("doc_id", "fingerprint_bits")), max_bits)
 
 
 def with_components(marked: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``marked`` (doc_id, fingerprint_bits, ...; a written table) with component_id."""
-    reps = marked.groupBy("fingerprint_bits").agg(F.min("doc_id").alias("least_id"))
+    return joined_components(marked, "fingerprint_bits", lambda reps: link_forest(reps, "fingerprint_bits", max_bits))
+
+
+def joined_components(marked: DataFrame, node: str, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``marked`` (doc_id, the column ``node``, ...) with component_id; ``links`` makes edges from the distinct nodes."""
+    reps = marked.groupBy(node).agg(F.min("doc_id").alias("least_id"))
     reps = staged(reps)
-    linked = connected_components(link_forest(reps, "fingerprint_bits", max_bits))
-    linked = staged(
-        linked.select(F.col("node").alias("fingerprint_bits"), "root").join(reps.hint("merge"), "fingerprint_bits")
-    )
+    linked = connected_components(links(reps))
+    linked = staged(linked.select(F.col("node").alias(node), "root").join(reps.hint("merge"), node))
     least = staged(linked.groupBy("root").agg(F.min("least_id").alias("component_id")))
-    of = linked.join(least.hint("merge"), "root").select("fingerprint_bits", F.col("component_id").alias("joined_id"))
-    of = reps.join(staged(of).hint("merge"), "fingerprint_bits", "left")
-    of = staged(of.select("fingerprint_bits", F.coalesce("joined_id", "least_id").alias("component_id")))
-    return marked.join(of.hint("merge"), "fingerprint_bits")
+    of = linked.join(least.hint("merge"), "root").select(node, F.col("component_id").alias("joined_id"))
+    of = reps.join(staged(of).hint("merge"), node, "left")
+    of = staged(of.select(node, F.coalesce("joined_id", "least_id").alias("component_id")))
+    return marked.join(of.hint("merge"), node)
 
 
-def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, words: int = WORDS, similarity: float | None = None) -> DataFrame:
     """``docs`` (doc_id, text and others) with one row of each component: that of the least doc_id.
 
-    Rows that share this doc_id compare by a hash of all columns; rows equal in every column count as one.
+    Links are fingerprints of at most ``max_bits`` differing bits or, if ``similarity`` is given, sets of word shingles
+    of at least that Jaccard similarity. Rows that share the least doc_id compare by a hash of all columns; rows equal
+    in every column count as one.
     """
     hashed, count = fresh(docs, "row_hash"), fresh(docs, "row_count")
     keyed = docs.withColumn(hashed, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    bits = with_fingerprints(keyed).select("doc_id", F.col(hashed).alias("row_hash"), "fingerprint_bits")
-    parts = with_components(staged(bits))
+    thin = keyed.select("doc_id", F.col(hashed).alias("row_hash"), "text")
+    if similarity is None:
+        node = "fingerprint_bits"
+        parts = with_components(staged(with_fingerprints(thin, words=words).drop("text")), max_bits)
+    else:
+        node, marked = "set_key", staged(shingles.with_cells(thin, words).drop("text"))
+        texts = thin.select("row_hash", "text")
+        parts = joined_components(
+            marked.drop("cells"), node, lambda _: shingles.link_forest(marked, texts, words, similarity)
+        )
     first = parts.groupBy("component_id").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("first")
     )
     # A component without any doc_id is known by its rows alone: all such rows share the null component.
     first = first.where(F.col("component_id").isNotNull()).select("first.doc_id", "first.row_hash")
-    nameless = parts.where(F.col("component_id").isNull()).groupBy("fingerprint_bits").agg(
+    nameless = parts.where(F.col("component_id").isNull()).groupBy(node).agg(
         F.min("row_hash").alias("row_hash")
     )
     first = first.unionByName(nameless.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "row_hash"))
