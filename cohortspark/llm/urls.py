@@ -9,8 +9,8 @@ own tokens and the rule's other tokens are then verified. A url that meets a rul
 Fixed rules come first: a rule fits its host and all subdomains if the path starts with the rule's; the longest fits.
 
 Cases. A null url, or one without "://", has empty host and path and no tokens, so the method allows it. Repeated
-rows get equal results. Of fixed rules of equal length the one first in the list wins. With no labelled url, or no bad
-one, there are no mined rules. An empty table gives an empty result. Extra columns pass through.
+rows get equal results. Of fixed rules of equal length the one first in the list wins. With no labelled url, or only
+bad or only good ones, no token goes with the label and there are no mined rules. An empty table gives an empty result. Extra columns pass through.
 
 Scale. Mining reads narrow rows and its output is bounded by the support; tokens of path numbers are left out, so
 transactions stay short. Urls are not shuffled when the index is small (its rows are counted first), else lookups are
@@ -36,7 +36,8 @@ RULES = (
 BAD = "!bad"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
-MIN_LIFT = 2.0
+#: The odds of a bad label among a rule's urls are at least so many times those among all; pure rules reach any such bound.
+MIN_ODDS = 2.0
 #: Whatever the share, a rule has met at least so many bad urls.
 MIN_HITS = 10
 #: A rule of more tokens than this is never minimal in practice and would make mining deep.
@@ -84,7 +85,7 @@ def tokens_of(url: Column) -> Column:
 
 
 def mine_rules(
-    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT
+    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_odds: float = MIN_ODDS
 ) -> DataFrame:
     """Minimal rules (tokens, confidence, support) from rows url, bad (boolean)."""
     spark = labelled.sparkSession
@@ -92,7 +93,7 @@ def mine_rules(
     rows = labelled.where(F.col("bad").isNotNull()).select(tokens_of(F.col("url")).alias("t"), "bad").where(F.size("t") > 0)
     rows = staged(rows.select(F.when(F.col("bad"), F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t")).alias("items"), "bad"))
     total, bad = rows.agg(F.count("*"), F.count_if("bad")).first()
-    if not bad:
+    if not bad or bad == total:
         return spark.createDataFrame([], schema)
     # Only sets that occur with the mark matter: tokens that are rare among the bad are taken out before mining.
     least = max(MIN_HITS, min_support * total)
@@ -106,9 +107,12 @@ def mine_rules(
     marked = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(key.alias("tokens"), F.col("freq").alias("hits"))
     plain = sets.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("tokens"), "freq")
     rules = marked.join(plain.hint("merge"), "tokens").select(
-        "tokens", (F.col("hits") / F.col("freq")).alias("confidence"), (F.col("hits") / F.lit(total)).alias("support")
+        "tokens",
+        (F.col("hits") / F.col("freq")).alias("confidence"),
+        (F.col("hits") / F.lit(total)).alias("support"),
+        (F.col("hits") * float(total - bad) >= (F.col("freq") - F.col("hits")) * (min_odds * bad)).alias("apart"),
     )
-    rules = staged(rules.where((F.col("confidence") >= min_confidence) & (F.col("confidence") >= min_lift * bad / total)))
+    rules = staged(rules.where((F.col("confidence") >= min_confidence) & F.col("apart")).drop("apart"))
     # A rule goes if a proper subset is a rule: each rule lists its subsets (at most 2**MAX_TOKENS), an equi join finds them.
     subsets = rules.select("tokens", F.explode(_subsets(F.col("tokens"))).alias("part"))
     smaller = subsets.join(rules.select(F.col("tokens").alias("part")).hint("merge"), "part", "left_semi")

@@ -85,3 +85,15 @@ def test_labels_by_number(spark):
     labels = spark.createDataFrame([(12, 1, 0), (12, 0, 0), (9, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
     got = sorted((r.url, r.bad) for r in urls.labelled_urls(pages, labels).collect())
     assert got == [("http://a/9?z=12", False), ("http://a/en/12.html", True), ("http://a/en/12/", True)]
+
+
+@pytest.mark.parametrize(("good_rows", "bad_rows"), [(30, 70), (50, 50), (60, 40)])
+def test_rules_at_any_share_of_bad_labels(spark, good_rows, bad_rows):
+    """A pure set becomes a rule, one as bad as all urls does not."""
+    rows = [(f"http://good.org/a{i}/x", False) for i in range(good_rows)] + [(f"http://spam.com/b{i}/x", True) for i in range(bad_rows)]
+    rules = urls.mine_rules(spark.createDataFrame(rows, "url string, bad boolean"), 0.01)
+    assert {tuple(r.tokens) for r in rules.collect()} == {("host:com",), ("host:spam",)}
+    less_pure = rows + [(f"http://spam.com/c{i}/x", False) for i in range(bad_rows // 14)]
+    rules = urls.mine_rules(spark.createDataFrame(less_pure, "url string, bad boolean"), 0.01)
+    assert {tuple(r.tokens) for r in rules.collect()} == {("host:com",), ("host:spam",)}
+    assert urls.mine_rules(spark.createDataFrame([(u, True) for u, _ in rows], "url string, bad boolean")).count() == 0
