@@ -4,7 +4,8 @@ Base kinds are plain patterns: ``assign`` (a name like password, then a value),
 ``hex`` (long hexadecimal runs). The method adds ``key`` and ``token``: candidates in base64 or hex are decoded, and
 reported only if they parse. A key is a private key in DER (PKCS#1, PKCS#8 plain or encrypted, SEC1) whose nested
 lengths fill the bytes exactly, or an OpenSSH private key whose length-prefixed fields do; PEM armour around it
-belongs to the span. A token has a header and a payload that decode to JSON objects, the header naming its algorithm.
+belongs to the span, and armour of an encrypted key is confirmed by its headers and whole blocks. Keys may go on over lines,
+their line ends real or written out as in JSON. A token has a header and a payload that decode to JSON objects, the header naming its algorithm.
 
 Spans are code points of the whole text, end exclusive, in order of start, then kind as listed above.
 
@@ -41,7 +42,11 @@ MIN_VALUE, MIN_ACCESS = 12, 18
 #: A candidate in base64 or hex has at least so many characters; the smallest confirmed key is longer.
 MIN_ENCODED = 40
 
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----BEGIN ).)*?)-----END \1-----", re.DOTALL)
+HEADER = re.compile(r"^[ \t]*([A-Za-z][A-Za-z0-9-]*):[ \t]*(.*?)[ \t\r]*$", re.MULTILINE)
+#: The first line of a key that goes on in the next ones: a DER sequence or the OpenSSH mark, in base64 or hex.
+FIRST = re.compile(r"(?<![A-Za-z0-9+/_-])(?=M[A-P]|b3BlbnNz|30)[A-Za-z0-9+/_-]{16,}(?=[ \t]*[\r\n])")
+NEXT = re.compile(r"[ \t]*[\r\n][ \t\r\n]*([A-Za-z0-9+/_-]+)(={0,2})")
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{8,})\.(ey[A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 
@@ -101,11 +106,11 @@ def is_der_key(data: bytes) -> bool:
     return tags == [0x30, 0x04] and _algorithm(parts[0][1]) and len(parts[1][1]) >= 32  # encrypted PKCS#8
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """Whether the bytes are an OpenSSH private key with consistent field lengths."""
+def _openssh_end(data: bytes) -> int | None:
+    """Where the fields of an OpenSSH private key end by their lengths; None if it is none."""
     magic, at = b"openssh-key-v1\0", 15
     if not data.startswith(magic):
-        return False
+        return None
 
     def field(at: int) -> int:
         return at + 4 + int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else len(data) + 1
@@ -113,14 +118,70 @@ def is_openssh_key(data: bytes) -> bool:
     for _ in range(3):  # cipher, derivation, its options
         at = field(at)
     if at + 4 > len(data):
-        return False
+        return None
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
     if not 1 <= keys <= 16:
-        return False
+        return None
     for _ in range(keys + 1):  # public keys, then the private part
         at = field(at)
-    return at == len(data)
+    return at
+
+
+def is_openssh_key(data: bytes) -> bool:
+    """Whether the bytes are an OpenSSH private key with consistent field lengths."""
+    return _openssh_end(data) == len(data)
+
+
+def _der_end(data: bytes) -> int | None:
+    """Where a DER sequence that starts with an integer or a sequence ends by its own length."""
+    n = data[1] & 0x7F if len(data) > 1 and data[1] >= 0x80 else 0
+    if data[:1] != b"\x30" or n > 4 or data[2 + n : 3 + n] not in (b"\x02", b"\x30"):
+        return None
+    return 2 + n + (int.from_bytes(data[2 : 2 + n], "big") if n else data[1])
+
+
+def wrapped_key(text: str, first: re.Match) -> int | None:
+    """The end of a key whose text goes on over lines after ``first``; the key's own lengths say where."""
+    parts, have, at = [first[0]], len(first[0]), first.end()
+    digits = first[0].startswith("30")
+    if digits:
+        if not re.fullmatch("[0-9A-Fa-f]+", first[0]):
+            return None
+        head = bytes.fromhex(first[0][:16])
+    else:
+        head = _decode64(first[0][:16]) or b""
+    end, wanted = _der_end(head), None
+    if end is not None:
+        wanted = 2 * end if digits else (4 * end + 2) // 3
+    elif not head.startswith(b"openssh-key"):
+        return None
+    while wanted is None or have < wanted:
+        m = NEXT.match(text, at)
+        if not m:
+            break
+        parts.append(m[1])
+        have, at = have + len(m[1]), m.end()
+        if m[2]:
+            break
+    if wanted is None:  # OpenSSH: the fields are read where they all are, then the lines cut there
+        known = "".join(parts)
+        data = _decode64(known[: len(known) - (len(known) % 4 == 1)]) or b""
+        end = _openssh_end(data)
+        if end is None or end > len(data):
+            return None
+        wanted, have, at, parts = (4 * end + 2) // 3, len(first[0]), first.end(), [first[0]]
+        while have < wanted and (m := NEXT.match(text, at)):
+            parts.append(m[1])
+            have, at = have + len(m[1]), m.end()
+    return at if have == wanted and len(parts) > 1 and is_key("".join(parts)) else None
+
+
+def is_encrypted(headers: dict[str, str], text: str) -> bool:
+    """Whether old armour names a cipher and its start block, and whole blocks follow."""
+    start = re.fullmatch(r"[A-Za-z0-9-]+,((?:[0-9A-Fa-f]{16}){1,2})", headers.get("dek-info", ""))
+    data = _decode64(text) if start and "ENCRYPTED" in headers.get("proc-type", "") else None
+    return bool(data) and len(data) >= 32 and len(data) % (len(start[1]) // 2) == 0
 
 
 def _json_object(text: str) -> dict | None:
@@ -158,15 +219,22 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
     lowered = text.lower()
     if any(n in lowered for n in NAMES):
         found += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_VALUE]
-    armoured = []
+    armoured, flat = [], text
+    if "\\" in text:  # line ends that are written out, as in JSON; positions stay
+        flat = text.replace("\\n", " \n").replace("\\r", " \r")
     if "PRIVATE KEY-----" in text:
-        for m in ARMOUR.finditer(text):
-            body = re.sub(r"^[A-Za-z-]+:.*$", "", m[2], flags=re.MULTILINE)  # headers of old armour
-            if is_key("".join(body.split())):
+        for m in ARMOUR.finditer(flat):
+            headers = {h[1].lower(): h[2] for h in HEADER.finditer(m[2])}
+            body = "".join(HEADER.sub("", m[2]).split())
+            if is_key(body) or is_encrypted(headers, body):
                 armoured.append((m.start(), m.end(), 3))
-    if max(map(len, text.split()), default=0) >= MIN_ENCODED:
-        found += [(m.start(), m.end(), 4) for m in TOKEN.finditer(text) if is_token(m[1], m[2], m[3])]
-        for m in ENCODED.finditer(text):
+    if ".ey" in flat:
+        found += [(m.start(), m.end(), 4) for m in TOKEN.finditer(flat) if is_token(m[1], m[2], m[3])]
+    for m in FIRST.finditer(flat):
+        if not any(s <= m.start() < e for s, e, _ in armoured) and (end := wrapped_key(flat, m)):
+            armoured.append((m.start(), end, 3))
+    if max(map(len, flat.split()), default=0) >= MIN_ENCODED:
+        for m in ENCODED.finditer(flat):
             if not any(s <= m.start() < e for s, e, _ in armoured) and is_key(m[0]):
                 found.append((m.start(), m.end(), 3))
     return sorted(found + armoured, key=lambda x: (x[0], x[2], x[1]))

@@ -95,3 +95,45 @@ def test_mask(spark):
     assert got == sorted([(1, "my [SECRET] here", 16, "a"), *rows[1:]], key=str)
     assert secrets.scan(docs).where(F.size("spans") > 0).count() == 1
     assert secrets.scan(docs.limit(0)).collect() == []
+
+
+def openssh_key():
+    fields = [b"none", b"none", b""]
+    head = b"openssh-key-v1\0" + b"".join(len(f).to_bytes(4, "big") + f for f in fields) + (1).to_bytes(4, "big")
+    return head + b"".join(len(f).to_bytes(4, "big") + f for f in (b"public" * 8, b"private" * 20))
+
+
+@pytest.mark.parametrize("key", [rsa_key(), openssh_key()])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\n    "])
+@pytest.mark.parametrize("rest", ["", "words after it"])
+def test_keys_over_lines(key, end, rest):
+    """Without armour, real or written-out line ends, with words in the next line; and armour in JSON."""
+    body = base64.b64encode(key).decode()
+    lines = end.join(body[i : i + 64] for i in range(0, len(body), 64))
+    assert kinds(f"é: {lines}{end}{rest}") == [("key", lines)]
+    assert secrets.masked(f"é: {lines}{end}{rest}") == f"é: {secrets.MASK}{end}{rest}"
+    armour = f"-----BEGIN PRIVATE KEY-----{end}{lines}{end}-----END PRIVATE KEY-----"
+    assert kinds(f'"x": "{armour}{end}"') == [("key", armour)]
+    assert kinds(f"é: {lines[:70]}{end}{rest}") == []
+
+
+def test_hex_key_over_lines():
+    text = rsa_key().hex().upper()
+    lines = "\n".join(text[i : i + 64] for i in range(0, len(text), 64))
+    assert ("key", lines) in kinds(f"key\n{lines}\nend")
+
+
+def test_encrypted_old_armour():
+    body = base64.b64encode(hashlib.sha256(b"x").digest() * 5).decode()
+    lines = "\n".join(body[i : i + 64] for i in range(0, len(body), 64))
+    name = "RSA PRIVATE KEY"
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "0F" * 16
+    armour = f"-----BEGIN {name}-----\n{headers}\n\n{lines}\n-----END {name}-----"
+    assert kinds(f"-----BEGIN {name}----- cut\n{armour}") == [("key", armour)]
+    assert kinds(armour.replace("0F" * 16, "0F" * 5)) == []
+    assert kinds(armour.replace(body[:3], "", 1)) == []
+
+
+def test_short_token():
+    payload = f"{b64url(json.dumps({'alg': 'none'}).encode())}.{b64url(json.dumps({'a': 1}).encode())}."
+    assert len(payload) < 40 and kinds(f"see {payload} there") == [("token", payload)]
