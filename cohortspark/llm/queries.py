@@ -100,7 +100,7 @@ def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = _table(spark, sf_dir, "documents")
     version = "word_bpe_49k"
-    tokens = rollups.count_tokens(spark, F.col("text"))
+    tokens = bpe.counted(spark, F.col("text"))
     counted = staged(docs.select("doc_id", "source", "lang", F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("sha"), tokens.alias("n")))
     store = rollups.Store(spark, shared_folder(spark))
     store.commit(1, rollups.changes_of(counted, "insert", version, 1, F.col("n")))
