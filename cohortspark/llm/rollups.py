@@ -1,29 +1,44 @@
 """Token counts as rollups maintained by deltas.
 
-Method. A store is a folder with one subfolder per committed batch. A batch of changes (insert, delete or revise a
-document's count under a tokenizer version) is joined with the store's ledger to signed deltas: an insert adds, a
-delete takes back what the ledger holds, a revision does both. The deltas are summed by source, language and tokenizer
-version; totals are the sum over all batches. A batch is one folder, renamed into place when it is complete, so that
-a batch that is applied again, or died half-way, changes nothing.
+Method. A store is a folder with a log and one folder per attempt to commit. A batch of changes (insert, delete or
+revise a document's count under a tokenizer version) is joined with the store's ledger to signed deltas: an insert
+adds, a delete takes back what the ledger holds, a revision does both. The deltas are summed by source, language and
+tokenizer version; totals are the sum over all batches.
+
+A commit writes its rows to an attempt's own folder and then creates the log's next entry, which names batch and
+attempt, without overwriting. Whoever finds the entry taken starts again from the longer log, so that two runs never
+build on the same state; a batch that stands in the log is not applied again. What a run that died has left behind is
+in no entry and counts for nothing; an entry without content (its writer died while creating it) is taken over.
+Creating without overwriting has to be exclusive, as on HDFS and local file systems; on an object store its
+conditional writes have to be switched on.
 
 Cases. Source, language and version may be null and form groups of their own. A row without doc_id cannot be found
 again: its insert counts, its delete or revision is ignored. Within a batch the change with the largest ``seq`` of a
 document and version wins (repeated rows are one change); deleting or revising an unknown document does nothing;
-inserting a known one revises it. An empty batch commits an empty folder.
+inserting a known one revises it; a null or unknown op does nothing. An empty batch commits no rows. Columns beyond
+those named are not read, texts least of all.
 
-Scale. A batch shuffles its changes and the ledger's narrow rows (no texts) by document; a hot source or language only
-meets the partial sums.
+Scale. A batch shuffles its changes and the ledger's narrow rows by document; a hot source or language only meets the
+partial sums. Every ``COMPACT``-th entry writes the whole ledger and the totals, so that a commit reads the last such
+snapshot and fewer than ``COMPACT`` later batches, however long the history is.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm.shared import drop_folder
 
 GROUP = ("source", "lang", "tokenizer_version")
-_LEDGER = "doc_id long, tokenizer_version string, source string, lang string, n_tokens long, alive boolean, batch long"
+#: Log entries from one snapshot to the next.
+COMPACT = 8
+_KEYS = ("doc_id", "tokenizer_version")
+_LEDGER = "doc_id long, tokenizer_version string, source string, lang string, n_tokens long, alive boolean, entry long"
 _DELTAS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
 
@@ -37,75 +52,116 @@ class Store:
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
     def _files(self):
-        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._path("log").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _log(self) -> list[tuple[int, str]]:
+        """Batch and attempt of each entry, in order."""
+        files, found = self._files(), []
+        while files.exists(path := self._path(f"log/{len(found) + 1:08d}")):
+            stream = files.open(path)
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            if not text.endswith("\n"):
+                break  # its writer died, or is about to write
+            found.append((json.loads(text)["batch"], json.loads(text)["attempt"]))
+        return found
+
+    def _enter(self, entry: int, batch: int, attempt: str) -> bool:
+        """Create a log entry; False if another run did."""
+        files, path = self._files(), self._path(f"log/{entry:08d}")
+        # An entry without content stands for a dead writer: only then is it overwritten.
+        dead = files.exists(path) and files.getFileStatus(path).getLen() == 0
+        try:
+            stream = files.create(path, dead)
+        except Py4JJavaError:
+            if files.exists(path):
+                return False
+            raise
+        stream.writeBytes(json.dumps({"batch": batch, "attempt": attempt}) + "\n")
+        stream.close()
+        return True
 
     def committed(self) -> list[int]:
         """Numbers of the committed batches."""
-        files, top = self._files(), self._path("")
-        if not files.exists(top):
-            return []
-        names = [x.getPath().getName() for x in files.listStatus(top)]
-        return sorted(int(n[6:]) for n in names if n.startswith("batch="))
-
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.folder}/batch={n}/{kind}" for n in self.committed()]
+        return sorted(batch for batch, _ in self._log())
+
+    def _read(self, log: list[tuple[int, str]], snapshot: str, later: str, schema: str) -> DataFrame:
+        """The last snapshot and what came later."""
+        start = len(log) // COMPACT * COMPACT
+        paths = [f"{self.folder}/{log[start - 1][1]}/{snapshot}"] if start else []
+        paths += [f"{self.folder}/{attempt}/{later}" for _, attempt in log[start:]]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def _states(self, log: list[tuple[int, str]]) -> DataFrame:
+        return self._read(log, "snapshot", "ledger", _LEDGER)
+
+    @staticmethod
+    def _living(states: DataFrame) -> DataFrame:
+        latest = states.groupBy(*_KEYS).agg(F.max_by(F.struct("source", "lang", "n_tokens", "alive", "entry"), "entry").alias("now"))
+        return latest.select(*_KEYS, "now.*").where("alive")
+
     def ledger(self) -> DataFrame:
         """The current count of each living document and version."""
-        latest = self._read("ledger", _LEDGER).groupBy("doc_id", "tokenizer_version").agg(
-            F.max_by(F.struct("source", "lang", "n_tokens", "alive"), "batch").alias("now")
-        )
-        return latest.select("doc_id", "tokenizer_version", "now.*").where("alive").drop("alive")
+        return self._living(self._states(self._log())).drop("alive", "entry")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, n_docs and n_tokens over all committed batches."""
-        summed = self._read("deltas", _DELTAS).groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return summed.where("n_docs <> 0 or n_tokens <> 0")
+        return self._summed(self._read(self._log(), "totals", "deltas", _DELTAS)).where("n_docs <> 0 or n_tokens <> 0")
+
+    @staticmethod
+    def _summed(deltas: DataFrame) -> DataFrame:
+        return deltas.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
         """Apply a batch once; False if it was committed before.
 
         changes: op (insert, delete, revise), seq, doc_id, tokenizer_version, source, lang, n_tokens.
         """
-        if batch in self.committed():
-            return False
-        keys = ["doc_id", "tokenizer_version"]
-        known = changes.where("doc_id is not null").groupBy(*keys).agg(
+        while True:
+            log = self._log()
+            if batch in [b for b, _ in log]:
+                return False
+            attempt = f"attempt-{uuid.uuid4().hex}"
+            self._write(log, f"{self.folder}/{attempt}", changes)
+            if self._enter(len(log) + 1, batch, attempt):
+                return True
+            drop_folder(self.spark, f"{self.folder}/{attempt}")
+
+    def _write(self, log: list[tuple[int, str]], folder: str, changes: DataFrame) -> None:
+        """The ledger rows and deltas of a batch that follows ``log``, and a snapshot if one is due."""
+        entry = F.lit(len(log) + 1).cast("long").alias("entry")
+        count = F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n_tokens")
+        changes = changes.where("op in ('insert', 'delete', 'revise')").select("op", "seq", *_KEYS, "source", "lang", count)
+        known = changes.where("doc_id is not null").groupBy(*_KEYS).agg(
             F.max_by(F.struct("op", "source", "lang", "n_tokens"), F.struct("seq", "op", "n_tokens", "source", "lang")).alias("c")
         )
-        old = self.ledger().select(*keys, F.struct("source", "lang", "n_tokens").alias("o"))
+        old = self._living(self._states(log)).select(*_KEYS, F.struct("source", "lang", "n_tokens").alias("o"))
         old = old.select(F.col("doc_id").alias("k1"), F.col("tokenizer_version").alias("k2"), "o")
         both = known.join(old.hint("merge"), known.doc_id.eqNullSafe(old.k1) & known.tokenizer_version.eqNullSafe(old.k2), "left")
-        does = (F.col("c.op") == "insert") | F.col("o").isNotNull()
         # A revision may leave source and language out: the ledger's stand.
+        revised = F.col("c.op") == "revise"
         new = F.struct(
-            F.when(F.col("c.op") == "revise", F.coalesce("c.source", "o.source")).otherwise(F.col("c.source")).alias("source"),
-            F.when(F.col("c.op") == "revise", F.coalesce("c.lang", "o.lang")).otherwise(F.col("c.lang")).alias("lang"),
-            F.coalesce("c.n_tokens", F.lit(0)).alias("n_tokens"),
+            F.when(revised, F.coalesce("c.source", "o.source")).otherwise(F.col("c.source")).alias("source"),
+            F.when(revised, F.coalesce("c.lang", "o.lang")).otherwise(F.col("c.lang")).alias("lang"),
+            F.col("c.n_tokens").alias("n_tokens"),
         )
         gone = F.col("c.op") == "delete"
-        both = both.where(does).select(*keys, F.when(gone, F.col("o")).otherwise(new).alias("n"), "o", (~gone).alias("alive"))
-        staging = f"{self.folder}/staging-{batch}"
-        drop_folder(self.spark, staging)
-        rows = both.select(*keys, "n.source", "n.lang", F.col("n.n_tokens").cast("long").alias("n_tokens"), "alive", "o", F.lit(batch).cast("long").alias("batch"))
-        rows.write.parquet(f"{staging}/changes")
-        rows = self.spark.read.schema(rows.schema).parquet(f"{staging}/changes")
-        rows.drop("o").write.parquet(f"{staging}/ledger")
-        plus = rows.where("alive").select("source", "lang", "tokenizer_version", F.lit(1).cast("long").alias("n_docs"), "n_tokens")
-        minus = rows.where("o is not null").select(
-            "o.source", "o.lang", "tokenizer_version", F.lit(-1).cast("long").alias("n_docs"), (-F.col("o.n_tokens")).alias("n_tokens")
-        )
-        nameless = changes.where("doc_id is null and op = 'insert'").select(
-            "source", "lang", "tokenizer_version", F.lit(1).cast("long").alias("n_docs"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens")
-        )
-        deltas = plus.unionByName(minus).unionByName(nameless).groupBy(*GROUP)
-        deltas = deltas.agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        deltas.write.parquet(f"{staging}/deltas")
-        drop_folder(self.spark, f"{staging}/changes")
-        if not self._files().rename(self._path(f"staging-{batch}"), self._path(f"batch={batch}")):
-            return False  # another run committed it
-        return True
+        both = both.where((F.col("c.op") == "insert") | F.col("o").isNotNull())
+        both = both.select(*_KEYS, F.when(gone, F.col("o")).otherwise(new).alias("n"), "o", (~gone).alias("alive"))
+        # The ledger's rows carry what they replace, so that the deltas are read from them and not computed again.
+        rows = both.select(*_KEYS, "n.source", "n.lang", "n.n_tokens", "alive", entry, "o")
+        rows.write.parquet(f"{folder}/ledger")
+        rows = self.spark.read.schema(rows.schema).parquet(f"{folder}/ledger")
+        one = F.lit(1).cast("long").alias("n_docs")
+        plus = rows.where("alive").select(*GROUP, one, "n_tokens")
+        minus = rows.where("o is not null").select("o.source", "o.lang", "tokenizer_version", -one, (-F.col("o.n_tokens")).alias("n_tokens"))
+        nameless = changes.where("doc_id is null and op = 'insert'").select(*GROUP, one, "n_tokens")
+        deltas = self._summed(plus.union(minus).union(nameless))
+        deltas.write.parquet(f"{folder}/deltas")
+        if (len(log) + 1) % COMPACT == 0:
+            self._living(self._states(log).unionByName(rows.drop("o"))).write.parquet(f"{folder}/snapshot")
+            deltas = self.spark.read.schema(_DELTAS).parquet(f"{folder}/deltas")
+            self._summed(self._read(log, "totals", "deltas", _DELTAS).union(deltas)).write.parquet(f"{folder}/totals")
 
 
 def changes_of(docs: DataFrame, op: str, version: str, seq: int, n_tokens: Column) -> DataFrame:

@@ -1,9 +1,11 @@
 """Rollups against recounting everything."""
 
+import random
 import tempfile
 from collections import Counter
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from cohortspark.llm import rollups
@@ -32,6 +34,65 @@ def test_batches(spark):
     assert store.committed() == [1, 2, 3] and store.ledger().count() == 3
 
 
+def test_history_and_snapshots(spark, monkeypatch):
+    """Many batches against recounting, with a snapshot at every third entry."""
+    monkeypatch.setattr(rollups, "COMPACT", 3)
+    store, rng, living = rollups.Store(spark, f"file://{tempfile.mkdtemp(prefix='spark-')}/store"), random.Random(4), {}
+    for batch in (10, 3, 7, 8, 1, 2, 20):  # in any order of numbers
+        rows = []
+        for doc in rng.sample(range(12), 6):
+            op, source, n = rng.choice(["insert", "delete", "revise", "other", None]), rng.choice("ab"), rng.randrange(50)
+            rows.append((op, batch, doc, "v", source, "en", n, "x" * 100_000))
+            if op == "insert" or (op == "revise" and doc in living):
+                living[doc] = (source, n)
+            elif op == "delete":
+                living.pop(doc, None)
+        # A long text and a column that could clash are not read.
+        assert store.commit(batch, spark.createDataFrame(rows, SCHEMA + ", entry string"))
+        want = Counter(s for s, _ in living.values())
+        sums = {s: sum(n for t, n in living.values() if t == s) for s in want}
+        assert totals(store) == sorted([(s, "en", "v", want[s], sums[s]) for s in want], key=str)
+        assert {(r.doc_id, r.source, r.n_tokens) for r in store.ledger().collect()} == {(d, *v) for d, v in living.items()}
+    assert store.committed() == [1, 2, 3, 7, 8, 10, 20]
+
+
+def test_two_committers_and_crashes(spark, monkeypatch):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    one, two = (rollups.Store(spark, f"file://{folder}/store") for _ in range(2))
+    rows = lambda doc: spark.createDataFrame([("insert", 1, doc, "v", "a", "en", 5)], SCHEMA)
+    write = rollups.Store._write
+
+    def meanwhile(store, log, path, changes):
+        """While the first run writes its rows, the second commits."""
+        write(store, log, path, changes)
+        if store is one and len(log) == 0:
+            assert two.commit(2, rows(2))
+
+    monkeypatch.setattr(rollups.Store, "_write", meanwhile)
+    assert one.commit(1, rows(1))  # from the longer log
+    assert one.committed() == [1, 2] and totals(one) == [("a", "en", "v", 2, 10)]
+
+    def same_batch(store, log, path, changes):
+        write(store, log, path, changes)
+        if store is one and 3 not in store.committed():
+            assert two.commit(3, rows(3))
+
+    monkeypatch.setattr(rollups.Store, "_write", same_batch)
+    assert not one.commit(3, rows(3)) and totals(one) == [("a", "en", "v", 3, 15)]
+
+    def dies(store, log, path, changes):
+        write(store, log, path, changes)
+        raise RuntimeError
+
+    monkeypatch.setattr(rollups.Store, "_write", dies)
+    with pytest.raises(RuntimeError):
+        one.commit(4, rows(4))
+    monkeypatch.setattr(rollups.Store, "_write", write)
+    assert two.committed() == [1, 2, 3] and totals(two) == [("a", "en", "v", 3, 15)]
+    open(f"{folder}/store/log/00000004", "w").close()  # died while it created the entry
+    assert two.commit(4, rows(4)) and not one.commit(4, rows(4)) and totals(one) == [("a", "en", "v", 4, 20)]
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
