@@ -122,9 +122,9 @@ FROM ranked JOIN (SELECT row_no, arg_max(spot, step) AS spot FROM walk GROUP BY
 _HOST = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
 
-#: Token sets of up to three tokens counted outright, subsets pruned, the best fixed rule by length.
+#: Token sets of every size counted outright, tokens of the same urls as one, subsets pruned, the best fixed rule by length.
 URLS = f"""
-WITH p AS (
+WITH RECURSIVE p AS (
   SELECT page_id, coalesce(url, '') AS url, {_HOST} AS host, {_PATH} AS path, row_number() OVER () AS n FROM pages
 ), t AS (
   SELECT DISTINCT n, unnest(list_concat(
@@ -141,22 +141,29 @@ WITH p AS (
 ), mt AS (
   SELECT t.n, t.tok, m.bad FROM t JOIN marked m USING (n)
 ), least AS (
-  SELECT greatest(10, 0.002 * count(*)) AS hits, greatest(0.6, 2.0 * sum(bad) / count(*)) AS confidence FROM marked
-), often AS (
-  SELECT tok FROM mt GROUP BY tok HAVING sum(bad) >= (SELECT hits FROM least)
+  SELECT greatest(2, 0.002 * count(*)) AS hits, count(*)::DOUBLE AS total, sum(bad)::DOUBLE AS bad FROM marked
+), lists AS (
+  SELECT tok, list(n ORDER BY n) AS urls FROM mt GROUP BY tok HAVING sum(bad) >= (SELECT hits FROM least)
+), groups AS (
+  SELECT min(tok) AS tok, list(tok ORDER BY tok) AS grp FROM lists GROUP BY urls
 ), o AS (
-  SELECT mt.* FROM mt SEMI JOIN often USING (tok)
+  SELECT mt.* FROM mt SEMI JOIN groups USING (tok)
+), subsets AS (
+  SELECT n, bad, [tok] AS r, tok AS last FROM o
+  UNION ALL SELECT s.n, s.bad, list_append(s.r, o.tok), o.tok FROM subsets s JOIN o ON s.n = o.n AND o.tok > s.last
 ), sets AS (
-  SELECT [tok] AS r, sum(bad) AS hits, count(*) AS freq FROM o GROUP BY 1
-  UNION ALL SELECT [a.tok, b.tok], sum(a.bad), count(*) FROM o a JOIN o b ON a.n = b.n AND a.tok < b.tok GROUP BY 1
-  UNION ALL SELECT [a.tok, b.tok, c.tok], sum(a.bad), count(*) FROM o a JOIN o b ON a.n = b.n AND a.tok < b.tok JOIN o c ON a.n = c.n AND b.tok < c.tok GROUP BY 1
+  SELECT r, sum(bad)::DOUBLE AS met, count(*)::DOUBLE AS freq FROM subsets GROUP BY r
 ), strong AS (
-  SELECT r FROM sets, least l WHERE sets.hits >= l.hits AND sets.hits / freq >= l.confidence
+  SELECT r FROM sets, least l WHERE met >= l.hits AND met / freq >= 0.6 AND met * (total - l.bad) >= (freq - met) * (2.0 * l.bad)
+   AND (met / freq + 3.8416 / (2 * freq) - 1.96 * sqrt(met / freq * (1 - met / freq) / freq + 3.8416 / (4 * freq * freq))) / (1 + 3.8416 / freq) >= l.bad / total
+   AND l.bad BETWEEN 1 AND total - 1
 ), rules AS (
   SELECT r FROM strong s WHERE NOT EXISTS (SELECT 1 FROM strong q WHERE len(q.r) < len(s.r) AND len(list_intersect(q.r, s.r)) = len(q.r))
+), whole AS (
+  SELECT list_sort(flatten(list(grp))) AS w FROM (SELECT r, unnest(r) AS tok FROM rules) JOIN groups USING (tok) GROUP BY r
 ), met AS (
-  SELECT n, min(array_to_string(r, ' ')) AS blocked_by
-  FROM (SELECT n, list(tok) AS toks FROM t GROUP BY n) x, rules WHERE len(list_intersect(x.toks, r)) = len(r) GROUP BY n
+  SELECT n, min(array_to_string(w, ' ')) AS blocked_by
+  FROM (SELECT n, list(tok) AS toks FROM t GROUP BY n) x, whole WHERE len(list_intersect(x.toks, w)) = len(w) GROUP BY n
 ), fixed AS (
   SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) f(h, x, v)
 ), best AS (

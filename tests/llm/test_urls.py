@@ -1,6 +1,7 @@
 """URL filters: parsing, fixed rules, and mined rules against exhaustive search."""
 
 import itertools
+import math
 import random
 import re
 
@@ -36,46 +37,84 @@ def tokens(url):
     return out | {f"query:{x.split('=')[0]}" for x in (m[4] or "").split("&") if x}
 
 
-def brute_rules(rows, support, confidence, lift):
+def brute_rules(rows, support, confidence, odds):
+    """Every subset of every bad url's tokens; tokens of the same urls as one."""
     sets = [(tokens(u), b) for u, b in rows]
-    share = sum(b for _, b in sets) / len(sets)
-    least = max(urls.MIN_HITS, support * len(sets))
+    bad, total = sum(b for _, b in sets), len(sets)
+    least = max(urls.MIN_HITS, support * total)
+    where = {}
+    for i, (t, _) in enumerate(sets):
+        for x in t:
+            where.setdefault(x, set()).add(i)
+    groups = {}
+    for x, at in where.items():
+        if sum(sets[i][1] for i in at) >= least:
+            groups.setdefault(frozenset(at), []).append(x)
+    groups = {min(g): sorted(g) for g in groups.values()}
     found = {}
-    for size in (1, 2, 3):
-        for combo in {c for t, b in sets if b for c in itertools.combinations(sorted(t), size)}:
+    for size in range(1, 9):
+        for combo in {c for t, b in sets if b for c in itertools.combinations(sorted(t & groups.keys()), size)}:
             if any(set(r) < set(combo) for r in found):
                 continue
-            hits = sum(b for t, b in sets if t >= set(combo))
-            n = sum(t >= set(combo) for t, _ in sets)
-            if hits >= least and hits / n >= max(confidence, lift * share):
-                found[combo] = hits / n
-    return found
+            at = set.intersection(*[where[x] for x in combo])
+            hits, n = sum(sets[i][1] for i in at), len(at)
+            p, z = hits / n, 1.96
+            low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+            if hits >= least and p >= confidence and hits * (total - bad) >= (n - hits) * odds * bad and low >= bad / total:
+                found[combo] = p
+    return {tuple(sorted(x for t in r for x in groups[t])): p for r, p in found.items()}
 
 
-@pytest.mark.parametrize("limit", [0, 20_000])
-def test_mined_rules(spark, monkeypatch, limit):
-    """Rules and matches, with the index sent to tasks and joined by a shuffle."""
-    monkeypatch.setattr(urls, "BROADCAST_ROWS", limit)
+def noisy_urls():
     rng = random.Random(6)
-    rows = []
     for i in range(300):
         host, word = rng.choice(["good.org", "spam.com", "mix.org"]), rng.choice(["casino", "news", "a"])
         bad = rng.random() < (0.95 if host == "spam.com" else 0.9 if (host, word) == ("mix.org", "casino") else 0.05)
-        rows.append((f"http{'s' * rng.randrange(2)}://{host}/{word}/{i}?ref={i}", bad))
+        yield f"http{'s' * rng.randrange(2)}://{host}/{word}/{i}?ref={i}", bad
+
+
+def four_together():
+    """Bad only where four words meet; every three of them stand in good urls."""
+    words = ["w", "x", "y", "z"]
+    for i in range(240):
+        some = [w for k, w in enumerate(words) if i >> k & 1]
+        yield f"http://h{i % 3}.org/{'/'.join(some)}/{i}", len(some) == 4
+
+
+@pytest.mark.parametrize("limit", [0, 4 << 20])
+@pytest.mark.parametrize("rows", [list(noisy_urls()), list(four_together())], ids=["noisy", "four"])
+def test_mined_rules(spark, monkeypatch, rows, limit):
+    """Rules and matches, with the index in the tasks and joined by a shuffle."""
+    monkeypatch.setattr(urls, "INDEX_BYTES", limit)
     labelled = spark.createDataFrame(rows, "url string, bad boolean")
-    rules = urls.mine_rules(labelled, 0.01, 0.6, 1.5)
+    rules = urls.mine_rules(labelled, 0.01, 0.6, 2.0)
     got = {tuple(r.tokens): r.confidence for r in rules.collect()}
-    want = brute_rules(rows, 0.01, 0.6, 1.5)
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got) and len(got) >= 2
-    pages = spark.createDataFrame([(u,) for u, _ in rows] + [(None,), ("http://spam.com/",)], "url string")
-    for r in urls.matches(pages, rules).collect():
+    want = brute_rules(rows, 0.01, 0.6, 2.0)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got) and len(got) >= 1
+    if rows[0][0].startswith("http://h"):
+        assert list(got) == [("path:w", "path:x", "path:y", "path:z")]
+    pages = spark.createDataFrame([(u, "x") for u, _ in rows] + [(None, "y"), ("http://spam.com/", "z")] * 2, "url string, blocked_by string")
+    found = urls.matches(pages, rules)
+    assert sorted(found.columns) == ["blocked_by", "url"] and found.count() == len(rows) + 4
+    for r in found.collect():
         met = [" ".join(k) for k in want if r.url and tokens(r.url) >= set(k)]
         assert r.blocked_by == min(met, default=None)
 
 
+def test_long_urls_and_repeats(spark):
+    """A url of many tokens that a third of all rows repeat, and a very long one."""
+    hot, long_ = "http://spam.com/" + "/".join(f"a{i}x" for i in range(60)), "http://long.org/" + "/".join(f"b{i}x" for i in range(20_000))
+    rows = [(hot, True)] * 40 + [(f"http://good.org/{i}", False) for i in range(80)] + [(long_, False)]
+    rules = urls.mine_rules(spark.createDataFrame(rows, "url string, bad boolean"))
+    assert [set(r.tokens) for r in rules.collect()] == [tokens(hot) - {"scheme:http"}]
+    pages = spark.createDataFrame([(1, hot, "h"), (2, long_, None), (3, hot[:-4], "")], "page_id long, url string, HOST string")
+    got = urls.judge(pages, spark.createDataFrame(rows, "url string, bad boolean"), rules=())
+    assert {r.page_id: r.verdict for r in got.collect()} == {1: "block", 2: "allow", 3: "allow"} and got.columns.count("host") == 1
+
+
 def test_query(spark):
     rows = op2_url_association(spark, "/root/testdata/sf0.001").collect()
-    assert len(rows) == 50
+    assert len(rows) == 50 and any(r.blocked_by for r in rows)
     for r in rows:
         assert r.verdict == {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}.get(r.rule, "block" if r.blocked_by else "allow")
 
@@ -92,8 +131,8 @@ def test_rules_at_any_share_of_bad_labels(spark, good_rows, bad_rows):
     """A pure set becomes a rule, one as bad as all urls does not."""
     rows = [(f"http://good.org/a{i}/x", False) for i in range(good_rows)] + [(f"http://spam.com/b{i}/x", True) for i in range(bad_rows)]
     rules = urls.mine_rules(spark.createDataFrame(rows, "url string, bad boolean"), 0.01)
-    assert {tuple(r.tokens) for r in rules.collect()} == {("host:com",), ("host:spam",)}
+    assert {tuple(r.tokens) for r in rules.collect()} == {("host:com", "host:spam")}
     less_pure = rows + [(f"http://spam.com/c{i}/x", False) for i in range(bad_rows // 14)]
     rules = urls.mine_rules(spark.createDataFrame(less_pure, "url string, bad boolean"), 0.01)
-    assert {tuple(r.tokens) for r in rules.collect()} == {("host:com",), ("host:spam",)}
+    assert {tuple(r.tokens) for r in rules.collect()} == {("host:com", "host:spam")}
     assert urls.mine_rules(spark.createDataFrame([(u, True) for u, _ in rows], "url string, bad boolean")).count() == 0
