@@ -1,44 +1,5 @@
 """SQL that gives the same rows as the operators' queries, written independently of them, for DuckDB."""
 
-#: Single-source documents: the flow equals the target, so water-filling and one seeded order per source suffice.
-MIX = r"""
-WITH docs AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h
-  FROM documents
-), sources AS (
-  SELECT source, sum(size)::BIGINT AS source_size,
-         [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w
-  FROM docs GROUP BY source
-), ordered AS (
-  SELECT *, row_number() OVER (ORDER BY 2.0 * source_size / w, source) AS i FROM sources
-), levels AS (
-  SELECT *, (1.5 * (SELECT sum(source_size) FROM sources)
-             - coalesce(sum(2.0 * source_size) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-            / sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
-  FROM ordered
-), cut AS (
-  SELECT min(i) AS i FROM levels WHERE level <= 2.0 * source_size / w
-), targets AS (
-  SELECT source, source_size,
-         CASE WHEN i < coalesce((SELECT i FROM cut), 1e9) THEN 2.0 * source_size
-              ELSE w * (SELECT level FROM levels WHERE i = (SELECT i FROM cut)) END AS target
-  FROM levels
-), quotas AS (
-  SELECT *, floor(target + 1e-6)::BIGINT AS words FROM targets
-), steps AS (
-  SELECT d.doc_id, d.size, q.source_size, q.target,
-         CASE WHEN q.source_size > 0 THEN q.words // q.source_size ELSE 0 END AS passes,
-         CASE WHEN q.source_size > 0 THEN q.words % q.source_size ELSE 0 END AS rest,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size RANGE UNBOUNDED PRECEDING) AS upto,
-         sum(d.size) OVER (PARTITION BY d.source, d.h, d.size) AS own
-  FROM docs d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source
-)
-SELECT doc_id, size, source_size, round(target, 6) AS target,
-       (size * (passes + CASE WHEN rest > 0 AND 2 * upto - own < 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM steps
-"""
-
 COSINE_COMPONENTS = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings

@@ -68,11 +68,9 @@ def op1_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that the mix of its source takes."""
     docs = _table(spark, sf_dir, "documents")
-    mixed, sizes, quotas = mixing.mix(docs)
-    sources = mixing.source_table(docs, sizes, quotas)
-    joined = mixed.alias("m").join(F.broadcast(sources).alias("s"), F.col("m.source").eqNullSafe(F.col("s.source")))
+    mixed = mixing.with_goals(*mixing.mix(docs))
     taken = (F.col("size") * F.col("copies")).cast("long").alias("taken")
-    return joined.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), taken)
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), taken)
 
 
 def op8_int8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,5 +131,4 @@ ORACLES: dict[str, str] = {
     "op7_warc_zstd": oracles.WARC,
     "op8_int8_near_dup": oracles.COSINE_COMPONENTS,
     "op2_url_association": oracles.URLS,
-    "op5_flow_mix": oracles.MIX,
 }

@@ -37,7 +37,7 @@ def test_stages(spark):
         assert r.n_chars == (len(r.text) if r.text != before[r.doc_id].text else before[r.doc_id].n_chars)
 
     mixed = corpus_pipeline.staged(stages["mixing"](spark, masked, DATA))
-    copies, _, _ = mixing.mix(masked)
+    copies, _ = mixing.mix(masked)
     want = {r.doc_id: r.copies for r in copies.where("copies > 0").collect()}
     assert mixed.columns == columns
     assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == want
