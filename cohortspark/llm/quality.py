@@ -1,14 +1,15 @@
 """Quality rules: base counts of a text, and a hashed n-gram log-likelihood ratio.
 
-Method. Word n-grams (``order`` words each, one by default) are hashed into ``buckets`` counters, once over the trusted documents and
-once over the whole corpus. With add-one smoothing this gives two multinomials; the weight of a bucket is
-log(p_trusted / p_corpus) in millionths. The score of a document is the mean weight of its n-grams, and a document
-is kept when its score reaches ``threshold``. Weights are integers, so that the score, and the verdict, is the same
-in any order of summation.
+Method. Word n-grams of one to ``order`` words are hashed into ``buckets`` counters, once over the trusted documents
+and once over the whole corpus. The corpus multinomial is smoothed by one count a bucket; the trusted one by as many
+counts as there are buckets, dealt like the corpus (a Dirichlet prior), so that with few trusted words nothing is far
+from the corpus. The weight of a bucket is log(p_trusted / p_corpus) in millionths. The score of a document is the
+mean weight of its n-grams, and a document is kept when its score reaches ``threshold``. Weights are integers, so that
+the score, and the verdict, is the same in any order of summation.
 
 Cases. A null or empty text has no words, all counts 0, fails the base rules and is not kept. A document that passes
 the base rules has at least 50 words, so its score exists. Repeated rows get equal results; rows never meet, so ties
-do not matter. With no trusted document, the trusted multinomial is uniform over the buckets. An empty table gives an
+do not matter. With no trusted document, the trusted multinomial is the corpus's: all scores are 0. An empty table gives an
 empty result. Other columns of the table are not read and their names cannot clash: results carry new names only.
 
 Scale. One narrow pass counts n-grams with a partial aggregate (at most ``buckets`` rows leave a task), one scores.
@@ -24,13 +25,13 @@ from pyspark.sql import functions as F
 
 from cohortspark.llm.shared import SPACES, fresh, held, word_array
 
-BUCKETS = 8192
-#: Words in an n-gram.
-ORDER = 1
+BUCKETS = 65_536
+#: Words in the longest n-gram.
+ORDER = 2
 #: Trusted documents are at most so many labelled ones, those with the smallest hash of their id.
 TRUSTED_LIMIT = 20_000
-#: Mean log-likelihood ratio below which a document goes. Labelled good documents lie above -0.1 at every size tried;
-#: small corpora widen the spread of unlabelled ones.
+#: Mean log-likelihood ratio below which a document goes. On the given tables labelled good documents lie above -0.06,
+#: and 99 and 93 of 100 bad ones below -0.2 (sf0.01, sf0.1).
 THRESHOLD = -0.2
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
@@ -53,6 +54,11 @@ def _gram_hashes(hashes: str, order: int) -> str:
     return f"slice(transform({hashes}, (x, i) -> xxhash64(x, {rest})), 1, greatest(size({hashes}) - {order - 1}, 0))"
 
 
+def _all_grams(hashes: str, order: int) -> Column:
+    """Hashes of all n-grams of one to ``order`` words."""
+    return F.concat(*[F.expr(_gram_hashes(hashes, k)) for k in range(1, order + 1)])
+
+
 def _bucket(value: Column, buckets: int) -> Column:
     return F.pmod(value, F.lit(buckets))
 
@@ -63,12 +69,8 @@ def fit_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, ord
         F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left"
     )
     good = F.coalesce("good", F.lit(0)).alias("good")
-    if order == 1:  # hashed after the generator, inside generated code
-        grams = marked.select(good, F.explode(word_array(F.col("text"))).alias("word"))
-        grams = grams.select("good", F.xxhash64("word").alias("gram"))
-    else:
-        words = held(marked, "hashes", F.transform(word_array(F.col("text")), lambda w: F.xxhash64(w)))
-        grams = words.select(good, F.explode(F.expr(_gram_hashes("hashes", order))).alias("gram"))
+    words = held(marked, "hashes", F.transform(word_array(F.col("text")), lambda w: F.xxhash64(w)))
+    grams = words.select(good, F.explode(_all_grams("hashes", order)).alias("gram"))
     counts = grams.groupBy(_bucket(F.col("gram"), buckets).cast("int").alias("bucket")).agg(
         F.count("*").alias("n_all"), F.sum("good").alias("n_good")
     )
@@ -78,8 +80,9 @@ def fit_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, ord
     weights = []
     for bucket in range(buckets):
         n_all, n_good = found.get(bucket, (0, 0))
-        ratio = math.log((n_good + 1) / total_good) - math.log((n_all + 1) / total_all)
-        weights.append(round(ratio * 1_000_000))
+        p_all = (n_all + 1) / total_all
+        p_good = (n_good + buckets * p_all) / total_good
+        weights.append(round(math.log(p_good / p_all) * 1_000_000))
     return weights
 
 
@@ -143,11 +146,11 @@ def with_counts(docs: DataFrame, weights: list[int] | None = None, order: int =
     if weights is not None:
         table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
         total = F.aggregate(
-            F.expr(_gram_hashes(hashes, order)),
+            _all_grams(hashes, order),
             F.lit(0).cast("long"),
             lambda a, g: a + F.get(table, _bucket(g, len(weights)).cast("int")),
         )
-        n_grams = F.greatest(n_words - (order - 1), F.lit(0))
+        n_grams = sum((F.greatest(n_words - k, F.lit(0)) for k in range(1, order)), n_words)
         columns["score"] = F.when(n_grams > 0, total / F.lit(1e6) / n_grams)
     df = df.withColumns(columns).drop(hashes, tri)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))

@@ -289,8 +289,10 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, words: int = WORDS, simi
     first = first.unionByName(nameless.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "row_hash"))
     repeats = parts.groupBy("doc_id", "row_hash").agg(F.count("*").alias("row_count"))
     chosen = first.join(repeats.hint("merge"), first.doc_id.eqNullSafe(repeats.doc_id) & (first.row_hash == repeats.row_hash))
-    chosen = staged(chosen.select(first.row_hash.alias(hashed), F.col("row_count").alias(count)).distinct())
-    kept = keyed.join(chosen.hint("shuffle_hash"), hashed)
+    of = fresh(docs, "kept_id")
+    chosen = staged(chosen.select(first.doc_id.alias(of), first.row_hash.alias(hashed), F.col("row_count").alias(count)).distinct())
+    same = (keyed[hashed] == chosen[hashed]) & F.col("doc_id").eqNullSafe(F.col(of))
+    kept = keyed.join(chosen.hint("shuffle_hash"), same).drop(of, chosen[hashed])
     once = kept.where(F.col(count) == 1).drop(hashed, count)
     again = kept.where(F.col(count) > 1).drop(hashed, count).distinct()
     return once.unionByName(again)

@@ -49,21 +49,27 @@ def test_query(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet").collect()
     good = {r.doc_id for r in labels if r.quality == 1 and r.toxic == 0}
     words = {i: re.findall(WORD, t or "") for i, t in texts.items()}
-    distinct = sorted({w for ws in words.values() for w in ws})
-    hashed = spark.createDataFrame([(w,) for w in distinct], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(quality.BUCKETS)).alias("b"))
-    bucket = {r.w: r.b for r in hashed.collect()}
-    total, trusted = [1] * quality.BUCKETS, [1] * quality.BUCKETS
-    for i, ws in words.items():
-        for w in ws:
-            total[bucket[w]] += 1
-            trusted[bucket[w]] += i in good
-    weight = [round((math.log(t / sum(trusted)) - math.log(a / sum(total))) * 1e6) for t, a in zip(trusted, total)]
+    grams = {i: [*[(w,) for w in ws], *zip(ws, ws[1:])] for i, ws in words.items()}
+    distinct = sorted({g for gs in grams.values() for g in gs})
+    hashed = spark.createDataFrame([(g[0], g[-1], len(g)) for g in distinct], "a string, b string, n int")
+    value = F.when(F.col("n") == 1, F.xxhash64("a")).otherwise(F.xxhash64(F.xxhash64("a"), F.xxhash64("b")))
+    hashed = hashed.select("a", "b", "n", F.pmod(value, F.lit(quality.BUCKETS)).alias("at")).collect()
+    bucket = {(r.a, r.b)[: r.n]: r["at"] for r in hashed}
+    total, trusted = [1] * quality.BUCKETS, [0] * quality.BUCKETS
+    for i, gs in grams.items():
+        for g in gs:
+            total[bucket[g]] += 1
+            trusted[bucket[g]] += i in good
+    weight, n_all, n_good = [], sum(total), sum(trusted)
+    for t, a in zip(trusted, total):
+        p = a / n_all if a > 1 else None
+        weight.append(p and round(math.log((t + quality.BUCKETS * p) / (n_good + quality.BUCKETS) / p) * 1e6))
     rows = op10_quality_llr(spark, DATA).collect()
     assert len(rows) == len(texts)
     for r in rows:
         assert counts(r) == brute(texts[r.doc_id])
-        ws = words[r.doc_id]
-        score = sum(weight[bucket[w]] for w in ws) / 1e6 / len(ws) if ws else None
+        gs = grams[r.doc_id]
+        score = sum(weight[bucket[g]] for g in gs) / 1e6 / len(gs) if gs else None
         assert r.score == score or abs(r.score - score) < 2e-6
         assert r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
 
