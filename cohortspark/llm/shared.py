@@ -11,21 +11,25 @@ from pyspark.sql import functions as F
 
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\f\r"
-#: What goes to Python in one Arrow batch.
-BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 #: The same as a Java pattern for one or more of them.
 SPACES_PATTERN = "[ \\t-\\r]+"
+#: Up to so many narrow rows (some 100 bytes each), a side of a join is sent to every task.
+BROADCAST_ROWS = 100_000
+#: What goes to Python in one Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is missing (a local session, as in tests), a local temporary folder is taken and kept
-    as the session's setting.
+    Where that setting is missing, a local session (as in tests) takes a temporary folder and keeps it as its setting;
+    on a cluster this is an error, as its machines share no temporary folder.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         current = spark.sparkContext.getCheckpointDir()
+        if not current and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = current.rsplit("/", 1)[0] if current else f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/llm-{uuid.uuid4().hex}"
@@ -39,6 +43,11 @@ def staged(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow rows as the smaller side of a join: broadcast up to so many rows, else merged."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Let the session hand Python at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` at once, as texts may be long.
 

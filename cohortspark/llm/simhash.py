@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm import shingles
-from cohortspark.llm.components import connected_components
+from cohortspark.llm.components import connected_components, least_reachable
 from cohortspark.llm.shared import bounded_batches, fresh, staged
 
 WORDS = 4
@@ -132,20 +132,6 @@ def _owned(x: np.ndarray, y: np.ndarray, key: np.ndarray, masks: list[int], firs
     return first_key[same] == key
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Least reachable index for each of n nodes."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        least = np.minimum(label[a], label[b])
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def link_forest(reps: DataFrame, bits: str, max_bits: int = MAX_BITS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints whose components are those of all links of at most ``max_bits``."""
     groups = _groups_for(reps.count(), max_bits)
@@ -225,7 +211,7 @@ def link_forest(reps: DataFrame, bits: str, max_bits: int = MAX_BITS) -> DataFra
                 hit = hit[_owned(p[hit], q[hit], np.full(len(hit), key[at]), masks, first_key)]
                 found.append((one[i + hit // max(len(two), 1)], two[hit % max(len(two), 1)]))
             a, b = (np.concatenate(z) for z in zip(*found, strict=True))
-            label = _forest(a, b, len(members))
+            label = least_reachable(a, b, len(members))
             moved = np.flatnonzero(label != np.arange(len(members)))
             if len(moved):
                 yield edges(members[moved], members[label[moved]])

@@ -156,12 +156,19 @@ def read_archive(stream) -> Iterator[bytes]:
 
 
 def train_dictionary(pages: DataFrame, payload: str = "html") -> bytes:
-    """A dictionary from a bounded sample of payloads; empty where they are too few."""
-    sample = pages.where(F.col(payload).isNotNull()).select(F.substring(payload, 1, SAMPLE_CHARS).alias("p"))
-    rows = sample.orderBy(F.xxhash64("p"), "p").limit(SAMPLE_ROWS).collect()
-    texts = [r["p"].encode("utf-8", "replace") for r in rows if r["p"]]
+    """A dictionary from a bounded sample of payloads, those that hash lowest; empty where they are too few.
+
+    Hashes are chosen first; only the chosen payloads' first ``SAMPLE_CHARS`` characters reach the driver.
+    """
+    hashed = pages.where(F.col(payload) != "").select(F.xxhash64(payload).alias("h"), F.col(payload).alias("p"))
+    chosen = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(SAMPLE_ROWS).collect()]
+    if not chosen:
+        return b""
+    least = pages.sparkSession.createDataFrame([(h,) for h in chosen], "h long")
+    sample = hashed.join(F.broadcast(least), "h").select("h", F.substring("p", 1, SAMPLE_CHARS).alias("p"))
+    rows = sample.groupBy("h").agg(F.min("p").alias("p")).orderBy("h").collect()
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [r["p"].encode("utf-8", "replace") for r in rows]).as_bytes()
     except zstandard.ZstdError:
         return b""
 
@@ -170,16 +177,26 @@ def with_roles(pages: DataFrame, min_bytes: int = 0, payload: str = "html") -> D
     """``pages`` with kind (response or revisit) and refers_to."""
     place, digest, first = (fresh(pages, f"record_{c}") for c in ("place", "digest", "first"))
     body = F.coalesce(F.col(payload), F.lit(""))
-    marked = pages.withColumn(place, F.monotonically_increasing_id()).withColumn(digest, F.sha1(body.cast("binary")))
-    thin = marked.where(F.octet_length(body) >= min_bytes).select(
-        F.col(digest).alias("digest"), F.struct(F.col("page_id").alias("id"), F.col(place).alias("place")).alias("one")
-    )
-    groups = thin.groupBy("digest").agg(F.max("one").alias(first), F.count("*").alias("n")).where("n > 1")
-    groups = staged(groups.select(F.col("digest").alias(digest), first))
-    groups = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups.hint("merge")
+    marked = pages.withColumn(digest, F.sha1(body.cast("binary")))
+    long_enough = F.octet_length(body) >= min_bytes
+    ids = marked.where(long_enough).groupBy(F.col(digest).alias("digest"), "page_id").agg(F.count("*").alias("rows"))
+    groups = ids.groupBy("digest").agg(F.max(F.struct("page_id", "rows")).alias("top"), F.sum("rows").alias("n")).where("n > 1")
+    groups = staged(groups.select("digest", F.col("top.page_id").alias("id"), F.col("top.rows").alias("rows")))
+    # Rows that share the largest page_id and the payload are told apart by their place in a written table.
+    tied = groups.where("rows > 1")
+    if tied.limit(1).count():
+        marked = staged(marked.withColumn(place, F.monotonically_increasing_id()))
+        same = (F.col(digest) == F.col("digest")) & F.col("page_id").eqNullSafe(F.col("id"))
+        places = marked.where(long_enough).select(digest, "page_id", place).join(tied.hint("merge"), same)
+        places = staged(places.groupBy("digest").agg(F.min(place).alias("least")))
+        groups = staged(groups.join(places.hint("merge"), "digest", "left"))
+    else:
+        marked, groups = marked.withColumn(place, F.lit(0)), groups.withColumn("least", F.lit(None).cast("long"))
+    groups = groups.select(F.col("digest").alias(digest), F.struct("id", "least").alias(first))
+    groups = F.broadcast(groups) if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else groups.hint("merge")
     joined = marked.join(groups, digest, "left")
-    other = F.col(first).isNotNull() & (F.col(f"{first}.place") != F.col(place))
-    other = other & (F.octet_length(body) >= min_bytes)
+    itself = F.col("page_id").eqNullSafe(F.col(f"{first}.id")) & (F.coalesce(f"{first}.least", place) == F.col(place))
+    other = F.col(first).isNotNull() & long_enough & ~itself
     return joined.select(
         *[F.col(f"`{c}`") for c in pages.columns],
         F.when(other, "revisit").otherwise("response").alias("kind"),
