@@ -47,10 +47,6 @@ def clip(value: Column, low: float, high: float) -> Column:
     return F.when(finite.isNotNull(), F.least(F.greatest(finite, F.lit(low)), F.lit(high)))
 
 
-def hours_between(earlier: Column, later: Column) -> Column:
-    return (later - earlier) / F.lit(3600.0)
-
-
 def prorated(amount: Column, observed: Column, original: Column) -> Column:
     """An interval's amount scaled to its observed part; an interval without length counts in full."""
     share = F.try_divide(observed, F.when(original > 0, original))

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from cohortspark.functions.columns import hash_order, hash_uniform
+from cohortspark.functions.columns import hash_order, hash_uniform, to_id
+from cohortspark.operators.gates import leakage
 from cohortspark.operators.ordering import global_running
-from cohortspark.operators.timeops import HOUR, asof
+from cohortspark.operators.timeops import HOUR, asof, first_by
+from cohortspark.sources.staging import pinned
 
-SPLITS = {"train": "train", "training": "train", "val": "val", "valid": "val", "validation": "val", "dev": "val", "test": "test", "testing": "test"}
+#: Spellings of the splits.
+SPLITS = {
+    "train": "train", "tr": "train", "training": "train", "val": "val", "valid": "val", "validation": "val", "dev": "val",
+    "test": "test", "te": "test", "testing": "test",
+}
 
 
 def paired(abx: DataFrame, cultures: DataFrame, hours_after: float = 24, hours_before: float = 72) -> DataFrame:
@@ -47,27 +52,75 @@ def suspicion_with_prediction(abx: DataFrame, cultures: DataFrame, lead_hours: f
     )
 
 
-def match_controls(offsets: DataFrame, controls: DataFrame, lead: float) -> DataFrame:
-    """One control for each offset, without replacement, as many matches as possible.
+def requested_offsets(offsets: DataFrame, ratio: float = 1.0, seed: int = 0) -> DataFrame:
+    """Offsets that controls are wanted for: positive_id, copy and offset, round(n * ratio) of them, n counting all rows.
 
-    offsets: positive_id, offset; controls: control_id, capacity (an offset needs capacity >= offset + lead). Longest
-    offsets come first. With c_i controls able to serve offset i in that order, i + min(0, min_{j<=i}(c_j - j)) offsets
-    are matched up to i; a matched one takes the control of that rank by falling capacity. Rows of unmatched offsets
-    keep a null control.
+    Null and negative offsets are left out first. Where more remain than are wanted, the first in hash order stand; where
+    fewer do, copies of them are drawn with replacement by hash.
     """
-    need = offsets.select((F.col("offset") + lead).alias("v"), F.lit(1).alias("kind"), F.col("positive_id").alias("id"), "offset")
-    have = controls.select(F.col("capacity").alias("v"), F.lit(0).alias("kind"), F.col("control_id").alias("id"), F.lit(None).cast("double").alias("offset"))
+    n_all = offsets.count()
+    usable = offsets.where("offset >= 0").select("positive_id", "offset", F.lit(1).cast("long").alias("one"))
+    listed = global_running(usable, [hash_order(seed, F.col("positive_id")), F.col("positive_id"), F.col("offset")], {"place": "one"})
+    listed = pinned(listed.select("positive_id", "offset", (F.col("place") - 1).alias("place")))
+    n, wanted = listed.count(), round(n_all * ratio)
+    first = listed.where(F.col("place") < wanted).select("positive_id", F.lit(0).cast("long").alias("copy"), "offset")
+    if wanted <= n or n == 0:
+        return first
+    extra = offsets.sparkSession.range(1, wanted - n + 1).withColumnRenamed("id", "copy")
+    extra = extra.withColumn("place", F.floor(hash_uniform(seed, F.col("copy")) * n))
+    return first.unionByName(extra.join(listed.hint("merge"), "place").select("positive_id", "copy", "offset"))
+
+
+def _ranked(needs: DataFrame, controls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Needs (id, copy, v) and controls (id, v) in one falling order, with counts up to each and the matches up to each need.
+
+    With c_i controls able to serve need i, i + min(0, min_{j<=i}(c_j - j)) needs can be matched up to i.
+    """
+    need = needs.select("v", F.lit(1).alias("kind"), "id", "copy")
+    have = controls.select("v", F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("copy"))
     both = need.unionByName(have).where("v is not null")
     both = both.withColumns({"is_need": F.col("kind").cast("long"), "is_have": (1 - F.col("kind")).cast("long")})
-    order = [F.col("v").desc(), F.col("kind"), F.col("id")]
+    order = [F.col("v").desc(), F.col("kind"), F.col("id"), F.col("copy")]
     ranked = global_running(both, order, {"i": "is_need", "c": "is_have"})
     slack = ranked.where("kind = 1").withColumn("slack", F.col("c") - F.col("i"))
     run = global_running(slack, order, {}, {"least": "slack"})
     upto = F.col("i") + F.least(F.lit(0).cast("long"), F.col("least"))
     before = F.col("i") - 1 + F.least(F.lit(0).cast("long"), F.coalesce("least_before", F.lit(0).cast("long")))
-    found = run.select(F.col("id").alias("positive_id"), "offset", F.when(upto > before, upto).alias("c"))
-    taken = ranked.where("kind = 0").select(F.col("id").alias("control_id"), F.col("v").alias("capacity"), "c")
-    return found.join(taken, "c", "left").select("positive_id", "offset", "control_id", "capacity")
+    needs = run.select("id", "copy", "v", "i", "c", F.when(upto > before, upto).alias("m"))
+    return needs, ranked.where("kind = 0").select("id", "v", "i", "c")
+
+
+def _by_rank(needs: DataFrame, controls: DataFrame) -> DataFrame:
+    """The m-th need that can be matched takes the m-th control: id, copy, control_id and capacity."""
+    found, ranked = _ranked(needs, controls)
+    taken = ranked.select(F.col("id").alias("control_id"), F.col("v").alias("capacity"), F.col("c").alias("m"))
+    return found.join(taken, "m").select("id", "copy", "control_id", "capacity")
+
+
+def match_controls(offsets: DataFrame, controls: DataFrame, lead: float, ratio: float = 1.0, seed: int = 0) -> DataFrame:
+    """Controls for offsets, drawn without replacement among all that can serve them, as many matches as possible.
+
+    offsets: positive_id, offset; controls: control_id, capacity (an offset needs capacity >= offset + lead). Taking the
+    longest offsets first and a random free control for each, a control that can serve the matches i >= f stays free
+    with probability prod(1 - 1 / (c_i - m_i + 1)), c_i being the controls able to serve match m_i. Each control is
+    drawn with that very chance by its hash; the drawn ones are matched by rank, and offsets that are left over by rank
+    with those not drawn, which leaves as many matched as any matching. Unmatched offsets keep a null control.
+    """
+    wanted = pinned(requested_offsets(offsets, ratio, seed))
+    needs = wanted.select(F.col("positive_id").alias("id"), "copy", (F.col("offset") + lead).alias("v"))
+    pool = pinned(controls.where("capacity is not null").select(F.col("control_id").alias("id"), F.col("capacity").alias("v")))
+    found, _ = _ranked(needs, pool)
+    free = F.col("c") - F.col("m") + 1
+    stays = found.where("m is not null").select("v", F.lit(1).alias("kind"), "id", F.when(free > 1, F.log1p(-1 / free)).otherwise(-1e9).alias("w"))
+    both = stays.unionByName(pool.select("v", F.lit(0).alias("kind"), "id", F.lit(0.0).alias("w")))
+    # From the shortest up: all matches that a control can serve lie before it.
+    poured = global_running(both, [F.col("v"), F.col("kind").desc(), F.col("id")], {"log_free": "w"}).where("kind = 0")
+    drawn = pinned(poured.select("id", "v", (hash_uniform(seed, F.col("id")) >= F.exp("log_free")).alias("drawn")))
+    first = pinned(_by_rank(needs, drawn.where("drawn").select("id", "v")))
+    left = needs.join(first.select("id", "copy").hint("merge"), ["id", "copy"], "left_anti")
+    rest = drawn.join(first.select(F.col("control_id").alias("id")).hint("merge"), "id", "left_anti").select("id", "v")
+    matched = pinned(first.unionByName(_by_rank(left, rest))).withColumnRenamed("id", "positive_id")
+    return wanted.join(matched.hint("merge"), ["positive_id", "copy"], "left").select("positive_id", "copy", "offset", "control_id", "capacity")
 
 
 def random_controls(pool: DataFrame, offsets: DataFrame, ratio: int, seed: int) -> DataFrame:
@@ -87,16 +140,27 @@ def random_controls(pool: DataFrame, offsets: DataFrame, ratio: int, seed: int)
     return joined.select("stay_id", "intime", "outtime", F.least(F.col("intime") + F.col("offset"), F.col("outtime")).alias("prediction_time"))
 
 
+def _ranked_subjects(rows: DataFrame, seed: int) -> DataFrame:
+    """subject_id, label (its largest), its rank r in hash order within the label and the label's number n of subjects."""
+    subjects = rows.groupBy("subject_id").agg(F.max("label").alias("label"))
+    return ranked_within(subjects, "label", [hash_order(seed, F.col("subject_id")), F.col("subject_id")])
+
+
+def ranked_within(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """``rows`` with the rank r within a group of few values, however many rows each has, and the group's size n."""
+    ranked = pinned(global_running(rows.withColumn("one", F.lit(1).cast("long")), [F.col(group), *order], {"place": "one"}).drop("one"))
+    sizes = ranked.groupBy(F.col(group).alias("of")).agg(F.count("*").alias("n"), (F.min("place") - 1).alias("start"))
+    joined = ranked.join(F.broadcast(sizes), F.col(group).eqNullSafe(F.col("of")))  # one row a value
+    return joined.withColumn("r", F.col("place") - F.col("start")).drop("of", "start", "place")
+
+
 def assign_splits(rows: DataFrame, train: float = 0.7, val: float = 0.15, seed: int = 0) -> DataFrame:
     """subject_id and split, stratified by the subject's label (its largest), every subject in one split.
 
     Within a label, subjects in hash order give round-half-even(n * train) to train, the same of val to val, the rest
-    to test. Ranks come from one window per label; counts of subjects are small beside their events.
+    to test.
     """
-    subjects = rows.groupBy("subject_id").agg(F.max("label").alias("label"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(hash_order(seed, F.col("subject_id")), "subject_id"))
-    n = F.count("*").over(Window.partitionBy("label"))
-    ranked = subjects.select("subject_id", "label", rank.alias("r"), n.alias("n"))
+    ranked = _ranked_subjects(rows, seed)
     to_train, to_val = F.bround(F.col("n") * train), F.bround(F.col("n") * val)
     split = F.when(F.col("r") <= to_train, "train").when(F.col("r") <= to_train + to_val, "val").otherwise("test")
     return ranked.select("subject_id", "label", split.alias("split"))
@@ -104,22 +168,67 @@ def assign_splits(rows: DataFrame, train: float = 0.7, val: float = 0.15, seed:
 
 def grouped_folds(rows: DataFrame, folds: int = 5, seed: int = 0) -> DataFrame:
     """subject_id and fold: subjects of each label in hash order, dealt in turn."""
-    subjects = rows.groupBy("subject_id").agg(F.max("label").alias("label"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(hash_order(seed, F.col("subject_id")), "subject_id"))
-    return subjects.select("subject_id", "label", ((rank - 1) % folds).cast("int").alias("fold"))
+    ranked = _ranked_subjects(rows, seed)
+    return ranked.select("subject_id", "label", ((F.col("r") - 1) % folds).cast("int").alias("fold"))
+
+
+def fallback_splits(rows: DataFrame, seed: int = 42) -> DataFrame:
+    """subject_id and split by two rounds of five folds: a fifth is test, a fifth of the rest val (about 64, 16, 20 %)."""
+    outer = pinned(grouped_folds(rows, 5, seed))
+    rest = rows.join(outer.where("fold > 0").select("subject_id").hint("merge"), "subject_id", "left_semi")
+    inner = grouped_folds(rest, 5, seed + 1).select("subject_id", "label", F.when(F.col("fold") == 0, "val").otherwise("train").alias("split"))
+    return outer.where("fold = 0").select("subject_id", "label", F.lit("test").alias("split")).unionByName(inner)
 
 
 def normal_split(name: Column) -> Column:
-    """train, val or test for the usual spellings; null for others."""
+    """train, val or test for the usual spellings; an error for others, null among them."""
     plain = F.lower(F.trim(name))
-    result = F.lit(None).cast("string")
-    for alias, split in SPLITS.items():
-        result = F.when(plain == alias, split).otherwise(result)
-    return result
+    unknown = F.raise_error(F.concat(F.lit("unknown split: "), F.coalesce(name, F.lit("null")))).cast("string")
+    found = F.get(F.array(*map(F.lit, SPLITS.values())), F.array_position(F.array(*map(F.lit, SPLITS)), plain).cast("int") - 1)
+    return F.coalesce(found, unknown)
 
 
-def balanced_subset(rows: DataFrame, per_label: int, seed: int | None = None) -> DataFrame:
-    """The first ``per_label`` rows of each label, by stay_id or in hash order of a seed."""
+def normal_cohort(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """``rows`` with whole-number stay_id, subject_id and label; rows without one go, of each stay the first row stays."""
+    ids = {c: to_id(F.col(c).cast("string")) for c in ("stay_id", "subject_id", "label")}
+    clean = rows.withColumns(ids).where("stay_id is not null and subject_id is not null and label is not null")
+    return first_by(clean, ["stay_id"], [*(order or []), "subject_id", "label"])
+
+
+def load_splits(cohort: DataFrame, seed: int = 42) -> DataFrame:
+    """stay_id and split of a cohort (stay_id, subject_id, label and perhaps split), one row a stay.
+
+    Splits are read by their spellings, or made by ``fallback_splits`` where the column is missing. Raises for an
+    unknown spelling, for a subject in two splits and for an empty split.
+    """
+    ids = [c for c in ("stay_id", "subject_id", "label") if c in cohort.columns]
+    if len(ids) < 3:
+        raise ValueError("a cohort needs stay_id, subject_id and label")
+    if "split" in cohort.columns:
+        rows = pinned(normal_cohort(cohort.withColumn("split", normal_split(F.col("split"))), ["split"]))
+    else:
+        rows = normal_cohort(cohort)
+        rows = pinned(rows.join(fallback_splits(rows, seed).select("subject_id", "split").hint("merge"), "subject_id"))
+    leaking = [r["subject_id"] for r in leakage(rows).select("subject_id").limit(10).collect()]
+    if leaking:
+        raise ValueError(f"subjects in several splits, among them {leaking}")
+    missing = {"train", "val", "test"} - {r["split"] for r in rows.select("split").distinct().collect()}
+    if missing:
+        raise ValueError(f"empty splits: {sorted(missing)}")
+    return rows.select("stay_id", "split")
+
+
+def balanced_subset(rows: DataFrame, per_label: int, seed: int | None = None, top_up: bool = False) -> DataFrame:
+    """The first ``per_label`` rows of each label, by stay_id or in hash order of a seed.
+
+    With ``top_up`` a label that has fewer leaves its places to the next rows of the others.
+    """
     order = [F.col("stay_id")] if seed is None else [hash_order(seed, F.col("stay_id")), F.col("stay_id")]
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(*order))
-    return rows.withColumn("r", rank).where(F.col("r") <= per_label).drop("r")
+    ranked = ranked_within(rows, "label", order)
+    if not top_up:
+        return ranked.where(F.col("r") <= per_label).drop("r", "n")
+    ranked = pinned(ranked)
+    first = ranked.where(F.col("r") <= per_label)
+    missing = per_label * ranked.select("label").distinct().count() - first.count()
+    more = ranked.where(F.col("r") > per_label).orderBy("r", *order).limit(missing)
+    return first.unionByName(more).drop("r", "n")

@@ -1,7 +1,7 @@
 """Evaluation of predictions: rows (keys..., y 0/1, prob). Every function works on all runs at once, by ``keys``.
 
-Scores are summed by distinct probability before anything is ordered, so a window sees one row per distinct score of
-a run, never the predictions themselves.
+Scores are summed by distinct probability before anything is ordered. Without keys the running totals go over ranges of
+the scores; with keys each run is a window of its own, over one row per distinct score.
 """
 
 from __future__ import annotations
@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortspark.functions.columns import hash_uniform
+from cohortspark.operators.ordering import global_running
+from cohortspark.sources.staging import pinned
 
 
 def score_groups(preds: DataFrame, keys: list[str]) -> DataFrame:
     """Per distinct score: positives and negatives, their running totals from the highest score, and the run's totals."""
     groups = preds.groupBy(*keys, "prob").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
+    if not keys:
+        run = pinned(global_running(groups, [F.col("prob").desc()], {"tp": "pos", "fp": "neg"}))
+        n_pos, n_neg = run.agg(F.max("tp"), F.max("fp")).first()
+        return run.withColumns({"n_pos": F.lit(n_pos).cast("long"), "n_neg": F.lit(n_neg).cast("long")})
     down = Window.partitionBy(*keys).orderBy(F.col("prob").desc())
     all_ = Window.partitionBy(*keys)
     return groups.withColumns(
@@ -115,18 +121,30 @@ def calibration_error(preds: DataFrame, keys: list[str], bins: int = 10) -> Data
     return cells.groupBy(*keys).agg((F.sum(F.col("n") * F.abs(F.col("p") - F.col("q"))) / F.sum("n")).alias("ece"))
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
+    """Linear quantiles of a column by global ranks; only the values at the wanted ranks reach the driver."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.lit(1).cast("long").alias("one"))
+    ranked = pinned(global_running(rows, [F.col("v")], {"place": "one"}))
+    n = ranked.count()
+    if n == 0:
+        return []
+    spots = [q * (n - 1) for q in shares]
+    wanted = sorted({int(p) + k for p in spots for k in (1, 2) if int(p) + k <= n})
+    at = {r["place"] - 1: r["v"] for r in ranked.where(F.col("place").isin(wanted)).collect()}
+    return [at[int(p)] if p == int(p) or at[int(p)] == at[int(p) + 1] else (int(p) + 1 - p) * at[int(p)] + (p - int(p)) * at[int(p) + 1] for p in spots]
+
+
 def calibration_quantiles(preds: DataFrame, bins: int = 10) -> DataFrame:
     """Mean probability and positive share of quantile bins (right-closed, equal edges merge), one run."""
-    edges = preds.agg(F.percentile("prob", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("edges"))
-    bin_ = F.size(F.array_distinct(F.filter("edges", lambda e: e < F.col("prob"))))
-    rows = preds.crossJoin(F.broadcast(edges))
-    return rows.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg("prob").alias("mean_prob"), F.avg("y").alias("share_positive"))
+    edges = sorted(set(quantiles(preds, "prob", [i / bins for i in range(1, bins)])))
+    bin_ = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("prob"))) if edges else F.lit(0)
+    return preds.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg("prob").alias("mean_prob"), F.avg("y").alias("share_positive"))
 
 
 def quartile(df: DataFrame, value: str, name: str = "quartile") -> DataFrame:
     """``df`` with the right-closed quartile (1 to 4) of a value by linear quantiles."""
-    edges = df.agg(F.percentile(value, F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])).alias("edges"))
-    return df.crossJoin(F.broadcast(edges)).withColumn(name, 1 + F.size(F.filter("edges", lambda e: e < F.col(value)))).drop("edges")
+    edges = quantiles(df, value, [0.25, 0.5, 0.75]) or [0.0]
+    return df.withColumn(name, 1 + F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(value))))
 
 
 def draws(n: int, replicates: int, seed: int, spark) -> DataFrame:
@@ -144,7 +162,7 @@ def bootstrap(indexed: DataFrame, n: int, metric, keys: list[str], replicates: i
     indexed: ``at`` (0..n-1), keys, y and prob. The draws join the rows once for all runs; replicates of one class
     drop out.
     """
-    drawn = draws(n, replicates, seed, indexed.sparkSession).join(indexed, "at")
+    drawn = draws(n, replicates, seed, indexed.sparkSession).hint("merge").join(indexed, "at")
     values = metric(drawn, [*keys, "replicate"])
     name = [c for c in values.columns if c not in (*keys, "replicate")][0]
     return values.select(*keys, "replicate", F.col(name).alias("metric")).where("metric is not null")
@@ -172,6 +190,26 @@ def paired_difference(values: DataFrame, model: str, a: str, b: str) -> DataFram
     )
 
 
+def paired_table(values: DataFrame) -> DataFrame:
+    """``paired_difference`` of every two models of bootstrap values (model, replicate, metric)."""
+    other = values.select("replicate", F.col("model").alias("model_b"), F.col("metric").alias("metric_b"))
+    both = values.withColumnRenamed("model", "model_a").join(other.hint("merge"), "replicate").where("model_a < model_b")
+    d = F.col("metric") - F.col("metric_b")
+    tail = F.least(F.avg((d <= 0).cast("double")), F.avg((d >= 0).cast("double")))
+    return both.groupBy("model_a", "model_b").agg(
+        F.avg(d).alias("mean_difference"),
+        F.percentile(d, F.lit(0.025)).alias("ci_low"),
+        F.percentile(d, F.lit(0.975)).alias("ci_high"),
+        F.least(2 * tail, F.lit(1.0)).alias("p_value"),
+    )
+
+
+def consistent(found: DataFrame, reported: DataFrame, tolerance: float) -> DataFrame:
+    """model, metric, found, reported and whether they agree; a metric that one side lacks does not pass."""
+    both = found.join(reported, ["model", "metric"], "full")
+    return both.withColumn("passed", F.coalesce(F.abs(F.col("found") - F.col("reported")) <= tolerance, F.lit(False)))
+
+
 def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two prediction sets on shared ids: stay_id, y, prob_a, prob_b; raises where labels disagree."""
     joined = a.select("stay_id", F.col("y").alias("y_a"), F.col("prob").alias("prob_a")).join(
@@ -205,8 +243,6 @@ def seed_summary(runs: DataFrame, keys: list[str]) -> DataFrame:
 
 def permuted(rows: DataFrame, column: str, seed: int, repeat: int = 0) -> DataFrame:
     """``rows`` (row_no 0..n-1 and others) with one column's values dealt anew: row i gets that of the i-th row in hash order."""
-    from cohortspark.operators.ordering import global_running
-
     order = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.lit(repeat).cast("string"), F.col("row_no").cast("string")))
     ranked = rows.select("row_no", F.col(column).alias("new_value"), order.alias("o"), F.lit(1).cast("long").alias("one"))
     ranked = global_running(ranked, [F.col("o"), F.col("row_no")], {"to": "one"})

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cohortspark.sources.staging import pinned
+
 STATS = ("count", "present", "last", "min", "max", "mean", "std", "slope")
 
 
@@ -95,7 +97,7 @@ def grid_point(rows: DataFrame, cohort: DataFrame, concepts: DataFrame, train: D
     """Point-in-time concepts on the hourly grid: value (z-scored, carried forward), mask and delta."""
     scale = train_scale(rows, train)
     hourly = rows.groupBy("stay_id", "concept", time_index(F.col("hours_before"), bins).alias("t")).agg(F.avg("value").alias("v"))
-    full = skeleton(cohort, concepts, bins).join(hourly, ["stay_id", "concept", "t"], "left")
+    full = skeleton(cohort, concepts, bins).hint("merge").join(hourly, ["stay_id", "concept", "t"], "left")
     full = full.join(F.broadcast(scale), "concept", "left")
     frame = Window.partitionBy("stay_id", "concept").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     mu, sd = F.coalesce("mu", F.lit(0.0)), F.coalesce("sd", F.lit(1.0))
@@ -110,8 +112,8 @@ def grid_point(rows: DataFrame, cohort: DataFrame, concepts: DataFrame, train: D
 def grid_cumulative(rows: DataFrame, cohort: DataFrame, concepts: DataFrame, train: DataFrame, bins: int = 24) -> DataFrame:
     """Cumulative concepts on the grid: hourly sums (0 where none), log1p, z-scored over all training hours."""
     hourly = rows.groupBy("stay_id", "concept", time_index(F.col("hours_before"), bins).alias("t")).agg(F.sum("value").alias("v"))
-    full = skeleton(cohort, concepts, bins).join(hourly, ["stay_id", "concept", "t"], "left")
-    full = full.withColumn("x", F.log1p(F.greatest(F.coalesce("v", F.lit(0.0)), F.lit(0.0))))
+    full = skeleton(cohort, concepts, bins).hint("merge").join(hourly, ["stay_id", "concept", "t"], "left")
+    full = pinned(full.withColumn("x", F.log1p(F.greatest(F.coalesce("v", F.lit(0.0)), F.lit(0.0)))))  # scaled, then read again
     scale = train_scale(full.select("stay_id", "concept", F.col("x").alias("value")), train)
     full = full.join(F.broadcast(scale), "concept", "left")
     frame = Window.partitionBy("stay_id", "concept").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
@@ -142,3 +144,10 @@ def grid_faults(grid: DataFrame, bins: int = 24) -> DataFrame:
         bad((F.col("delta") < 0) | (F.col("delta") > 1))("bad_delta"),
         F.abs(hours).alias("bad_bins"),
     )
+
+
+def feature_slices(spark, series: dict[str, list[str]], static: list[str]) -> DataFrame:
+    """(modality, unit, first, last): the columns of each concept in a packed grid, or of each static feature."""
+    rows = [(m, c, 3 * i, 3 * i + 2) for m, concepts in series.items() for i, c in enumerate(concepts)]
+    rows += [("static", c, i, i) for i, c in enumerate(static)]
+    return spark.createDataFrame(rows, "modality string, unit string, first long, last long")

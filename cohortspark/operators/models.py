@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.errors import IllegalArgumentException, PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -10,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.columns import clip
-from cohortspark.operators.evaluation import auprc, permuted
+from cohortspark.operators.evaluation import auprc
+from cohortspark.operators.ordering import global_running
+from cohortspark.sources.staging import pinned
 
 
 def design_matrix(blocks: list[DataFrame], cohort: DataFrame, drop: list[str] = ()) -> tuple[DataFrame, list[str]]:
@@ -66,27 +72,51 @@ def fit(pipeline: Pipeline, matrix: DataFrame) -> PipelineModel:
     return pipeline.fit(matrix.where("split = 'train'"))
 
 
-def predict(model: PipelineModel, matrix: DataFrame) -> DataFrame:
+def predict(model: PipelineModel, matrix: DataFrame, keys: list[str] = ()) -> DataFrame:
     scored = model.transform(matrix)
-    return scored.select("stay_id", "split", F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("prob"))
-
-
-def permutation_importance(model: PipelineModel, matrix: DataFrame, names: list[str], repeats: int = 20, seed: int = 0) -> DataFrame:
-    """feature, importance_mean and importance_sd: the drop of average precision when a column is dealt anew.
-
-    matrix needs row_no (0..n-1); all features and repeats are scored as one table.
+    return scored.select(*keys, "stay_id", "split", F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("prob"))
+
+
+def sweep(runs: dict[str, Callable[[], Pipeline]], matrix: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Predictions of every run (run, split, y, prob), and (run, error) of those that failed."""
+    spark = matrix.sparkSession
+    scored, failed = [], []
+    for name, pipeline in runs.items():
+        try:
+            scored.append(predict(fit(pipeline(), matrix), matrix).withColumn("run", F.lit(name)))
+        except (ValueError, IllegalArgumentException, PySparkException) as error:
+            failed.append((name, f"{type(error).__name__}: {str(error).splitlines()[0]}"[:200]))
+    if not scored:
+        raise ValueError(f"every run failed: {failed}")
+    return reduce(lambda a, b: a.unionByName(b), scored), spark.createDataFrame(failed, "run string, error string")
+
+
+def permutation_importance(
+    model: PipelineModel, matrix: DataFrame, units: dict[str, list[str]], repeats: int = 20, seed: int = 0
+) -> DataFrame:
+    """feature, importance_mean and importance_sd: the drop of average precision when a unit's columns are dealt anew.
+
+    units: the columns of each feature, moved together (one column, or all of a concept). matrix needs row_no (0..n-1).
+    Each repeat has one permutation, the same for every unit; all repeats are numbered in one pass and all units scored
+    as one table.
     """
-    base = predict(model, matrix).withColumn("run", F.lit("base"))
-    tables = [base.select("run", "y", "prob")]
-    for name in names:
-        for repeat in range(repeats):
-            dealt = permuted(matrix, name, seed, repeat).withColumn(f"{name}__gap", F.col(name).isNull().cast("double"))
-            tables.append(predict(model, dealt).select(F.lit(f"{name}|{repeat}").alias("run"), "y", "prob"))
-    together = tables[0]
-    for t in tables[1:]:
-        together = together.unionByName(t)
-    scores = auprc(together, ["run"])
-    whole = scores.where("run = 'base'").select(F.col("auprc").alias("whole"))
-    drops = scores.where("run <> 'base'").crossJoin(F.broadcast(whole))
-    drops = drops.select(F.split("run", r"\|")[0].alias("feature"), (F.col("whole") - F.col("auprc")).alias("d"))
-    return drops.groupBy("feature").agg(F.avg("d").alias("importance_mean"), F.stddev_pop("d").alias("importance_sd"))
+    names = sorted({c for columns in units.values() for c in columns})
+    n = matrix.count()
+    dealt = matrix.select("row_no", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    order = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("repeat").cast("string"), F.col("row_no").cast("string")))
+    dealt = dealt.withColumns({"o": order, "one": F.lit(1).cast("long")})
+    ranked = global_running(dealt, [F.col("repeat"), F.col("o"), F.col("row_no")], {"to": "one"})
+    moved = pinned(ranked.select("repeat", F.col("row_no").alias("source"), (F.col("to") - 1 - F.col("repeat") * n).alias("row_no")))
+    values = matrix.select(F.col("row_no").alias("source"), F.struct(*names).alias("new"))
+    rows = moved.join(values.hint("merge"), "source").join(matrix.hint("merge"), "row_no")
+    rows = rows.withColumn("feature", F.explode(F.array(*map(F.lit, units))))
+    replaced = {}
+    for c in names:
+        mine = F.col("feature").isin([u for u, columns in units.items() if c in columns])
+        replaced[c] = F.when(mine, F.col(f"new.{c}")).otherwise(F.col(c))
+        replaced[f"{c}__gap"] = replaced[c].isNull().cast("double")
+    scored = predict(model, rows.withColumns(replaced), ["feature", "repeat"])
+    runs = auprc(pinned(scored), ["feature", "repeat"])
+    whole = auprc(predict(model, matrix), []).first()["auprc"]
+    drop = F.lit(whole) - F.col("auprc")
+    return runs.groupBy("feature").agg(F.avg(drop).alias("importance_mean"), F.stddev_pop(drop).alias("importance_sd"))

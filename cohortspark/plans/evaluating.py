@@ -11,6 +11,7 @@ from cohortspark.operators.ordering import global_running
 from cohortspark.operators.timeops import point_window
 from cohortspark.plans.inputs import CONCEPTS, PR, SG, WIN, points, predictions, r6, stays, table
 from cohortspark.plans.registry import query
+from cohortspark.plans.sourcing import folder
 from cohortspark.sources.staging import pinned
 from cohortspark.sources.tables import read_predictions, run_index, write_predictions
 from cohortspark.streaming.export import stream_export
@@ -157,10 +158,10 @@ def stratified_auroc(spark, sf_dir):
     return sizes.join(E.auroc(strata, ["stratum"]), "stratum").where("auroc is not null").select("stratum", "n", r6("auroc").alias("auroc"))
 
 
-REPS = 50
+REPS = 1000
 DRAWS = PR + f""", ix AS (SELECT *, row_number() OVER (ORDER BY stay_id) - 1 AS pos_no, count(*) OVER () AS n FROM pr)
 , dr AS (SELECT r.i AS replicate, floor(('0x' || substr(md5('2:' || r.i || ':' || s.i), 1, 8))::BIGINT / 4294967296.0 * (SELECT count(*) FROM pr))::BIGINT AS pos_no FROM range({REPS}) r(i), range((SELECT count(*) FROM pr)) s(i))
-, pr2 AS (SELECT dr.replicate, m.model, ix.y, CASE m.model WHEN 'a' THEN prob ELSE prob_b END AS prob FROM dr JOIN ix USING (pos_no), (SELECT unnest(['a', 'b']) AS model) m)
+, pr2 AS (SELECT dr.replicate, m.model, ix.y, CASE m.model WHEN 'a' THEN prob WHEN 'b' THEN prob_b ELSE (prob + prob_b) / 2 END AS prob FROM dr JOIN ix USING (pos_no), (SELECT unnest(['a', 'b', 'c']) AS model) m)
 , g AS (SELECT model, replicate, prob, sum(y)::BIGINT AS pos, sum(1 - y)::BIGINT AS neg FROM pr2 GROUP BY 1, 2, 3)
 , sg AS (SELECT *, sum(pos) OVER (PARTITION BY model, replicate ORDER BY prob DESC) AS tp, sum(pos) OVER (PARTITION BY model, replicate) AS n_pos, sum(neg) OVER (PARTITION BY model, replicate) AS n_neg FROM g)
 , bs AS (SELECT model, replicate, {AUC} AS metric FROM sg GROUP BY 1, 2 HAVING max(n_pos) > 0 AND max(n_neg) > 0)"""
@@ -169,14 +170,20 @@ DRAWS = PR + f""", ix AS (SELECT *, row_number() OVER (ORDER BY stay_id) - 1 AS
 def _bootstrap(spark, sf_dir):
     preds = predictions(spark, sf_dir).withColumn("one", F.lit(1).cast("long"))
     ranked = pinned(global_running(preds, [F.col("stay_id")], {"at": "one"}).withColumn("at", F.col("at") - 1))
-    models = F.explode(F.array(F.struct(F.lit("a").alias("model"), F.col("prob").alias("prob")), F.struct(F.lit("b").alias("model"), F.col("prob_b").alias("prob")))).alias("m")
-    indexed = ranked.select("at", "y", models).select("at", "y", "m.model", "m.prob")
+    indexed = _three_models(ranked, "at")
     return E.bootstrap(indexed, ranked.count(), E.auroc, ["model"], REPS, 2)
 
 
+def _three_models(preds, *keys):
+    """Long rows of the models a, b and c, their mean."""
+    probs = {"a": F.col("prob"), "b": F.col("prob_b"), "c": (F.col("prob") + F.col("prob_b")) / 2}
+    models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), p.alias("prob")) for m, p in probs.items()])).alias("m")
+    return preds.select(*keys, "y", models).select(*keys, "y", "m.model", "m.prob")
+
+
 @query("bootstrap_ci", "WITH " + DRAWS + " SELECT model, round(quantile_cont(metric, 0.025), 6) AS ci_low, round(quantile_cont(metric, 0.975), 6) AS ci_high, count(*) AS n_valid FROM bs GROUP BY 1")
 def bootstrap_ci(spark, sf_dir):
-    """I4: percentile intervals of the AUROC for two models."""
+    """I4: percentile intervals of the AUROC for three models."""
     rows = E.interval(_bootstrap(spark, sf_dir), ["model"])
     return rows.select("model", r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"), "n_valid")
 
@@ -192,6 +199,63 @@ def paired_bootstrap(spark, sf_dir):
     return rows.select(*[r6(c).alias(c) for c in rows.columns])
 
 
+@query(
+    "paired_table",
+    "WITH " + DRAWS + """, d AS (SELECT p.model AS model_a, q.model AS model_b, p.metric - q.metric AS d FROM bs p JOIN bs q ON p.replicate = q.replicate AND p.model < q.model)
+SELECT model_a, model_b, round(avg(d), 6) AS mean_difference, round(quantile_cont(d, 0.025), 6) AS ci_low, round(quantile_cont(d, 0.975), 6) AS ci_high, round(least(2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT)), 1), 6) AS p_value FROM d GROUP BY 1, 2""",
+)
+def paired_table(spark, sf_dir):
+    """Every pair of models on equal draws."""
+    rows = E.paired_table(_bootstrap(spark, sf_dir))
+    return rows.select("model_a", "model_b", *[r6(c).alias(c) for c in rows.columns if not c.startswith("model")])
+
+
+THREE = PR + f""", lm AS (SELECT stay_id, y, prob, 'a' AS model FROM pr UNION ALL SELECT stay_id, y, prob_b, 'b' FROM pr UNION ALL SELECT stay_id, y, (prob + prob_b) / 2, 'c' FROM pr)
+, lg AS (SELECT model, prob, sum(y)::BIGINT AS pos, sum(1 - y)::BIGINT AS neg FROM lm GROUP BY 1, 2)
+, ls AS (SELECT *, sum(pos) OVER (PARTITION BY model ORDER BY prob DESC) AS tp, sum(neg) OVER (PARTITION BY model ORDER BY prob DESC) AS fp, sum(pos) OVER (PARTITION BY model) AS n_pos, sum(neg) OVER (PARTITION BY model) AS n_neg FROM lg)
+, lr AS (SELECT model, {AUC} AS auroc, {AP} AS auprc, any_value(n_pos) AS n_pos, any_value(n_pos) + any_value(n_neg) AS n FROM ls GROUP BY 1)"""
+
+
+def _points(spark, sf_dir):
+    rows = pinned(_three_models(predictions(spark, sf_dir), "stay_id"))
+    counts = rows.groupBy("model").agg(F.count("*").alias("n"), F.sum("y").alias("n_pos"))
+    return counts.join(E.auroc(rows, ["model"]), "model").join(E.auprc(rows, ["model"]), "model")
+
+
+@query(
+    "model_table",
+    "WITH " + DRAWS + ", ci AS (SELECT model, quantile_cont(metric, 0.025) AS low, quantile_cont(metric, 0.975) AS high FROM bs GROUP BY 1)" + THREE[len(PR):] + """
+SELECT CASE model WHEN 'b' THEN 'random' ELSE 'classical' END AS arm, model, n, round(n_pos / n, 6) AS prevalence, round(auroc, 6) AS auroc, round(low, 6) AS ci_low, round(high, 6) AS ci_high, round(auprc, 6) AS auprc FROM lr JOIN ci USING (model)""",
+)
+def model_table(spark, sf_dir):
+    """The models of both arms on shared columns, with intervals."""
+    rows = _points(spark, sf_dir).join(E.interval(_bootstrap(spark, sf_dir), ["model"]), "model")
+    arm = F.when(F.col("model") == "b", "random").otherwise("classical").alias("arm")
+    share = r6(F.col("n_pos") / F.col("n")).alias("prevalence")
+    return rows.select(arm, "model", "n", share, *[r6(c).alias(c) for c in ("auroc", "ci_low", "ci_high", "auprc")])
+
+
+@query(
+    "rule_intervals",
+    "WITH " + PR + f""", ix AS (SELECT *, row_number() OVER (ORDER BY stay_id) - 1 AS pos_no FROM pr)
+, dr AS (SELECT r.i AS replicate, floor(('0x' || substr(md5('2:' || r.i || ':' || s.i), 1, 8))::BIGINT / 4294967296.0 * (SELECT count(*) FROM pr))::BIGINT AS pos_no FROM range({REPS}) r(i), range((SELECT count(*) FROM pr)) s(i))
+, rl AS (SELECT replicate, score, cut, sum((s >= cut AND y = 1)::INT) / nullif(sum(y), 0) AS se FROM (
+   SELECT replicate, y, unnest([{{'score': 'length', 's': prob}}, {{'score': 'random', 's': prob_b}}, {{'score': 'mean', 's': (prob + prob_b) / 2}}], recursive := true) FROM dr JOIN ix USING (pos_no)), (SELECT unnest([0.1, 0.3, 0.5])::DOUBLE AS cut) GROUP BY 1, 2, 3)
+SELECT score, cut, round(quantile_cont(se, 0.025), 6) AS ci_low, round(quantile_cont(se, 0.975), 6) AS ci_high FROM rl WHERE se IS NOT NULL GROUP BY 1, 2""",
+)
+def rule_intervals(spark, sf_dir):
+    """Three scores at fixed cut-offs, with intervals of the sensitivity."""
+    preds = predictions(spark, sf_dir).withColumn("one", F.lit(1).cast("long"))
+    ranked = pinned(global_running(preds, [F.col("stay_id")], {"at": "one"}).withColumn("at", F.col("at") - 1))
+    drawn = E.draws(ranked.count(), REPS, 2, spark).hint("merge").join(ranked, "at")
+    scores = {"length": F.col("prob"), "random": F.col("prob_b"), "mean": (F.col("prob") + F.col("prob_b")) / 2}
+    hits = {(n, c): F.try_divide(F.count_if((s >= c) & (F.col("y") == 1)), F.sum("y")) for n, s in scores.items() for c in (0.1, 0.3, 0.5)}
+    found = drawn.groupBy("replicate").agg(F.array(*[F.struct(F.lit(n).alias("score"), F.lit(c).alias("cut"), v.alias("metric")) for (n, c), v in hits.items()]).alias("r"))
+    values = found.select(F.explode("r").alias("r")).select("r.*").where("metric is not null")
+    rows = E.interval(values, ["score", "cut"])
+    return rows.select("score", "cut", r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"))
+
+
 @query("align_predictions", "WITH " + PR + " SELECT stay_id, y, prob AS prob_a, prob_b FROM pr WHERE stay_id % 3 <> 0 AND stay_id % 5 <> 0")
 def align_predictions(spark, sf_dir):
     """Two models' predictions on the ids that both have."""
@@ -255,15 +319,16 @@ def cohort_figures(spark, sf_dir):
 
 @query(
     "metric_consistency",
-    "WITH " + SG + f" SELECT 'model a' AS gate, TRUE AS passed, round({AUC}, 6) AS auroc, round({AP}, 6) AS auprc FROM sg",
+    "WITH " + THREE + """ SELECT model, metric, round(v, 6) AS found, abs(v - (CASE WHEN model = 'b' AND metric = 'auroc' THEN round(v, 3) + 0.01 ELSE round(v, 3) END)) <= 0.0006 AS passed
+FROM (SELECT model, 'auroc' AS metric, auroc AS v FROM lr UNION ALL SELECT model, 'auprc', auprc FROM lr)""",
 )
 def metric_consistency(spark, sf_dir):
-    """Metrics recomputed from the predictions, and the curve that must end at (1, 1)."""
-    preds = predictions(spark, sf_dir).select("y", "prob")
-    both = E.auroc(preds, []).crossJoin(F.broadcast(E.auprc(preds, [])))
-    curve = E.curve_points(preds, []).agg(F.max("tpr").alias("tpr"), F.max("fpr").alias("fpr"))
-    passed = (F.abs(F.col("tpr") - 1) < 1e-9) & (F.abs(F.col("fpr") - 1) < 1e-9)
-    return both.crossJoin(F.broadcast(curve)).select(F.lit("model a").alias("gate"), passed.alias("passed"), r6("auroc").alias("auroc"), r6("auprc").alias("auprc"))
+    """Metrics recomputed from the predictions against a reported table, one entry of which is off."""
+    found = _points(spark, sf_dir)
+    long = found.select("model", F.explode(F.create_map(F.lit("auroc"), "auroc", F.lit("auprc"), "auprc")).alias("metric", "found"))
+    off = (F.col("model") == "b") & (F.col("metric") == "auroc")
+    reported = long.select("model", "metric", (F.round("found", 3) + F.when(off, 0.01).otherwise(0.0)).alias("reported"))
+    return E.consistent(long, pinned(reported), 0.0006).select("model", "metric", r6("found").alias("found"), "passed")
 
 
 @query(
@@ -274,20 +339,12 @@ def reported_runs(spark, sf_dir):
     """Predictions written by run, and those behind the reported median seed."""
     p = predictions(spark, sf_dir)
     rows = p.select(F.lit("test").alias("split"), "stay_id", "y", "prob", F.lit("all").alias("ablation"), F.lit("a").alias("model"), (F.col("stay_id") % 3).cast("int").alias("seed"))
-    path = f"{_folder(spark)}/predictions"
+    path = f"{folder(spark)}/predictions"
     write_predictions(rows, path)
     metrics = rows.groupBy("ablation", "model").agg(F.median("seed").cast("int").alias("median_seed"))
     return run_index(read_predictions(spark, path), metrics).select("stay_id", "y", "prob", "seed")
 
 
-def _folder(spark):
-    """A new folder that all executors share."""
-    import uuid
-
-    pinned(spark.range(1))  # sets a folder where the session has none
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/out-{uuid.uuid4().hex}"
-
-
 def _matrix(spark, sf_dir):
     """Counts and means by concept, label and split of each user."""
     cohort = stays(spark, sf_dir).select("stay_id", F.col("stay_id").alias("subject_id"), "label")
@@ -299,16 +356,32 @@ def _matrix(spark, sf_dir):
     return M.with_weights(pinned(numbered), names), names
 
 
+def ablations(names: list[str]) -> dict[str, list[str]]:
+    """Eleven sets of columns: all, each statistic, all without a concept, and mixed ones; the last has no column."""
+    counts, means = [n for n in names if n.endswith("_n")], [n for n in names if n.endswith("_m")]
+    sets = {"all": names, "counts": counts, "means": means}
+    sets |= {f"without_{c}": [n for n in names if not n.startswith(c)] for c in CONCEPTS}
+    return sets | {"first": names[:2], "click_only": [n for n in names if n.startswith("click")], "empty": []}
+
+
 @query("logreg_sweep")
 def logreg_sweep(spark, sf_dir):
-    """Logistic models of three ablations, scored on every split as one table."""
+    """A logistic model of each ablation on every split; a run that fails is a row with its error."""
     matrix, names = _matrix(spark, sf_dir)
     n_train = matrix.where("split = 'train'").count()
-    out = None
-    for ablation, used in {"counts": [n for n in names if n.endswith("_n")], "means": [n for n in names if n.endswith("_m")], "all": names}.items():
-        rows = M.predict(M.fit(M.logistic(used, n_train), matrix), matrix).withColumn("ablation", F.lit(ablation))
-        out = rows if out is None else out.unionByName(rows)
-    return E.auroc(pinned(out), ["ablation", "split"])
+    runs = {a: lambda used=used: M.logistic(used, n_train) for a, used in ablations(names).items()}
+    scored, failed = M.sweep(runs, matrix)
+    rates = E.auroc(pinned(scored), ["run", "split"]).withColumn("error", F.lit(None).cast("string"))
+    return rates.unionByName(failed.select("run", F.lit(None).cast("string").alias("split"), F.lit(None).cast("double").alias("auroc"), "error"))
+
+
+@query("validated_threshold")
+def validated_threshold(spark, sf_dir):
+    """K6: fitted on train, threshold chosen on val, metrics at it on test."""
+    matrix, names = _matrix(spark, sf_dir)
+    scored = pinned(M.predict(M.fit(M.logistic(names, matrix.where("split = 'train'").count()), matrix), matrix))
+    threshold = E.pick_threshold(scored.where("split = 'val'"), []).first()["threshold"]
+    return E.confusion(scored.where("split = 'test'"), float(threshold), []).select("threshold", "sensitivity", "specificity", "f1")
 
 
 @query("boosted_trees")
@@ -324,20 +397,20 @@ def boosted_trees(spark, sf_dir):
 
 @query("permutation_importance")
 def permutation_importance(spark, sf_dir):
-    """Drop of average precision per feature."""
+    """Drop of average precision per column and, moved together, per concept; 20 repeats."""
     matrix, names = _matrix(spark, sf_dir)
-    used = [n for n in names if n.endswith("_m")][:3]
-    model = M.fit(M.logistic(used, matrix.where("split = 'train'").count()), matrix)
-    return M.permutation_importance(model, matrix, used, repeats=2, seed=1)
+    model = M.fit(M.logistic(names, matrix.where("split = 'train'").count()), matrix)
+    units = {n: [n] for n in names} | {f"concept {c}": [n for n in names if n.startswith(c)] for c in CONCEPTS}
+    return M.permutation_importance(model, matrix, units, repeats=20, seed=1)
 
 
 @query("stream_export", "WITH " + WIN + " SELECT event_id, stay_id, concept, value, round(hours_before, 6) AS hours_before FROM win")
 def stream_export_query(spark, sf_dir):
     """The incremental export gives the rows of the batch export."""
-    folder = _folder(spark)
+    top = folder(spark)
     events = table(spark, sf_dir, "events")
-    events.repartition(3).write.parquet(f"{folder}/in")
+    events.repartition(3).write.parquet(f"{top}/in")
     cohort = pinned(stays(spark, sf_dir).select("stay_id", "lower_bound", "t0"))
-    stream_export(spark, f"{folder}/in", events.schema, cohort, f"{folder}/out", f"{folder}/offsets")
-    rows = spark.read.parquet(f"{folder}/out")
+    stream_export(spark, f"{top}/in", events.schema, cohort, f"{top}/out", f"{top}/offsets")
+    rows = spark.read.parquet(f"{top}/out")
     return rows.select("event_id", "stay_id", "concept", "value", r6("hours_before").alias("hours_before"))

@@ -11,7 +11,7 @@ from cohortspark.functions.columns import clip, prorated
 from cohortspark.operators import features as X
 from cohortspark.operators import timeops as T
 from cohortspark.operators.gates import gates
-from cohortspark.plans.inputs import CONCEPTS, IV, WIN, intervals, points, r6, stays
+from cohortspark.plans.inputs import EV, CONCEPTS, IV, WIN, intervals, points, r6, stays
 from cohortspark.plans.registry import query
 
 
@@ -92,12 +92,12 @@ def without_antibiotics(spark, sf_dir):
 
 @query(
     "export_gates",
-    "WITH " + TR + """ SELECT gate, n_bad = 0 AS passed, n_bad FROM (SELECT 'after_prediction' AS gate, count(*) FILTER (hours_before < 0) AS n_bad FROM tr WHERE concept <> 'antibiotic'
-UNION ALL SELECT 'older_than_window', count(*) FILTER (hours_before > 24 + 1e-9) FROM tr WHERE concept <> 'antibiotic' UNION ALL SELECT 'antibiotic_source', 0)""",
+    "WITH " + TR + """ SELECT gate, n_bad = 0 AS passed, n_bad FROM (SELECT 'after_prediction' AS gate, count(*) FILTER (hours_before < 0) AS n_bad FROM tr WHERE concept <> 'antibiotic' OR event_id % 9 = 0
+UNION ALL SELECT 'older_than_window', count(*) FILTER (hours_before > 24 + 1e-9) FROM tr WHERE concept <> 'antibiotic' OR event_id % 9 = 0 UNION ALL SELECT 'antibiotic_source', count(*) FROM tr WHERE concept = 'antibiotic' AND event_id % 9 = 0)""",
 )
 def export_gates(spark, sf_dir):
     """No event after the prediction or before the window, no antibiotic source."""
-    rows = _treatments(spark, sf_dir, antibiotics=False)
+    rows = _treatments(spark, sf_dir).where("concept <> 'antibiotic' or event_id % 9 = 0")  # some were left in
     return gates(
         rows,
         {
@@ -193,14 +193,18 @@ def static_onehot(spark, sf_dir):
 
 @query(
     "zero_variance",
-    "WITH " + STATS + """ SELECT stay_id, max(CASE WHEN concept = 'click' THEN "count" END) AS click__count, max(CASE WHEN concept = 'click' THEN last END) AS click__last,
- max(CASE WHEN concept = 'error' THEN last END) AS error__last FROM st LEFT JOIN es USING (stay_id) GROUP BY 1""",
+    "WITH " + STATS + """, w AS (SELECT stay_id, max(CASE WHEN concept = 'click' THEN "count" END) AS click__count, max(CASE WHEN concept = 'click' THEN last END) AS click__last,
+ max(CASE WHEN concept = 'error' THEN last END) AS error__last, 1 AS constant FROM st LEFT JOIN es USING (stay_id) GROUP BY 1)
+, l AS (SELECT stay_id, 'click__count' AS name, click__count::DOUBLE AS v FROM w UNION ALL SELECT stay_id, 'click__last', click__last FROM w
+ UNION ALL SELECT stay_id, 'error__last', error__last FROM w UNION ALL SELECT stay_id, 'constant', constant FROM w)
+SELECT name, count(DISTINCT v) + max((v IS NULL)::INT) > 1 AS kept FROM l WHERE stay_id % 3 <> 0 GROUP BY 1""",
 )
 def zero_variance(spark, sf_dir):
-    """Columns without variance on the training rows go (here a constant one), the others stay."""
+    """Which columns vary on the training rows and stay."""
     wide = X.wide(_stats(spark, sf_dir), stays(spark, sf_dir), ["click", "error"], ["count", "last"]).withColumn("constant", F.lit(1))
     kept = X.varying_columns(wide, F.col("stay_id") % 3 != 0)
-    return wide.select("stay_id", *[c for c in kept if c in ("click__count", "click__last", "error__last", "constant")])
+    names = ["click__count", "click__last", "error__last", "constant"]
+    return spark.createDataFrame([(c, c in kept) for c in names], "name string, kept boolean")
 
 
 SC0 = WIN + """, sc AS (SELECT stay_id,
@@ -323,18 +327,38 @@ def grid_cumulative(spark, sf_dir):
     return grid.withColumns({"value": r6("value"), "delta": r6("delta")})
 
 
-@query("grid_invariants", "SELECT 0::BIGINT AS bad_value, 0::BIGINT AS bad_mask, 0::BIGINT AS bad_delta, 0::BIGINT AS bad_bins WHERE (SELECT count(*) FROM events) > 0")
+@query(
+    "grid_invariants",
+    "WITH " + SK + """ SELECT count(*) FILTER (t = 3 AND stay_id % 7 = 0) AS bad_value, count(*) FILTER (t = 5 AND stay_id % 5 = 0) AS bad_mask,
+ count(*) FILTER (t = 6 AND stay_id % 3 = 0) AS bad_delta, (SELECT count(*) FROM sk WHERE t = 8 AND stay_id % 11 = 0) AS bad_bins FROM sk WHERE NOT (t = 8 AND stay_id % 11 = 0)""",
+)
 def grid_invariants(spark, sf_dir):
-    """Both classes of one grid hold the grid's rules."""
+    """Rows of a grid of both classes that break the grid's rules (some are made to)."""
     rows, cohort, concepts, train = _grid_inputs(spark, sf_dir)
     one, two = (F.col("concept") == c for c in ("click", "view"))
     grid = X.grid_point(rows.where(one), cohort, concepts.where(one), train).unionByName(X.grid_cumulative(rows.where(two), cohort, concepts.where(two), train))
-    return X.grid_faults(grid)
+    at = lambda t, k: (F.col("t") == t) & (F.col("stay_id") % k == 0)
+    broken = {
+        "value": F.when(~at(3, 7), F.col("value")), "mask": F.when(at(5, 5), 2).otherwise(F.col("mask")),
+        "delta": F.when(at(6, 3), 1.5).otherwise(F.col("delta")),
+    }
+    return X.grid_faults(grid.where(~at(8, 11)).withColumns(broken))
+
+
+@query(
+    "feature_slices",
+    "WITH " + EV + """, c AS (SELECT concept, row_number() OVER (ORDER BY concept) - 1 AS i FROM (SELECT DISTINCT concept FROM ev))
+SELECT 'series' AS modality, concept AS unit, 3 * i AS first, 3 * i + 2 AS last FROM c UNION ALL SELECT 'static', 'age', 0, 0 UNION ALL SELECT 'static', 'sex', 1, 1""",
+)
+def feature_slices(spark, sf_dir):
+    """The columns of each unit of a packed bundle: three channels of a concept, or one static column."""
+    concepts = [r["concept"] for r in points(spark, sf_dir).select("concept").distinct().orderBy("concept").collect()]  # the concept list
+    return X.feature_slices(spark, {"series": concepts}, ["age", "sex"])
 
 
 @query(
     "grid_units",
-    "WITH " + SK + " SELECT stay_id, count(*)::INT // 2 AS hours, 6 AS width FROM sk GROUP BY 1",
+    "WITH " + SK + " SELECT stay_id, count(DISTINCT t)::INT AS hours, (3 * count(DISTINCT concept))::INT AS width FROM sk GROUP BY 1",
 )
 def grid_units(spark, sf_dir):
     """The packed tensor of a stay, its hours and its width of three channels per concept."""

@@ -189,11 +189,30 @@ def control_composition(spark, sf_dir):
 
 
 LEAD = 1000.0
-MATCH = """n AS (SELECT o_orderkey AS positive_id, 0.5 * o_totalprice AS offset_v, row_number() OVER (ORDER BY 0.5 * o_totalprice + 1000 DESC, o_orderkey) AS i FROM orders WHERE o_orderpriority = '1-URGENT')
-, h AS (SELECT o_orderkey AS control_id, o_totalprice AS capacity, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS c FROM orders WHERE o_orderpriority <> '1-URGENT')
-, nc AS (SELECT *, (SELECT count(*) FROM h WHERE capacity >= offset_v + 1000) AS c FROM n)
-, m AS (SELECT *, i + least(0, min(c - i) OVER (ORDER BY i)) AS m, i - 1 + least(0, coalesce(min(c - i) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS pm FROM nc)
-, mt AS (SELECT m.positive_id, m.offset_v, h.control_id, h.capacity FROM m LEFT JOIN h ON m.m > m.pm AND h.c = m.m)"""
+
+
+def _rank_sql(name: str, needs: str, pool: str) -> str:
+    """CTEs that match needs (id, v) with a pool (id, v) by rank: <name>_m has the needs with their match, <name> the pairs."""
+    return f""", {name}_n AS (SELECT *, row_number() OVER (ORDER BY v DESC, id) AS i FROM {needs}), {name}_h AS (SELECT *, row_number() OVER (ORDER BY v DESC, id) AS c FROM {pool})
+, {name}_c AS (SELECT *, (SELECT count(*) FROM {pool} h WHERE h.v >= n.v) AS c FROM {name}_n n)
+, {name}_r AS (SELECT *, i + least(0, min(c - i) OVER (ORDER BY i)) AS m, i - 1 + least(0, coalesce(min(c - i) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS pm FROM {name}_c)
+, {name}_m AS (SELECT *, c - m + 1 AS free FROM {name}_r WHERE m > pm)
+, {name} AS (SELECT m.id, h.id AS control_id, h.v AS capacity FROM {name}_m m JOIN {name}_h h ON h.c = m.m)"""
+
+
+MATCH = (
+    """n AS (SELECT o_orderkey AS id, 0.5 * o_totalprice AS offset_v, 0.5 * o_totalprice + 1000 AS v FROM orders WHERE o_orderpriority = '1-URGENT')
+, h AS (SELECT o_orderkey AS id, o_totalprice AS v FROM orders WHERE o_orderpriority <> '1-URGENT')"""
+    + _rank_sql("w", "n", "h")
+    + """, lg AS (SELECT v, CASE WHEN free > 1 THEN ln(1 - 1.0::DOUBLE / free) ELSE -1e9 END AS x FROM w_m)
+, cum AS (SELECT v, sum(x) OVER (ORDER BY v RANGE UNBOUNDED PRECEDING) AS s FROM lg)
+, dr AS (SELECT h.*, ('0x' || substr(md5('0:' || h.id), 1, 8))::BIGINT / 4294967296.0 >= exp(coalesce(s, 0)) AS drawn FROM h ASOF LEFT JOIN (SELECT v, any_value(s) AS s FROM cum GROUP BY v) c ON h.v >= c.v)
+, d1 AS (SELECT id, v FROM dr WHERE drawn)"""
+    + _rank_sql("a", "n", "d1")
+    + """, n2 AS (SELECT * FROM n ANTI JOIN a USING (id)), d2 AS (SELECT id, v FROM dr ANTI JOIN (SELECT control_id AS id FROM a) USING (id))"""
+    + _rank_sql("b", "n2", "d2")
+    + """, mt AS (SELECT n.id AS positive_id, n.offset_v, p.control_id, p.capacity FROM n LEFT JOIN (SELECT * FROM a UNION ALL SELECT * FROM b) p USING (id))"""
+)
 
 
 def _matched(spark, sf_dir):
@@ -203,19 +222,19 @@ def _matched(spark, sf_dir):
     return C.match_controls(offsets, pool, LEAD)
 
 
-@query("match_controls", "WITH " + MATCH + " SELECT positive_id, offset_v AS \"offset\", control_id, capacity FROM mt")
+@query("match_controls", "WITH " + MATCH + " SELECT positive_id, 0::BIGINT AS copy, offset_v AS \"offset\", control_id, capacity FROM mt")
 def match_controls(spark, sf_dir):
-    """One control per offset without replacement, as many as possible."""
+    """Controls drawn for the offsets without replacement, as many as possible."""
     return _matched(spark, sf_dir)
 
 
 @query(
     "match_counts",
-    "WITH " + MATCH + " SELECT count(*) AS requested, count(control_id) AS matched, count(*) FILTER (control_id IS NULL) AS unmatched, count(*) FILTER (capacity < offset_v + 1000) AS tail_violations FROM mt",
+    "WITH " + MATCH + " SELECT count(*) AS requested, count(control_id) AS matched, count(*) FILTER (control_id IS NULL) AS unmatched, count(*) FILTER (capacity < offset_v + 1000) AS tail_violations, round((avg(offset_v) - avg(offset_v) FILTER (control_id IS NOT NULL)) / sqrt((var_pop(offset_v) + var_pop(offset_v) FILTER (control_id IS NOT NULL)) / 2), 6) AS smd FROM mt",
 )
 def match_counts(spark, sf_dir):
     """Report on the matching."""
-    return G.matching_report(_matched(spark, sf_dir), LEAD)
+    return G.matching_report(_matched(spark, sf_dir), LEAD).withColumn("smd", r6("smd"))
 
 
 @query(
@@ -253,16 +272,41 @@ def grouped_folds(spark, sf_dir):
     return C.grouped_folds(_subjects(spark, sf_dir))
 
 
+FALLBACK = """ (SELECT subject_id, label, CASE WHEN outer_fold = 0 THEN 'test' WHEN (row_number() OVER (PARTITION BY label, outer_fold = 0 ORDER BY md5('43:' || subject_id), subject_id) - 1) % 5 = 0 THEN 'val' ELSE 'train' END AS split
+  FROM (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5('42:' || subject_id), subject_id) - 1) % 5 AS outer_fold FROM su))"""
+
+
+@query("fallback_splits", "WITH " + SPLIT + " SELECT * FROM" + FALLBACK)
+def fallback_splits(spark, sf_dir):
+    """Two rounds of five folds where a cohort has no split."""
+    return C.fallback_splits(_subjects(spark, sf_dir))
+
+
+@query(
+    "load_splits",
+    "WITH " + SPLIT + " SELECT 'made' AS source, subject_id AS stay_id, split FROM" + FALLBACK
+    + " UNION ALL SELECT 'read', o_orderkey, CASE o_custkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END FROM orders",
+)
+def load_splits(spark, sf_dir):
+    """Splits of a cohort, read by their spellings or made, checked for leakage and empty ones."""
+    made = C.load_splits(_subjects(spark, sf_dir)).withColumn("source", F.lit("made"))
+    spelled = F.element_at(F.array(*map(F.lit, ["TR", "validation", "te"])), (F.col("o_custkey") % 3 + 1).cast("int"))
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("stay_id"), F.col("o_custkey").alias("subject_id"), F.lit(0).alias("label"), spelled.alias("split")
+    )
+    return made.unionByName(C.load_splits(orders.unionByName(orders.limit(5))).withColumn("source", F.lit("read"))).select("source", "stay_id", "split")
+
+
 @query("split_counts", "WITH " + SPLIT + " SELECT split, label, count(*) AS n FROM sp GROUP BY 1, 2")
 def split_counts(spark, sf_dir):
     """Stays per split and label."""
     return C.assign_splits(_subjects(spark, sf_dir)).groupBy("split", "label").agg(F.count("*").alias("n"))
 
 
-@query("split_names", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'train' WHEN 'O' THEN 'val' END AS split FROM orders")
+@query("split_names", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'train' WHEN 'O' THEN 'val' ELSE 'test' END AS split FROM orders")
 def split_names(spark, sf_dir):
-    """Spellings of split names, null for unknown ones."""
-    spelled = F.when(F.col("o_orderstatus") == "F", " Training").when(F.col("o_orderstatus") == "O", "DEV").otherwise("other")
+    """Spellings of split names (an unknown one is an error)."""
+    spelled = F.when(F.col("o_orderstatus") == "F", " Tr").when(F.col("o_orderstatus") == "O", "DEV").otherwise("te ")
     return table(spark, sf_dir, "orders").select("o_orderkey", C.normal_split(spelled).alias("split"))
 
 
@@ -278,28 +322,29 @@ def leakage_gate(spark, sf_dir):
 @query(
     "gates",
     "WITH " + LABELLED + """, co AS (SELECT stay_id, CASE WHEN status = 'positive' THEN 1 ELSE 0 END AS label, CASE WHEN status = 'positive' THEN onset_time END AS onset_time,
-   coalesce(CASE WHEN status = 'positive' THEN prediction_time END, intime + 0.5 * (outtime - intime)) AS prediction_time, suspicion_time, intime, outtime, stay_id % 6 AS a, stay_id % 4 AS b, stay_id % 3 AS c FROM status)
+   coalesce(CASE WHEN status = 'positive' THEN prediction_time END, intime + 0.5 * (outtime - intime)) AS prediction_time, suspicion_time, intime, outtime, stay_id % 6 AS a, stay_id % 4 AS b, stay_id % 3 AS c, stay_id % 6 + stay_id % 4 + stay_id % 3 + CASE WHEN stay_id % 50 = 0 THEN 1 ELSE 0 END AS total FROM status)
 SELECT gate, n_bad = 0 AS passed, n_bad::BIGINT AS n_bad FROM (
 SELECT 'duplicate_stays' AS gate, count(*) - count(DISTINCT stay_id) AS n_bad FROM co
 UNION ALL SELECT 'prediction_is_onset_less_lead', count(*) FROM co WHERE label = 1 AND abs(onset_time - 21600 - prediction_time) > 1e-6
 UNION ALL SELECT 'prediction_inside_stay', count(*) FROM co WHERE NOT (prediction_time BETWEEN intime AND outtime)
 UNION ALL SELECT 'onset_near_suspicion', count(*) FROM co WHERE label = 1 AND NOT (onset_time - suspicion_time BETWEEN -172800 AND 86400)
 UNION ALL SELECT 'parts_in_range', count(*) FROM co WHERE greatest(a, b, c) > 4
-UNION ALL SELECT 'total_is_sum', 0
+UNION ALL SELECT 'total_in_range', count(*) FROM co WHERE label = 1 AND NOT total BETWEEN 2 AND 24
+UNION ALL SELECT 'total_is_sum', count(*) FROM co WHERE total <> a + b + c
 UNION ALL SELECT 'control_at_discharge', count(*) FROM co WHERE label = 0 AND prediction_time = outtime
 UNION ALL SELECT 'control_tail_margin', count(*) FROM co WHERE label = 0 AND outtime - prediction_time < 21600
 UNION ALL SELECT 'control_has_onset', count(*) FROM co WHERE label = 0 AND onset_time IS NOT NULL
 UNION ALL SELECT 'both_arms_present', 2 - count(DISTINCT label) FROM co)""",
 )
 def gates(spark, sf_dir):
-    """All cohort gates in one pass."""
+    """All cohort gates in one pass, over rows of which some break them."""
     s = _status(spark, sf_dir)
     positive = F.col("status") == "positive"
     rows = s.select(
         "stay_id", positive.cast("int").alias("label"), F.when(positive, F.col("onset_time")).alias("onset_time"),
         F.coalesce(F.when(positive, F.col("prediction_time")), F.col("intime") + 0.5 * (F.col("outtime") - F.col("intime"))).alias("prediction_time"),
         "suspicion_time", "intime", "outtime", (F.col("stay_id") % 6).alias("part_a"), (F.col("stay_id") % 4).alias("part_b"), (F.col("stay_id") % 3).alias("part_c"),
-    ).withColumn("total", F.col("part_a") + F.col("part_b") + F.col("part_c"))
+    ).withColumn("total", F.col("part_a") + F.col("part_b") + F.col("part_c") + F.when(F.col("stay_id") % 50 == 0, 1).otherwise(0))
     return G.gates(rows, G.cohort_checks(21600.0))
 
 

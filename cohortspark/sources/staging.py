@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,13 @@ from pyspark.sql import DataFrame
 def pinned(df: DataFrame) -> DataFrame:
     """``df`` written below spark.checkpoint.dir, which all executors share, and read back.
 
-    A local session without that setting gets a temporary folder.
+    A local session without that setting gets a temporary folder; on a cluster this is an error, as its machines share none.
     """
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/stage-{uuid.uuid4().hex}"

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortspark.sources.staging import pinned
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, separator: str = ",") -> DataFrame:
     """A delimited file with a header under a declared schema (codes keep leading zeros)."""
@@ -39,11 +42,24 @@ def read_stage(spark: SparkSession, name: str, stages: list[str], schema: T.Stru
     return spark.createDataFrame([], schema)
 
 
+def write_stage(folder: str, tables: dict[str, DataFrame], only: list[str] | None = None) -> None:
+    """The tables of a stage, each in a folder of its own; ``only`` names those to write again, the rest stay."""
+    for name, df in tables.items():
+        if only is None or name in only:
+            df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+
+
+def split_scan(rows: DataFrame, outputs: dict[str, tuple[Column, Callable[[DataFrame], DataFrame]]]) -> dict[str, DataFrame]:
+    """Several outputs (a filter and a projection each) of rows that are filtered and written once."""
+    once = pinned(rows)
+    return {name: project(once.where(wanted)) for name, (wanted, project) in outputs.items()}
+
+
 def append_all(parts: list[DataFrame], columns: list[str]) -> DataFrame:
     """The rows of all parts under one column order; a column that a part lacks is null."""
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     for name in columns:
-        if name not in merged.columns:
+        if name not in merged.columns:  # a column that no part has
             merged = merged.withColumn(name, F.lit(None).cast("string"))
     return merged.select(*columns)
 
@@ -58,6 +74,23 @@ def audit_columns(spark: SparkSession, tables: dict[str, DataFrame | None], requ
     return spark.createDataFrame(rows, "table_name string, status string, missing string")
 
 
+def audit_values(tables: dict[str, DataFrame], required: dict[str, list[str]]) -> DataFrame:
+    """(table_name, column_name, n_missing, n) over whole tables; one pass a table."""
+    out = []
+    for name, columns in required.items():
+        df = tables[name]
+        missing = [(F.count_if(F.col(c).isNull()) if c in df.columns else F.count("*")).alias(c) for c in columns]
+        row = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_missing")) for c in columns])
+        counted = df.agg(*missing, F.count("*").alias("n_rows")).select(F.explode(row).alias("r"), "n_rows")
+        out.append(counted.select(F.lit(name).alias("table_name"), "r.column_name", "r.n_missing", F.col("n_rows").alias("n")))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def concept_ids(flat: DataFrame) -> DataFrame:
+    """The sorted set of item ids of each category of a flattened dictionary."""
+    return flat.where("itemid is not null").groupBy("category").agg(F.array_sort(F.collect_set("itemid")).alias("ids"))
+
+
 def read_concepts(spark: SparkSession, path: str) -> DataFrame:
     """A dictionary file (concept -> display_name, unit, category, codes) as one row per concept and code."""
     entry = "struct<display_name:string,unit:string,category:string,codes:array<string>>"

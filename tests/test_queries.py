@@ -45,3 +45,5 @@ def test_models_score_every_run(spark, name):
     assert rows
     for r in rows:
         assert all(v is None or isinstance(v, str) or -1 <= v <= 1 for v in r)
+    if name == "logreg_sweep":
+        assert len({r.run for r in rows}) == 11 and [r.run for r in rows if r.error] == ["empty"]
