@@ -91,7 +91,7 @@ def trailing(events: DataFrame, grid: DataFrame, hours: int = 24) -> DataFrame:
     """
     starts = grid.select("stay_id", "grid_start").distinct()
     k = F.ceil((F.col("charttime") - F.col("grid_start")) / HOUR).cast("int")
-    hourly = events.join(starts, "stay_id").groupBy("stay_id", k.alias("k")).agg(
+    hourly = events.join(starts.hint("merge"), "stay_id").groupBy("stay_id", k.alias("k")).agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("value").alias("s"), F.count("value").alias("n")
     )
     marks = grid.select("stay_id", "k", F.lit(True).alias("on_grid"))
@@ -109,15 +109,32 @@ def trailing(events: DataFrame, grid: DataFrame, hours: int = 24) -> DataFrame:
     return rolled.where("on_grid").drop("on_grid")
 
 
+def trailing_worst(events: DataFrame, grid: DataFrame, worst: dict[str, tuple[str, str]], hours: int = 24) -> DataFrame:
+    """``grid`` with the worst values of several components over the trailing window of each grid time, in one pass.
+
+    events: stay_id, charttime, component, value. worst: new column -> (component, min or max).
+    """
+    starts = grid.groupBy("stay_id").agg(F.first("grid_start").alias("start"))
+    k = F.ceil((F.col("charttime") - F.col("start")) / HOUR).cast("int")
+    reducers = {"min": F.min, "max": F.max}
+    hourly = events.join(starts.hint("merge"), "stay_id").groupBy("stay_id", k.alias("k")).agg(
+        *[reducers[how](F.when(F.col("component") == part, F.col("value"))).alias(name) for name, (part, how) in worst.items()]
+    )
+    both = hourly.unionByName(grid.select("stay_id", "k", F.struct(*grid.columns).alias("row")), allowMissingColumns=True)
+    frame = Window.partitionBy("stay_id").orderBy("k").rangeBetween(-(hours - 1), 0)
+    rolled = both.select("row", *[reducers[how](name).over(frame).alias(name) for name, (_, how) in worst.items()])
+    return rolled.where("row is not null").select("row.*", *worst)
+
+
 def trailing_interval_max(intervals: DataFrame, grid: DataFrame, hours: int = 24) -> DataFrame:
     """Largest rate of the intervals active in the closed trailing window [g - hours, g] of each grid time."""
     sizes = grid.groupBy("stay_id").agg(F.first("grid_start").alias("grid_start"), F.max("k").alias("last"))
-    joined = intervals.join(sizes, "stay_id")
+    joined = intervals.join(sizes.hint("merge"), "stay_id")
     first = F.greatest(F.ceil((F.col("starttime") - F.col("grid_start")) / HOUR).cast("int"), F.lit(0))
     end = F.least(F.floor((F.col("endtime") - F.col("grid_start")) / HOUR).cast("int") + hours, F.col("last"))
     active = joined.where(first <= end).select("stay_id", F.explode(F.sequence(first, end)).alias("k"), "rate")
     most = active.groupBy("stay_id", "k").agg(F.max("rate").alias("window_rate"))
-    return grid.select("stay_id", "k").join(most, ["stay_id", "k"], "left")
+    return grid.select("stay_id", "k").join(most.hint("merge"), ["stay_id", "k"], "left")
 
 
 def first_hit(scored: DataFrame, total: str, threshold: int, parts: list[str]) -> DataFrame:

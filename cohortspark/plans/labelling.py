@@ -97,13 +97,11 @@ def vaso_trailing(spark, sf_dir):
 
 def _scored(spark, sf_dir):
     p, grid = points(spark, sf_dir), _grid(spark, sf_dir)
-    scored = grid
-    for concept, value in (("click", F.col("value")), ("signup", F.col("value") / 60), ("view", F.col("value") / 4)):
-        rolled = T.trailing(p.where(F.col("concept") == concept).withColumn("value", value), grid)
-        names = [F.col(f"window_{n}").alias(f"{concept}_{n}") for n in ("min", "max")]
-        scored = scored.join(rolled.select("stay_id", "k", *names), ["stay_id", "k"])
-    gcs = T.trailing(p.where("concept = 'error'").withColumn("value", (3 + F.col("event_id") % 13).cast("double")), grid)
-    scored = scored.join(gcs.select("stay_id", "k", F.col("window_min").alias("gcs_min")), ["stay_id", "k"])
+    of = lambda c: F.col("concept") == c
+    value = F.when(of("signup"), F.col("value") / 60).when(of("view"), F.col("value") / 4).when(of("error"), (3 + F.col("event_id") % 13).cast("double"))
+    events = p.where(F.col("concept").isin("click", "signup", "view", "error")).withColumn("value", value.otherwise(F.col("value")))
+    worst = {"click_min": ("click", "min"), "signup_max": ("signup", "max"), "view_min": ("view", "min"), "gcs_min": ("error", "min")}
+    scored = T.trailing_worst(events.withColumnRenamed("concept", "component"), grid, worst)
     parts = {
         "coagulation": clinical.coagulation(F.col("click_min")),
         "renal": clinical.renal(F.col("signup_max"), F.lit(0.0), F.lit(0)),
