@@ -6,7 +6,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from cohortspark.llm import urls
 from cohortspark.llm.queries import op2_url_association
