@@ -92,3 +92,12 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (300, 200), (7, 7), (None, 3)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 200: 100, 300: 100}
+
+
+def test_extra_columns(spark):
+    """Columns with the operator's own names, and a very long text, change nothing."""
+    texts = [None, "", "a b c d e f", "A b c d e f", "w " * 200_000, "a b"]
+    rows = [(i, t, "x", 5, "y") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string, fingerprint_bits long, n string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5}
