@@ -39,15 +39,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 MIN_VALUE, MIN_ACCESS = 12, 18
-#: A candidate in base64 or hex has at least so many characters; the smallest confirmed key is longer.
-MIN_ENCODED = 40
+#: A candidate in base64 or hex has at least so many characters: the smallest key confirmed has 25 bytes (SEC1, 16 of them secret).
+MIN_ENCODED = 34
 
 ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----BEGIN ).)*?)-----END \1-----", re.DOTALL)
 HEADER = re.compile(r"^[ \t]*([A-Za-z][A-Za-z0-9-]*):[ \t]*(.*?)[ \t\r]*$", re.MULTILINE)
 #: The first line of a key that goes on in the next ones: a DER sequence or the OpenSSH mark, in base64 or hex.
 FIRST = re.compile(r"(?<![A-Za-z0-9+/_-])(?=M[A-P]|b3BlbnNz|30)[A-Za-z0-9+/_-]{16,}(?=[ \t]*[\r\n])")
 NEXT = re.compile(r"[ \t]*[\r\n][ \t\r\n]*([A-Za-z0-9+/_-]+)(={0,2})")
-ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+ENCODED = re.compile(rf"([A-Za-z0-9+/_-]{{{MIN_ENCODED},}})={{0,2}}")
+#: Where a key may begin within a run of characters of base64, as behind a path: like FIRST, after a sign that is no letter or digit.
+INNER = re.compile(r"(?<![A-Za-z0-9])(?:M[A-P]|30|(b3BlbnNzaC1rZXktdjEA))")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{8,})\.(ey[A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 
 
@@ -209,6 +211,38 @@ def is_key(text: str) -> bool:
     return False
 
 
+def _encoded_size(head: str) -> int | None:
+    """Characters of a DER key in base64 or hex without padding, by the length in its first 16 characters."""
+    if head.startswith("30"):
+        end = _der_end(bytes.fromhex(head)) if re.fullmatch("[0-9A-Fa-f]{16}", head) else None
+        return None if end is None else 2 * end
+    end = _der_end(_decode64(head) or b"")
+    return None if end is None else (4 * end + 2) // 3
+
+
+def inner_keys(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Keys within text[start:end], a run of characters of base64 that as a whole is none; their own lengths say where they end."""
+    found, at = [], start
+    begins = list(INNER.finditer(text, start, end))
+    marks = [m.start() for m in begins if m[1]] + [end]
+    for m in begins:
+        if m[1]:  # an OpenSSH key has its mark once, so that it ends before the next one
+            marks.pop(0)
+            known = text[m.start() : marks[0]]
+            bytes_ = _openssh_end(_decode64(known[: len(known) - (len(known) % 4 == 1)]) or b"")
+            size = None if bytes_ is None else (4 * bytes_ + 2) // 3
+        else:
+            size = _encoded_size(text[m.start() : m.start() + 16])
+        stop = m.start() + (size or 0)
+        whole = stop == end or (stop < end and not text[stop].isalnum())
+        if size and m.start() >= at and whole and is_key(text[m.start() : stop]):
+            while stop < len(text) and text[stop] == "=" and stop - m.start() - size < -size % 4:
+                stop += 1
+            found.append((m.start(), stop))
+            at = stop
+    return found
+
+
 def find(text: str | None) -> list[tuple[int, int, int]]:
     """(start, end, kind as an index of KINDS) of each span, in order."""
     if not text:
@@ -235,8 +269,9 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
             armoured.append((m.start(), end, 3))
     if max(map(len, flat.split()), default=0) >= MIN_ENCODED:
         for m in ENCODED.finditer(flat):
-            if not any(s <= m.start() < e for s, e, _ in armoured) and is_key(m[0]):
-                found.append((m.start(), m.end(), 3))
+            if not any(s <= m.start() < e for s, e, _ in armoured):
+                spans = [m.span()] if is_key(m[0]) else inner_keys(flat, *m.span(1))
+                found += [(s, e, 3) for s, e in spans]
     return sorted(found + armoured, key=lambda x: (x[0], x[2], x[1]))
 
 

@@ -137,3 +137,22 @@ def test_encrypted_old_armour():
 def test_short_token():
     payload = f"{b64url(json.dumps({'alg': 'none'}).encode())}.{b64url(json.dumps({'a': 1}).encode())}."
     assert len(payload) < 40 and kinds(f"see {payload} there") == [("token", payload)]
+
+
+def test_key_within_a_run():
+    """A key behind a path, before one, twice in a run, in hex, and runs that only look like keys."""
+    body, ssh = (base64.b64encode(k).decode() for k in (rsa_key(), openssh_key()))
+    bare = body.rstrip("=")
+    assert ("key", body) in kinds(f"see /home/x/{body} there")
+    assert ("key", bare) in kinds(f"see {bare}/rest/of/it")
+    assert [t for _, t in kinds(f"a/{bare}/{bare}/b")] == [bare, bare]
+    assert ("key", rsa_key().hex().upper()) in kinds(f"dump-{rsa_key().hex().upper()}_end")
+    assert ("key", ssh.rstrip("=")) in kinds(f"/srv/{ssh.rstrip('=')}/{'b3BlbnNzaC1rZXktdjEA'}/x")
+    assert kinds(f"see /home/x/{bare}more there") == []
+    assert kinds("30-" * 50_000 + "/MIIE" * 50_000) == []
+
+
+def test_smallest_key():
+    key = der(0x30, der(0x02, b"\1") + der(0x04, b"s" * 16) + der(0xA0, b""))
+    text = base64.b64encode(key).decode()
+    assert len(text.rstrip("=")) == secrets.MIN_ENCODED and kinds(f"see {text} there") == [("key", text)]
