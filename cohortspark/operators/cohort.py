@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cohortspark.functions.columns import hash_order, hash_uniform, to_id
 from cohortspark.operators.gates import leakage
@@ -232,3 +235,26 @@ def balanced_subset(rows: DataFrame, per_label: int, seed: int | None = None, to
     missing = per_label * ranked.select("label").distinct().count() - first.count()
     more = ranked.where(F.col("r") > per_label).orderBy("r", *order).limit(missing)
     return first.unionByName(more).drop("r", "n")
+
+
+def filled_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on ``key``; of a column that both sides have, the left value stands and the right one fills its nulls."""
+    row = right.select(key, F.struct(*[c for c in right.columns if c != key]).alias("right_row"))
+    mine = [F.coalesce(F.col(c), F.col(f"right_row.{c}")).alias(c) if c in right.columns and c != key else F.col(c) for c in left.columns]
+    new = [F.col(f"right_row.{c}").alias(c) for c in right.columns if c not in left.columns]
+    return left.join(row, key, "left").select(*mine, *new)
+
+
+def joined_once(frames: list[DataFrame], key: str) -> DataFrame:
+    """Inner join of tables that each have one row per key; a key that stands twice in one of them is an error.
+
+    The count of each key travels with the join's own shuffle, so that the check reads nothing twice.
+    """
+    window = Window.partitionBy(key)
+    twice = F.raise_error(F.concat(F.lit(f"more than one row of a table for {key} "), F.col(key).cast("string"))).cast("long")
+    checked = []
+    for at, frame in enumerate(frames):
+        name = f"rows_of_key_{at}"
+        once = frame.where(F.col(key).isNotNull()).withColumn(name, F.count(F.lit(1)).over(window))
+        checked.append(once.withColumn(name, F.when(F.col(name) > 1, twice).otherwise(F.col(name))).where(F.col(name) == 1).drop(name))
+    return reduce(lambda a, b: a.join(b, key), checked)

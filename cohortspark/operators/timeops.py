@@ -109,21 +109,24 @@ def trailing(events: DataFrame, grid: DataFrame, hours: int = 24) -> DataFrame:
     return rolled.where("on_grid").drop("on_grid")
 
 
-def trailing_worst(events: DataFrame, grid: DataFrame, worst: dict[str, tuple[str, str]], hours: int = 24) -> DataFrame:
-    """``grid`` with the worst values of several components over the trailing window of each grid time, in one pass.
+def trailing_worst(events: DataFrame, grid: DataFrame, worst: dict[str, tuple[Column, str]], hours: int = 24) -> DataFrame:
+    """``grid`` with several components over the trailing window of each grid time, in one pass.
 
-    events: stay_id, charttime, component, value. worst: new column -> (component, min or max).
+    events: stay_id, charttime and what the components' values need. worst: new column -> (value, min, max, sum or count);
+    a sum or count of nothing is 0. Events that no window of their stay holds are left out before anything is summed.
     """
-    starts = grid.groupBy("stay_id").agg(F.first("grid_start").alias("start"))
+    bounds = grid.groupBy("stay_id").agg(F.first("grid_start").alias("start"), F.max("k").alias("last"))
     k = F.ceil((F.col("charttime") - F.col("start")) / HOUR).cast("int")
-    reducers = {"min": F.min, "max": F.max}
-    hourly = events.join(starts.hint("merge"), "stay_id").groupBy("stay_id", k.alias("k")).agg(
-        *[reducers[how](F.when(F.col("component") == part, F.col("value"))).alias(name) for name, (part, how) in worst.items()]
-    )
+    hour = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
+    window = hour | {"count": F.sum}
+    near = events.join(bounds.hint("merge"), "stay_id").withColumn("k", k).where(F.col("k").between(1 - hours, F.col("last")))
+    hourly = near.groupBy("stay_id", "k").agg(*[hour[how](value).alias(name) for name, (value, how) in worst.items()])
     both = hourly.unionByName(grid.select("stay_id", "k", F.struct(*grid.columns).alias("row")), allowMissingColumns=True)
     frame = Window.partitionBy("stay_id").orderBy("k").rangeBetween(-(hours - 1), 0)
-    rolled = both.select("row", *[reducers[how](name).over(frame).alias(name) for name, (_, how) in worst.items()])
-    return rolled.where("row is not null").select("row.*", *worst)
+    rolled = {name: window[how](name).over(frame) for name, (_, how) in worst.items()}
+    rolled |= {name: F.coalesce(rolled[name], F.lit(0)) for name, (_, how) in worst.items() if how in ("sum", "count")}
+    filled = both.select("row", *[c.alias(name) for name, c in rolled.items()])
+    return filled.where("row is not null").select("row.*", *worst)
 
 
 def trailing_interval_max(intervals: DataFrame, grid: DataFrame, hours: int = 24) -> DataFrame:

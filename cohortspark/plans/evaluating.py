@@ -155,23 +155,26 @@ def stratified_auroc(spark, sf_dir):
     names = F.array(F.lit("all"), F.concat(F.lit("lang "), "lang"), F.concat(F.lit("quartile "), F.col("quartile").cast("string")))
     strata = rows.select(F.explode(names).alias("stratum"), "y", "prob")
     sizes = strata.groupBy("stratum").agg(F.count("*").alias("n")).where("n >= 20")
-    return sizes.join(E.auroc(strata, ["stratum"]), "stratum").where("auroc is not null").select("stratum", "n", r6("auroc").alias("auroc"))
+    return sizes.join(E.auroc(strata, ["stratum"]).hint("merge"), "stratum").where("auroc is not null").select("stratum", "n", r6("auroc").alias("auroc"))
 
 
-REPS = 1000
-DRAWS = PR + f""", ix AS (SELECT *, row_number() OVER (ORDER BY stay_id) - 1 AS pos_no, count(*) OVER () AS n FROM pr)
-, dr AS (SELECT r.i AS replicate, floor(('0x' || substr(md5('2:' || r.i || ':' || s.i), 1, 8))::BIGINT / 4294967296.0 * (SELECT count(*) FROM pr))::BIGINT AS pos_no FROM range({REPS}) r(i), range((SELECT count(*) FROM pr)) s(i))
+REPS, PAIRED_REPS = 1000, 2000
+
+
+def _draws_sql(reps: int = REPS) -> str:
+    return PR + f""", ix AS (SELECT *, row_number() OVER (ORDER BY stay_id) - 1 AS pos_no, count(*) OVER () AS n FROM pr)
+, dr AS (SELECT r.i AS replicate, floor(('0x' || substr(md5('2:' || r.i || ':' || s.i), 1, 8))::BIGINT / 4294967296.0 * (SELECT count(*) FROM pr))::BIGINT AS pos_no FROM range({reps}) r(i), range((SELECT count(*) FROM pr)) s(i))
 , pr2 AS (SELECT dr.replicate, m.model, ix.y, CASE m.model WHEN 'a' THEN prob WHEN 'b' THEN prob_b ELSE (prob + prob_b) / 2 END AS prob FROM dr JOIN ix USING (pos_no), (SELECT unnest(['a', 'b', 'c']) AS model) m)
 , g AS (SELECT model, replicate, prob, sum(y)::BIGINT AS pos, sum(1 - y)::BIGINT AS neg FROM pr2 GROUP BY 1, 2, 3)
 , sg AS (SELECT *, sum(pos) OVER (PARTITION BY model, replicate ORDER BY prob DESC) AS tp, sum(pos) OVER (PARTITION BY model, replicate) AS n_pos, sum(neg) OVER (PARTITION BY model, replicate) AS n_neg FROM g)
 , bs AS (SELECT model, replicate, {AUC} AS metric FROM sg GROUP BY 1, 2 HAVING max(n_pos) > 0 AND max(n_neg) > 0)"""
 
 
-def _bootstrap(spark, sf_dir):
+def _bootstrap(spark, sf_dir, reps=REPS):
     preds = predictions(spark, sf_dir).withColumn("one", F.lit(1).cast("long"))
     ranked = pinned(global_running(preds, [F.col("stay_id")], {"at": "one"}).withColumn("at", F.col("at") - 1))
     indexed = _three_models(ranked, "at")
-    return E.bootstrap(indexed, ranked.count(), E.auroc, ["model"], REPS, 2)
+    return E.bootstrap(indexed, ranked.count(), E.auroc, ["model"], reps, 2)
 
 
 def _three_models(preds, *keys):
@@ -181,7 +184,7 @@ def _three_models(preds, *keys):
     return preds.select(*keys, "y", models).select(*keys, "y", "m.model", "m.prob")
 
 
-@query("bootstrap_ci", "WITH " + DRAWS + " SELECT model, round(quantile_cont(metric, 0.025), 6) AS ci_low, round(quantile_cont(metric, 0.975), 6) AS ci_high, count(*) AS n_valid FROM bs GROUP BY 1")
+@query("bootstrap_ci", "WITH " + _draws_sql() + " SELECT model, round(quantile_cont(metric, 0.025), 6) AS ci_low, round(quantile_cont(metric, 0.975), 6) AS ci_high, count(*) AS n_valid FROM bs GROUP BY 1")
 def bootstrap_ci(spark, sf_dir):
     """I4: percentile intervals of the AUROC for three models."""
     rows = E.interval(_bootstrap(spark, sf_dir), ["model"])
@@ -190,23 +193,23 @@ def bootstrap_ci(spark, sf_dir):
 
 @query(
     "paired_bootstrap",
-    "WITH " + DRAWS + """, d AS (SELECT replicate, max(metric) FILTER (model = 'a') - max(metric) FILTER (model = 'b') AS d FROM bs GROUP BY 1)
+    "WITH " + _draws_sql(PAIRED_REPS) + """, d AS (SELECT replicate, max(metric) FILTER (model = 'a') - max(metric) FILTER (model = 'b') AS d FROM bs GROUP BY 1)
 SELECT round(avg(d), 6) AS mean_difference, round(quantile_cont(d, 0.025), 6) AS ci_low, round(quantile_cont(d, 0.975), 6) AS ci_high, round(least(2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT)), 1), 6) AS p_value FROM d""",
 )
 def paired_bootstrap(spark, sf_dir):
     """Difference of two models on equal draws."""
-    rows = E.paired_difference(_bootstrap(spark, sf_dir), "model", "a", "b")
+    rows = E.paired_difference(_bootstrap(spark, sf_dir, PAIRED_REPS), "model", "a", "b")
     return rows.select(*[r6(c).alias(c) for c in rows.columns])
 
 
 @query(
     "paired_table",
-    "WITH " + DRAWS + """, d AS (SELECT p.model AS model_a, q.model AS model_b, p.metric - q.metric AS d FROM bs p JOIN bs q ON p.replicate = q.replicate AND p.model < q.model)
+    "WITH " + _draws_sql(PAIRED_REPS) + """, d AS (SELECT p.model AS model_a, q.model AS model_b, p.metric - q.metric AS d FROM bs p JOIN bs q ON p.replicate = q.replicate AND p.model < q.model)
 SELECT model_a, model_b, round(avg(d), 6) AS mean_difference, round(quantile_cont(d, 0.025), 6) AS ci_low, round(quantile_cont(d, 0.975), 6) AS ci_high, round(least(2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT)), 1), 6) AS p_value FROM d GROUP BY 1, 2""",
 )
 def paired_table(spark, sf_dir):
     """Every pair of models on equal draws."""
-    rows = E.paired_table(_bootstrap(spark, sf_dir))
+    rows = E.paired_table(_bootstrap(spark, sf_dir, PAIRED_REPS))
     return rows.select("model_a", "model_b", *[r6(c).alias(c) for c in rows.columns if not c.startswith("model")])
 
 
@@ -224,7 +227,7 @@ def _points(spark, sf_dir):
 
 @query(
     "model_table",
-    "WITH " + DRAWS + ", ci AS (SELECT model, quantile_cont(metric, 0.025) AS low, quantile_cont(metric, 0.975) AS high FROM bs GROUP BY 1)" + THREE[len(PR):] + """
+    "WITH " + _draws_sql() + ", ci AS (SELECT model, quantile_cont(metric, 0.025) AS low, quantile_cont(metric, 0.975) AS high FROM bs GROUP BY 1)" + THREE[len(PR):] + """
 SELECT CASE model WHEN 'b' THEN 'random' ELSE 'classical' END AS arm, model, n, round(n_pos / n, 6) AS prevalence, round(auroc, 6) AS auroc, round(low, 6) AS ci_low, round(high, 6) AS ci_high, round(auprc, 6) AS auprc FROM lr JOIN ci USING (model)""",
 )
 def model_table(spark, sf_dir):

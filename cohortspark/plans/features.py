@@ -10,6 +10,8 @@ from cohortspark.functions import clinical
 from cohortspark.functions.columns import clip, prorated
 from cohortspark.operators import features as X
 from cohortspark.operators import timeops as T
+from cohortspark.operators.cohort import filled_join, joined_once
+from cohortspark.operators.evaluation import auroc
 from cohortspark.operators.gates import gates
 from cohortspark.plans.inputs import EV, CONCEPTS, IV, WIN, intervals, points, r6, stays
 from cohortspark.plans.registry import query
@@ -269,6 +271,48 @@ def score_distribution(spark, sf_dir):
     )
 
 
+@query(
+    "score_auroc",
+    "WITH " + SC0 + """, r AS (SELECT label, unnest([{'score': 'total', 'v': coagulation + renal + cardiovascular + nervous}, {'score': 'bedside', 'v': bedside}, {'score': 'bedside_last', 'v': bedside_last}], recursive := true) FROM st JOIN so USING (stay_id))
+SELECT score, round(avg(CASE WHEN p.v > n.v THEN 1.0 WHEN p.v = n.v THEN 0.5 ELSE 0 END), 6) AS auroc FROM (SELECT * FROM r WHERE label = 1) p JOIN (SELECT * FROM r WHERE label = 0) n USING (score) GROUP BY 1""",
+)
+def score_auroc(spark, sf_dir):
+    """Discrimination of the raw scores over the whole cohort."""
+    rows = scores_t0(spark, sf_dir).join(stays(spark, sf_dir).select("stay_id", "label"), "stay_id")
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias("score"), F.col(c).alias("prob")) for c in ("total", "bedside", "bedside_last")])).alias("s")
+    found = auroc(rows.select(F.col("label").alias("y"), named).select("y", "s.*"), ["score"])
+    return found.select("score", r6("auroc").alias("auroc"))
+
+
+@query(
+    "score_cohort",
+    "WITH " + SC0 + """, o AS (SELECT o_custkey AS stay_id, count(*) AS n_orders FROM orders GROUP BY 1)
+SELECT stay_id, label, coagulation + renal + cardiovascular + nervous AS total, bedside, n_orders, c_mktsegment AS segment FROM st JOIN so USING (stay_id) JOIN o USING (stay_id) JOIN customer ON c_custkey = stay_id""",
+)
+def score_cohort(spark, sf_dir):
+    """Scores, cohort, static columns and demographics joined one to one."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("stay_id")).agg(F.count("*").alias("n_orders"))
+    people = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("stay_id"), F.col("c_mktsegment").alias("segment"))
+    scores = scores_t0(spark, sf_dir).select("stay_id", "total", "bedside")
+    return joined_once([stays(spark, sf_dir).select("stay_id", "label"), scores, orders, people], "stay_id")
+
+
+@query(
+    "filled_subjects",
+    """SELECT o.o_orderkey AS stay_id, o.o_orderdate AS onset, coalesce(CASE WHEN o.o_orderkey % 4 <> 0 THEN o.o_custkey END, d.s) AS subject_id, d.total
+FROM orders o LEFT JOIN (SELECT o_orderkey AS k, o_custkey + 1000000 AS s, o_totalprice AS total FROM orders WHERE o_orderkey % 3 <> 0) d ON d.k = o.o_orderkey""",
+)
+def filled_subjects(spark, sf_dir):
+    """Onsets beside demographics; the subject is the onset's own where known, else the demographics'."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    own = F.when(F.col("o_orderkey") % 4 != 0, F.col("o_custkey")).alias("subject_id")
+    onsets = orders.select(F.col("o_orderkey").alias("stay_id"), F.col("o_orderdate").alias("onset"), own)
+    demog = orders.where("o_orderkey % 3 <> 0").select(
+        F.col("o_orderkey").alias("stay_id"), (F.col("o_custkey") + 1000000).alias("subject_id"), F.col("o_totalprice").alias("total")
+    )
+    return filled_join(onsets, demog, "stay_id")
+
+
 @query(
     "exposure_summary",
     "WITH " + IV + """, ex AS (SELECT stay_id, min(observed_start) AS first FROM iw WHERE concept = 'signup' GROUP BY 1)

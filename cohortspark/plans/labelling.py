@@ -95,41 +95,69 @@ def vaso_trailing(spark, sf_dir):
     return T.trailing_interval_max(rows, _grid(spark, sf_dir))
 
 
+PARTS = ["respiration", "coagulation", "liver", "cardiovascular", "nervous", "renal"]
+
+
 def _scored(spark, sf_dir):
     p, grid = points(spark, sf_dir), _grid(spark, sf_dir)
-    of = lambda c: F.col("concept") == c
-    value = F.when(of("signup"), F.col("value") / 60).when(of("view"), F.col("value") / 4).when(of("error"), (3 + F.col("event_id") % 13).cast("double"))
-    events = p.where(F.col("concept").isin("click", "signup", "view", "error")).withColumn("value", value.otherwise(F.col("value")))
-    worst = {"click_min": ("click", "min"), "signup_max": ("signup", "max"), "view_min": ("view", "min"), "gcs_min": ("error", "min")}
-    scored = T.trailing_worst(events.withColumnRenamed("concept", "component"), grid, worst)
+    of = lambda c, v=F.col("value"): F.when(F.col("concept") == c, v)
+    worst = {
+        "pao2": (of("click", 150 + F.col("value")), "min"),
+        "fio2": (of("view", 21 + F.col("value") % 40), "max"),
+        "spo2": (of("error", 80 + F.col("value") % 20), "min"),
+        "vent": (of("purchase", F.col("event_id") % 2), "max"),
+        "plt": (of("click"), "min"),
+        "bili": (of("signup", F.col("value") / 200), "max"),
+        "map": (of("view", F.col("value") / 4), "min"),
+        "gcs": (of("error", (3 + F.col("event_id") % 13).cast("double")), "min"),
+        "cre": (of("signup", F.col("value") / 60), "max"),
+        "uo": (of("view", 10 * F.col("value")), "sum"),
+        "uo_n": (of("view"), "count"),
+    }
+    support = intervals(spark, sf_dir).where("concept = 'purchase' and event_id % 3 = 0").withColumn("rate", F.col("amount") / 4000)
+    vaso = T.trailing_interval_max(support, grid).withColumnRenamed("window_rate", "vaso")
+    scored = T.trailing_worst(p, grid, worst).join(vaso.hint("merge"), ["stay_id", "k"])
+    c = F.col
     parts = {
-        "coagulation": clinical.coagulation(F.col("click_min")),
-        "renal": clinical.renal(F.col("signup_max"), F.lit(0.0), F.lit(0)),
-        "cardiovascular": clinical.cardiovascular(F.col("view_min"), F.lit(0.0)),
-        "nervous": clinical.nervous(F.col("gcs_min")),
+        "respiration": clinical.respiration(c("pao2"), c("fio2"), c("spo2"), c("vent") == 1),
+        "coagulation": clinical.coagulation(c("plt")),
+        "liver": clinical.liver(c("bili")),
+        "cardiovascular": clinical.cardiovascular(c("map"), c("vaso")),
+        "nervous": clinical.nervous(c("gcs")),
+        "renal": clinical.renal(c("cre"), c("uo"), c("uo_n")),
     }
-    return scored.withColumns(parts).withColumn("total", sum((F.col(c) for c in list(parts)[1:]), F.col("coagulation")))
+    return scored.withColumns(parts).withColumn("total", sum((c(x) for x in PARTS[1:]), c(PARTS[0])))
 
 
-SCORED = GRID + """, w AS (SELECT gr.stay_id, gr.k, gr.grid_time,
-  min(CASE WHEN concept = 'click' THEN value END) AS plt, max(CASE WHEN concept = 'signup' THEN value / 60 END) AS cre,
-  min(CASE WHEN concept = 'view' THEN value / 4 END) AS map, min(CASE WHEN concept = 'error' THEN 3 + event_id % 13 END) AS gcs
+SUM = " + ".join(PARTS)
+SCORED = GRID + f""", w1 AS (SELECT gr.stay_id, gr.k, gr.grid_time,
+  min(CASE WHEN concept = 'click' THEN 150 + value END) AS pao2, max(CASE WHEN concept = 'view' THEN 21 + value % 40 END) AS fio2,
+  min(CASE WHEN concept = 'error' THEN 80 + value % 20 END) AS spo2, max(CASE WHEN concept = 'purchase' THEN event_id % 2 END) AS vent,
+  min(CASE WHEN concept = 'click' THEN value END) AS plt, max(CASE WHEN concept = 'signup' THEN value / 200 END) AS bili,
+  min(CASE WHEN concept = 'view' THEN value / 4 END) AS map, min(CASE WHEN concept = 'error' THEN 3 + event_id % 13 END) AS gcs,
+  max(CASE WHEN concept = 'signup' THEN value / 60 END) AS cre, coalesce(sum(CASE WHEN concept = 'view' THEN 10 * value END), 0) AS uo, count(CASE WHEN concept = 'view' THEN value END) AS uo_n
   FROM gr LEFT JOIN ev ON ev.stay_id = gr.stay_id AND ev.charttime > gr.grid_time - 86400 AND ev.charttime <= gr.grid_time GROUP BY 1, 2, 3)
-, sc AS (SELECT *, CASE WHEN plt < 20 THEN 4 WHEN plt < 50 THEN 3 WHEN plt < 100 THEN 2 WHEN plt < 150 THEN 1 ELSE 0 END AS coagulation,
-  CASE WHEN cre >= 5 THEN 4 WHEN cre >= 3.5 THEN 3 WHEN cre >= 2 THEN 2 WHEN cre >= 1.2 THEN 1 ELSE 0 END AS renal,
-  CASE WHEN map < 70 THEN 1 ELSE 0 END AS cardiovascular,
-  CASE WHEN gcs < 6 THEN 4 WHEN gcs < 10 THEN 3 WHEN gcs < 13 THEN 2 WHEN gcs < 15 THEN 1 ELSE 0 END AS nervous FROM w)
-, hit AS (SELECT stay_id, min(k) AS k FROM sc WHERE coagulation + renal + cardiovascular + nervous >= 6 GROUP BY 1)
-, fh AS (SELECT stay_id, k, grid_time, coagulation + renal + cardiovascular + nervous AS total, coagulation, renal, cardiovascular, nervous FROM sc JOIN hit USING (stay_id, k))"""
+, va AS (SELECT stay_id, charttime AS s, charttime + value * 60 AS e, value / 4000 AS rate FROM ev WHERE concept = 'purchase' AND event_id % 3 = 0)
+, w2 AS (SELECT gr.stay_id, gr.k, max(rate) AS vaso FROM gr LEFT JOIN va ON va.stay_id = gr.stay_id AND va.s <= gr.grid_time AND va.e >= gr.grid_time - 86400 GROUP BY 1, 2)
+, w AS (SELECT *, pao2 / (fio2 / 100) AS r, least(spo2, 97) / (fio2 / 100) AS s FROM w1 JOIN w2 USING (stay_id, k))
+, sc AS (SELECT *, CASE WHEN r IS NOT NULL THEN CASE WHEN r < 100 AND vent = 1 THEN 4 WHEN r < 200 AND vent = 1 THEN 3 WHEN r < 300 THEN 2 WHEN r < 400 THEN 1 ELSE 0 END
+   WHEN spo2 IS NOT NULL AND fio2 IS NOT NULL THEN CASE WHEN s <= 67 THEN 4 WHEN s <= 142 THEN 3 WHEN s <= 221 THEN 2 WHEN s <= 302 THEN 1 ELSE 0 END ELSE 0 END AS respiration,
+  CASE WHEN plt < 20 THEN 4 WHEN plt < 50 THEN 3 WHEN plt < 100 THEN 2 WHEN plt < 150 THEN 1 ELSE 0 END AS coagulation,
+  CASE WHEN bili >= 12 THEN 4 WHEN bili >= 6 THEN 3 WHEN bili >= 2 THEN 2 WHEN bili >= 1.2 THEN 1 ELSE 0 END AS liver,
+  CASE WHEN vaso > 0.1 THEN 4 WHEN vaso > 0 THEN 3 WHEN map < 70 THEN 1 ELSE 0 END AS cardiovascular,
+  CASE WHEN gcs < 6 THEN 4 WHEN gcs < 10 THEN 3 WHEN gcs < 13 THEN 2 WHEN gcs < 15 THEN 1 ELSE 0 END AS nervous,
+  greatest(CASE WHEN cre >= 5 THEN 4 WHEN cre >= 3.5 THEN 3 WHEN cre >= 2 THEN 2 WHEN cre >= 1.2 THEN 1 ELSE 0 END, CASE WHEN uo_n > 0 AND uo < 200 THEN 4 WHEN uo_n > 0 AND uo < 500 THEN 3 ELSE 0 END) AS renal FROM w)
+, hit AS (SELECT stay_id, min(k) AS k FROM sc WHERE {SUM} >= 6 GROUP BY 1)
+, fh AS (SELECT stay_id, k, grid_time, {SUM} AS total, {", ".join(PARTS)} FROM sc JOIN hit USING (stay_id, k))"""
 
 
 def _first_hit(spark, sf_dir):
-    return T.first_hit(_scored(spark, sf_dir), "total", 6, ["coagulation", "renal", "cardiovascular", "nervous"])
+    return T.first_hit(_scored(spark, sf_dir), "total", 6, PARTS)
 
 
 @query("first_hit", "WITH " + SCORED + " SELECT * FROM fh")
 def first_hit(spark, sf_dir):
-    """First grid hour whose score reaches the threshold."""
+    """First grid hour whose score of six organs reaches the threshold."""
     return _first_hit(spark, sf_dir)
 
 

@@ -159,3 +159,31 @@ def test_tables(spark, tmp_path):
     ]
     tables.write_csv(spark.range(2).toDF("a"), f"{tmp_path}/out", order_by=["a"])
     assert tables.read_csv(spark, f"{tmp_path}/out", "a long", "|").count() == 2
+
+
+def test_components_in_one_pass(spark):
+    """Trailing sums and counts beside the worst value; a stay without events, and events that no window holds."""
+    grid = T.hour_grid(spark.createDataFrame([(1, 0.0, 30 * H), (2, 0.0, 0.0)], "stay_id long, grid_start double, grid_end double"))
+    rows = [(1, 0.0, 7.0), (1, -5 * H, 9.0), (1, -24 * H, 1.0), (1, 99 * H, 2.0), (1, 2 * H, None), (3, 0.0, 1.0), (None, None, None)]
+    events = spark.createDataFrame(rows, "stay_id long, charttime double, value double")
+    value = F.col("value")
+    found = T.trailing_worst(events, grid, {"low": (value, "min"), "high": (value, "max"), "total": (value, "sum"), "n": (value, "count")})
+    got = {(r.stay_id, r.k): (r.low, r.high, r.total, r.n) for r in found.collect()}
+    assert len(got) == 32
+    assert got[1, 0] == (7.0, 9.0, 16.0, 2) and got[1, 19] == (7.0, 7.0, 7.0, 1) and got[1, 24] == got[2, 0] == (None, None, 0.0, 0)
+
+
+def test_filled_join(spark):
+    left = spark.createDataFrame([(1, None, "a"), (2, 20, "b"), (3, None, "c"), (None, 4, "d")], "stay_id long, subject_id long, x string")
+    right = spark.createDataFrame([(1, 10, 0.5), (2, 99, None), (None, 5, 1.0)], "stay_id long, subject_id long, y double")
+    got = sorted(map(tuple, C.filled_join(left, right, "stay_id").collect()), key=str)
+    assert got == sorted([(1, 10, "a", 0.5), (2, 20, "b", None), (3, None, "c", None), (None, 4, "d", None)], key=str)
+
+
+def test_joined_once(spark):
+    a = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (None, "d")], "k long, x string")
+    b = spark.createDataFrame([(1, 0.5), (3, 1.5)], "k long, y double")
+    assert [tuple(r) for r in C.joined_once([a, b, a.select("k", F.upper("x").alias("z"))], "k").collect()] == [(1, "a", 0.5, "A")]
+    assert C.joined_once([a, b.limit(0)], "k").collect() == []
+    with pytest.raises(Exception, match="more than one row"):
+        C.joined_once([a, b.unionByName(b.where("k = 1"))], "k").collect()
