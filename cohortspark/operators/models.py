@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions.columns import clip
 from cohortspark.operators.evaluation import auprc
 from cohortspark.operators.ordering import global_running
-from cohortspark.sources.staging import pinned
+from cohortspark.sources.staging import checkpoints, pinned
 
 
 def design_matrix(blocks: list[DataFrame], cohort: DataFrame, drop: list[str] = ()) -> tuple[DataFrame, list[str]]:
@@ -69,6 +69,8 @@ def with_weights(matrix: DataFrame, names: list[str]) -> DataFrame:
 
 
 def fit(pipeline: Pipeline, matrix: DataFrame) -> PipelineModel:
+    """The pipeline fitted on the training rows; boosted rounds cut their lineage in the shared folder every ten rounds."""
+    checkpoints(matrix.sparkSession)
     return pipeline.fit(matrix.where("split = 'train'"))
 
 
