@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: each applies one to its whole table with production parameters."""
+"""The registered queries of the thirteen operators: each applies one to its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortspark.llm import bpe, embeddings, mixing, oracles, quality, rollups, secrets, sharding, simhash, urls, warc
+from cohortspark.llm import alignment, bpe, embeddings, mixing, oracles, quality, rollups, secrets, sharding, simhash, urls, warc
 from cohortspark.llm.shared import shared_folder, staged
 
 
@@ -112,6 +112,12 @@ def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+def op13_anchor_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of both tokenizers' ids in every document, by counts and a digest of the groups."""
+    found = alignment.align_documents(_table(spark, sf_dir, "documents"), keep_groups=False)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op6_token_rollups": op6_token_rollups,
@@ -124,6 +130,7 @@ QUERIES = {
     "op4_bpe_automaton": op4_bpe_automaton,
     "op9_simhash_near_dup": op9_simhash_near_dup,
     "op10_quality_llr": op10_quality_llr,
+    "op13_anchor_alignment": op13_anchor_alignment,
 }
 
 ORACLES: dict[str, str] = {
