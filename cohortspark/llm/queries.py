@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortspark.llm import alignment, bpe, embeddings, mixing, oracles, quality, rollups, secrets, sharding, simhash, urls, warc
+from cohortspark.llm import alignment, bpe, embeddings, mixing, oracles, quality, rollups, secrets, sharding, simhash, toxicity, urls, warc, whitening
 from cohortspark.llm.shared import shared_folder, staged
 
 
@@ -112,6 +112,17 @@ def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+def op11_jacobi_davidson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four whitened components of every vector."""
+    found = whitening.whitened(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score and verdict of every document."""
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_anchor_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignment of both tokenizers' ids in every document, by counts and a digest of the groups."""
     found = alignment.align_documents(_table(spark, sf_dir, "documents"), keep_groups=False)
@@ -130,6 +141,8 @@ QUERIES = {
     "op4_bpe_automaton": op4_bpe_automaton,
     "op9_simhash_near_dup": op9_simhash_near_dup,
     "op10_quality_llr": op10_quality_llr,
+    "op11_jacobi_davidson": op11_jacobi_davidson,
+    "op12_weak_supervision": op12_weak_supervision,
     "op13_anchor_alignment": op13_anchor_alignment,
 }
 
