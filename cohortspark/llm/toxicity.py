@@ -103,7 +103,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
         def out() -> pd.DataFrame:
             terms = list(every)
             bad = np.array([toxic[t] for t in terms], float)
-            return pd.DataFrame({"term": terms, "toxic": bad, "clean": np.array([every[t] for t in terms], float) - bad})
+            return pd.DataFrame({"term": np.array(terms, object), "toxic": bad, "clean": np.array([every[t] for t in terms], float) - bad})
 
         for batch in batches:
             for text, p in zip(batch["text"], batch["p"], strict=True):
