@@ -55,6 +55,8 @@ _HEAVY = 256
 #: On longer white space the fast encoder's pattern runs out of stack; such texts take the library that reads the file.
 _LONG = 2000
 _LONG_SPACE = re.compile(rf"\s{{{_LONG}}}")
+#: What stands for the ids of a text that has none.
+_BAD = (b"", b"")
 #: A space between two characters that are no white space.
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ALIGNED = "doc_id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, codes binary, times binary"
@@ -111,15 +113,15 @@ class Aligner:
         self._forget()
 
     def _forget(self) -> None:
-        self.words: dict[str, tuple[bytes, bytes] | None] = {}
+        self.words: dict[str, tuple[bytes, bytes]] = {}
         self.memo: dict[tuple[bytes, bytes], int] = {}
         self.texts: list[str] = []
         self.codes: list[bytes] = []
         self.heavy: dict[int, Counter] = {}
         self.held = 0
 
-    def _coded(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids of both tokenizers (4 bytes each) of each text; None where one of them does not give the text back."""
+    def _coded(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids of both tokenizers (4 bytes each) of each text; none where one of them does not give the text back."""
         out, bytes_a, bytes_b = [], self.bytes_a, self.bytes_b
         for text, b in zip(texts, self.coder_b.encode(texts, num_threads=1), strict=True):
             spaced = " " + text
@@ -129,7 +131,7 @@ class Aligner:
                 a = self.coder_a.encode_ordinary(spaced)
             data = spaced.encode()
             same = b"".join([bytes_b[i] for i in b]) == data and b"".join([bytes_a[i] for i in a]) == data
-            out.append((array("i", a).tobytes(), array("i", b).tobytes()) if same else None)
+            out.append((array("i", a).tobytes(), array("i", b).tobytes()) if same else _BAD)
         return out
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
@@ -142,14 +144,42 @@ class Aligner:
             return None
         if not self.by_words:
             both = self._coded([text])[0]
-            return both and tuple(np.frombuffer(ids, np.int32) for ids in both)
-        words, known = _LONE_SPACE.split(text), self.words
-        new = list({w for w in words if w not in known})
-        known.update(zip(new, self._coded(new), strict=True))
-        found = [known[w] for w in words]
+            return None if both == _BAD else tuple(np.frombuffer(ids, np.int32) for ids in both)
+        known = self.words
+        words = text.split(" ")
+        found = list(map(known.get, words))
         if None in found:
+            new = [w for w in dict.fromkeys(words) if w not in known]
+            if all(w and not w[0].isspace() and not w[-1].isspace() for w in new):
+                known.update(zip(new, self._coded_words(new), strict=True))
+            else:  # not every space stands alone
+                words = _LONE_SPACE.split(text)
+                new = [w for w in dict.fromkeys(words) if w not in known]
+                # What begins or ends with white space stays out of the memo: every space of a text may part it.
+                extra = dict(zip(new, self._coded(new), strict=True))
+                known.update({w: ids for w, ids in extra.items() if " " not in w and w.strip() == w})
+                found = [extra[w] if w in extra else known[w] for w in words]
+            if None in found:
+                found = [known[w] for w in words]
+        if _BAD in found:
             return None
-        return np.frombuffer(b"".join([x for x, _ in found]), np.int32), np.frombuffer(b"".join([y for _, y in found]), np.int32)
+        of_a, of_b = zip(*found, strict=True)
+        return np.frombuffer(b"".join(of_a), np.int32), np.frombuffer(b"".join(of_b), np.int32)
+
+    def _coded_words(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """``_coded`` of words without spaces, in one text: each begins with its only token that begins with a space."""
+        text = " ".join(words)
+        if len(text) < _LONG or not _LONG_SPACE.search(text):
+            a, b = self.coder_a.encode_ordinary(" " + text), self.coder_b.encode(text)
+            data = (" " + text).encode()
+            if b"".join([self.bytes_b[i] for i in b]) == data == b"".join([self.bytes_a[i] for i in a]):
+                out = []
+                for ids, marked in ((np.array(a, np.int32), self.marked_a), (np.array(b, np.int32), self.marked_b)):
+                    starts, of = (4 * np.flatnonzero(marked[ids])).tolist(), ids.tobytes()
+                    out.append([of[i:j] for i, j in zip(starts, [*starts[1:], len(of)], strict=True)])
+                if len(out[0]) == len(out[1]) == len(words):
+                    return list(zip(*out, strict=True))
+        return self._coded(words)
 
     def _learn(self, key: tuple[bytes, bytes]) -> int:
         """Group the tokens of a window that is not in the memo between ends that both sides share; its place there."""
