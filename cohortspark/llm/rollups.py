@@ -5,12 +5,11 @@ revise a document's count under a tokenizer version) is joined with the store's
 adds, a delete takes back what the ledger holds, a revision does both. The deltas are summed by source, language and
 tokenizer version; totals are the sum over all batches.
 
-A commit writes its rows to an attempt's own folder and then creates the log's next entry, which names batch and
-attempt, without overwriting. Whoever finds the entry taken starts again from the longer log, so that two runs never
-build on the same state; a batch that stands in the log is not applied again. What a run that died has left behind is
-in no entry and counts for nothing; an entry without content (its writer died while creating it) is taken over.
-Creating without overwriting has to be exclusive, as on HDFS and local file systems; on an object store its
-conditional writes have to be switched on.
+A commit writes its rows and its log entry, whole, to an attempt's own folder. One exclusive step then makes the entry
+visible as the log's next: a hard link on a local file system, a rename that never overwrites on HDFS, and on an object
+store a conditional write, which shows nothing before it is whole. So an entry that exists is complete, none is ever
+overwritten, and whoever finds the place taken starts again from the longer log; a batch that stands in the log is not
+applied again. What a run that died has left behind is in no entry and counts for nothing; ``vacuum`` removes it.
 
 Cases. Source, language and version may be null and form groups of their own. A row without doc_id cannot be found
 again: its insert counts, its delete or revision is ignored. Within a batch the change with the largest ``seq`` of a
@@ -19,14 +18,18 @@ inserting a known one revises it; a null or unknown op does nothing. An empty ba
 those named are not read, texts least of all.
 
 Scale. A batch shuffles its changes and the ledger's narrow rows by document; a hot source or language only meets the
-partial sums. Every ``COMPACT``-th entry writes the whole ledger and the totals, so that a commit reads the last such
-snapshot and fewer than ``COMPACT`` later batches, however long the history is.
+partial sums. Every ``COMPACT``-th entry writes the whole ledger and the totals, and lists the batches so far as ranges of
+numbers; each entry names the last of these. A commit opens that one and the fewer than ``COMPACT`` later ones, however
+long the history is; the log's end is found by doubling steps.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import time
 import uuid
+from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +45,27 @@ _LEDGER = "doc_id long, tokenizer_version string, source string, lang string, n_
 _DELTAS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
 
+@dataclass
+class Log:
+    """The number of entries, that of the last snapshot (0: none), all batches as ranges, and the attempts from there on."""
+
+    last: int
+    snapshot: int
+    batches: list[list[int]]
+    attempts: list[str]
+
+
+def with_batch(ranges: list[list[int]], batch: int) -> list[list[int]]:
+    """Ranges of batch numbers, rising and apart, with one more."""
+    merged: list[list[int]] = []
+    for low, high in sorted([*ranges, [batch, batch]]):
+        if merged and low <= merged[-1][1] + 1:
+            merged[-1] = [merged[-1][0], max(high, merged[-1][1])]
+        else:
+            merged.append([low, high])
+    return merged
+
+
 class Store:
     """A rollup store below ``folder``."""
 
@@ -51,48 +75,109 @@ class Store:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
-    def _files(self):
-        return self._path("log").getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _files(self, name: str = "log"):
+        return self._path(name).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _entry(self, number: int) -> str:
+        return f"log/{number:08d}"
 
-    def _log(self) -> list[tuple[int, str]]:
-        """Batch and attempt of each entry, in order."""
-        files, found = self._files(), []
-        while files.exists(path := self._path(f"log/{len(found) + 1:08d}")):
-            stream = files.open(path)
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    def _exists(self, number: int) -> bool:
+        return self._files().exists(self._path(self._entry(number)))
+
+    def _open(self, number: int) -> dict:
+        stream = self._files().open(self._path(self._entry(number)))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
             stream.close()
-            if not text.endswith("\n"):
-                break  # its writer died, or is about to write
-            found.append((json.loads(text)["batch"], json.loads(text)["attempt"]))
-        return found
-
-    def _enter(self, entry: int, batch: int, attempt: str) -> bool:
-        """Create a log entry; False if another run did."""
-        files, path = self._files(), self._path(f"log/{entry:08d}")
-        # An entry without content stands for a dead writer: only then is it overwritten.
-        dead = files.exists(path) and files.getFileStatus(path).getLen() == 0
+
+    def _log(self) -> Log:
+        """What the log's last snapshot says, and the entries from there on."""
+        high = 1
+        while self._exists(high):
+            high *= 2
+        low = high // 2  # exists (or is 0); high does not, and there are no gaps
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if self._exists(middle) else (low, middle)
+        if low == 0:
+            return Log(0, 0, [], [])
+        last = self._open(low)
+        start = last["snapshot"]
+        entries = [self._open(k) for k in range(max(start, 1), low)] + [last]
+        ranges = entries[0]["batches"] if start else []
+        later = entries[1:] if start else entries
+        for entry in later:
+            ranges = with_batch(ranges, entry["batch"])
+        return Log(low, start, ranges, [e["attempt"] for e in entries])
+
+    def _enter(self, number: int, entry: dict) -> bool:
+        """Make a whole log entry visible; False if another run has taken its number."""
+        attempt, target = self._path(f"{entry['attempt']}/entry"), self._path(self._entry(number))
+        files, text = self._files(), json.dumps(entry)
+        files.mkdirs(target.getParent())
+        scheme = files.getUri().getScheme()
+        if scheme not in ("file", "hdfs", "viewfs"):  # an object store: a conditional write, seen when it is whole
+            return self._created(files, target, text)
+        if not self._created(files, attempt, text):
+            raise FileExistsError(attempt.toString())
+        if scheme == "file":
+            try:
+                os.link(attempt.toUri().getPath(), target.toUri().getPath())
+            except FileExistsError:
+                return False
+            return True
+        jvm = self.spark._jvm
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.NONE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), self.spark._jsc.hadoopConfiguration())
         try:
-            stream = files.create(path, dead)
+            context.rename(attempt, target, options)
+        except Py4JJavaError:
+            if files.exists(target):
+                return False
+            raise
+        return True
+
+    @staticmethod
+    def _created(files, path, text: str) -> bool:
+        """Create a file; False if it exists, before or by the time it is closed."""
+        try:
+            stream = files.create(path, False)
+            stream.write(bytearray(text.encode()))
+            stream.close()
         except Py4JJavaError:
             if files.exists(path):
                 return False
             raise
-        stream.writeBytes(json.dumps({"batch": batch, "attempt": attempt}) + "\n")
-        stream.close()
         return True
 
     def committed(self) -> list[int]:
         """Numbers of the committed batches."""
-        return sorted(batch for batch, _ in self._log())
+        return [b for low, high in self._log().batches for b in range(low, high + 1)]
+
+    def vacuum(self, hours: float = 168) -> int:
+        """Remove attempts that no reader of the log needs and that are older than so many hours; their number.
+
+        These are those of runs that died or lost, and those before the last snapshot.
+        """
+        needed, before = set(self._log().attempts), (time.time() - 3600 * hours) * 1000
+        gone = 0
+        for status in self._files().listStatus(self._path("")):
+            name = status.getPath().getName()
+            if name.startswith("attempt-") and name not in needed and status.getModificationTime() <= before:
+                drop_folder(self.spark, f"{self.folder}/{name}")
+                gone += 1
+        return gone
 
-    def _read(self, log: list[tuple[int, str]], snapshot: str, later: str, schema: str) -> DataFrame:
+    def _read(self, log: Log, snapshot: str, later: str, schema: str) -> DataFrame:
         """The last snapshot and what came later."""
-        start = len(log) // COMPACT * COMPACT
-        paths = [f"{self.folder}/{log[start - 1][1]}/{snapshot}"] if start else []
-        paths += [f"{self.folder}/{attempt}/{later}" for _, attempt in log[start:]]
+        first = [f"{self.folder}/{log.attempts[0]}/{snapshot}"] if log.snapshot else []
+        paths = first + [f"{self.folder}/{attempt}/{later}" for attempt in log.attempts[len(first) :]]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _states(self, log: list[tuple[int, str]]) -> DataFrame:
+    def _states(self, log: Log) -> DataFrame:
         return self._read(log, "snapshot", "ledger", _LEDGER)
 
     @staticmethod
@@ -119,17 +204,21 @@ class Store:
         """
         while True:
             log = self._log()
-            if batch in [b for b, _ in log]:
+            if any(low <= batch <= high for low, high in log.batches):
                 return False
-            attempt = f"attempt-{uuid.uuid4().hex}"
-            self._write(log, f"{self.folder}/{attempt}", changes)
-            if self._enter(len(log) + 1, batch, attempt):
+            attempt, number = f"attempt-{uuid.uuid4().hex}", log.last + 1
+            compact = number - log.snapshot >= COMPACT
+            self._write(log, f"{self.folder}/{attempt}", changes, compact)
+            entry = {"batch": batch, "attempt": attempt, "snapshot": number if compact else log.snapshot}
+            if compact:
+                entry["batches"] = with_batch(log.batches, batch)
+            if self._enter(number, entry):
                 return True
             drop_folder(self.spark, f"{self.folder}/{attempt}")
 
-    def _write(self, log: list[tuple[int, str]], folder: str, changes: DataFrame) -> None:
-        """The ledger rows and deltas of a batch that follows ``log``, and a snapshot if one is due."""
-        entry = F.lit(len(log) + 1).cast("long").alias("entry")
+    def _write(self, log: Log, folder: str, changes: DataFrame, compact: bool) -> None:
+        """The ledger rows and deltas of a batch that follows ``log``, and a snapshot if asked for."""
+        entry = F.lit(log.last + 1).cast("long").alias("entry")
         count = F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n_tokens")
         changes = changes.where("op in ('insert', 'delete', 'revise')").select("op", "seq", *_KEYS, "source", "lang", count)
         known = changes.where("doc_id is not null").groupBy(*_KEYS).agg(
@@ -158,7 +247,7 @@ class Store:
         nameless = changes.where("doc_id is null and op = 'insert'").select(*GROUP, one, "n_tokens")
         deltas = self._summed(plus.union(minus).union(nameless))
         deltas.write.parquet(f"{folder}/deltas")
-        if (len(log) + 1) % COMPACT == 0:
+        if compact:
             self._living(self._states(log).unionByName(rows.drop("o"))).write.parquet(f"{folder}/snapshot")
             deltas = self.spark.read.schema(_DELTAS).parquet(f"{folder}/deltas")
             self._summed(self._read(log, "totals", "deltas", _DELTAS).union(deltas)).write.parquet(f"{folder}/totals")

@@ -1,8 +1,10 @@
 """Rollups against recounting everything."""
 
+import os
 import random
 import tempfile
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import public_tokenizers
 import pytest
@@ -62,26 +64,26 @@ def test_two_committers_and_crashes(spark, monkeypatch):
     rows = lambda doc: spark.createDataFrame([("insert", 1, doc, "v", "a", "en", 5)], SCHEMA)
     write = rollups.Store._write
 
-    def meanwhile(store, log, path, changes):
+    def meanwhile(store, log, path, changes, compact):
         """While the first run writes its rows, the second commits."""
-        write(store, log, path, changes)
-        if store is one and len(log) == 0:
+        write(store, log, path, changes, compact)
+        if store is one and log.last == 0:
             assert two.commit(2, rows(2))
 
     monkeypatch.setattr(rollups.Store, "_write", meanwhile)
     assert one.commit(1, rows(1))  # from the longer log
     assert one.committed() == [1, 2] and totals(one) == [("a", "en", "v", 2, 10)]
 
-    def same_batch(store, log, path, changes):
-        write(store, log, path, changes)
+    def same_batch(store, log, path, changes, compact):
+        write(store, log, path, changes, compact)
         if store is one and 3 not in store.committed():
             assert two.commit(3, rows(3))
 
     monkeypatch.setattr(rollups.Store, "_write", same_batch)
     assert not one.commit(3, rows(3)) and totals(one) == [("a", "en", "v", 3, 15)]
 
-    def dies(store, log, path, changes):
-        write(store, log, path, changes)
+    def dies(store, log, path, changes, compact):
+        write(store, log, path, changes, compact)
         raise RuntimeError
 
     monkeypatch.setattr(rollups.Store, "_write", dies)
@@ -89,8 +91,70 @@ def test_two_committers_and_crashes(spark, monkeypatch):
         one.commit(4, rows(4))
     monkeypatch.setattr(rollups.Store, "_write", write)
     assert two.committed() == [1, 2, 3] and totals(two) == [("a", "en", "v", 3, 15)]
-    open(f"{folder}/store/log/00000004", "w").close()  # died while it created the entry
     assert two.commit(4, rows(4)) and not one.commit(4, rows(4)) and totals(one) == [("a", "en", "v", 4, 20)]
+    # What the dead run left is in no entry; it goes once it is old.
+    attempts = lambda: {f for f in os.listdir(f"{folder}/store") if f.startswith("attempt-")}
+    assert len(attempts()) == 5 and one.vacuum(1) == 0 and one.vacuum(0) == 1 and len(attempts()) == 4
+    assert totals(two) == [("a", "en", "v", 4, 20)]
+
+
+def test_a_paused_writer_never_shows_half_an_entry(spark, monkeypatch):
+    """Of runs that pause just before and just after their entry's content is written, one gets the place."""
+    folder = tempfile.mkdtemp(prefix="spark-")
+    one, two, three = (rollups.Store(spark, f"file://{folder}/store") for _ in range(3))
+    rows = lambda doc: spark.createDataFrame([("insert", 1, doc, "v", "a", "en", 5)], SCHEMA)
+    created, done = rollups.Store._created, []
+
+    def paused(files, path, text):
+        if done:  # the runs meanwhile, and the second try
+            return created(files, path, text)
+        done.append(True)
+        assert two.commit(2, rows(2)) and two.committed() == [2]
+        out = created(files, path, text)
+        assert three.commit(3, rows(3)) and three.committed() == [2, 3]
+        return out
+
+    monkeypatch.setattr(rollups.Store, "_created", staticmethod(paused))
+    assert one.commit(1, rows(1))
+    assert one.committed() == [1, 2, 3]
+    assert totals(two) == [("a", "en", "v", 3, 15)] and sorted(os.listdir(f"{folder}/store/log")) == ["00000001", "00000002", "00000003"]
+
+
+def test_entering_is_exclusive(spark, monkeypatch):
+    """Many threads, one place: a link or a rename that does not overwrite lets one of them in."""
+    folder = tempfile.mkdtemp(prefix="spark-")
+    store = rollups.Store(spark, f"file://{folder}/store")
+
+    def enter(k):
+        return store._enter(1, {"batch": k, "attempt": f"attempt-{k}", "snapshot": 0})
+
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(enter, range(24)))
+    assert sum(won) == 1 and store.committed() == [won.index(True)]
+    # The same by the rename that HDFS takes.
+    other = rollups.Store(spark, f"file://{folder}/other")
+
+    class Renaming:
+        def __init__(self, files):
+            self.files = files
+
+        def __getattr__(self, name):
+            return getattr(self.files, name)
+
+        def getUri(self):  # noqa: N802
+            uri = self.files.getUri()
+            return type("Uri", (), {"getScheme": lambda _: "hdfs", "_get_object_id": lambda _: uri._get_object_id(), "_target_id": uri._target_id})()
+
+    monkeypatch.setattr(other, "_files", lambda name="log", files=store._files(): Renaming(files))
+    assert other._enter(1, {"batch": 7, "attempt": "attempt-7", "snapshot": 0})
+    assert not other._enter(1, {"batch": 8, "attempt": "attempt-8", "snapshot": 0}) and other.committed() == [7]
+
+
+def test_ranges_of_batches():
+    ranges = []
+    for b in (5, 3, 4, 9, 1, 4):
+        ranges = rollups.with_batch(ranges, b)
+    assert ranges == [[1, 1], [3, 5], [9, 9]]
 
 
 def test_query(spark):
