@@ -18,8 +18,12 @@ def to_number(value: Column) -> Column:
 
 
 def to_id(value: Column) -> Column:
-    """A 64-bit id that may arrive as text such as 30000484.0."""
-    return value.try_cast("double").try_cast("bigint")
+    """A 64-bit id that may arrive as text such as 30000484.0 or 3e7; null for what is no whole number.
+
+    The way goes through a decimal, as doubles run ids above 2**53 together.
+    """
+    exact = value.try_cast("decimal(38,18)")
+    return F.when(exact == F.floor(exact), exact).try_cast("bigint")
 
 
 def hash_uniform(*parts: Column | str | int) -> Column:

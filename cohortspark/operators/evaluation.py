@@ -1,56 +1,59 @@
 """Evaluation of predictions: rows (keys..., y 0/1, prob). Every function works on all runs at once, by ``keys``.
 
-Scores are summed by distinct probability before anything is ordered. Without keys the running totals go over ranges of
-the scores; with keys each run is a window of its own, over one row per distinct score.
+Scores are summed by distinct probability before anything is ordered. Running totals go over ranges of runs and scores:
+a run of all rows is split over tasks, a thousand small ones share some.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortspark.functions.columns import hash_uniform
-from cohortspark.operators.ordering import global_running
+from cohortspark.operators.ordering import GROUPS, global_running, group_quantiles, running_within
 from cohortspark.sources.staging import pinned
 
 
 def score_groups(preds: DataFrame, keys: list[str]) -> DataFrame:
-    """Per distinct score: positives and negatives, their running totals from the highest score, and the run's totals."""
+    """Per distinct score: positives and negatives, and their running totals from the highest score."""
     groups = preds.groupBy(*keys, "prob").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
     if not keys:
-        run = pinned(global_running(groups, [F.col("prob").desc()], {"tp": "pos", "fp": "neg"}))
-        n_pos, n_neg = run.agg(F.max("tp"), F.max("fp")).first()
-        return run.withColumns({"n_pos": F.lit(n_pos).cast("long"), "n_neg": F.lit(n_neg).cast("long")})
-    down = Window.partitionBy(*keys).orderBy(F.col("prob").desc())
-    all_ = Window.partitionBy(*keys)
-    return groups.withColumns(
-        {
-            "tp": F.sum("pos").over(down),
-            "fp": F.sum("neg").over(down),
-            "n_pos": F.sum("pos").over(all_),
-            "n_neg": F.sum("neg").over(all_),
-        }
-    )
+        return global_running(groups, [F.col("prob").desc()], {"tp": "pos", "fp": "neg"})
+    return running_within(groups, keys, [F.col("prob").desc()], {"tp": "pos", "fp": "neg"})
+
+
+def _with_totals(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``score_groups`` with the totals n_pos and n_neg of the run, one row of which a run travels."""
+    groups = pinned(groups)
+    totals = groups.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    if not keys:
+        return groups.crossJoin(F.broadcast(totals))  # one row
+    totals = pinned(totals)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    few = totals.limit(GROUPS + 1).count() <= GROUPS
+    return groups.join(F.broadcast(totals) if few else totals.hint("merge"), same).drop(*[f"_{k}" for k in keys])
 
 
 def auroc(preds: DataFrame, keys: list[str]) -> DataFrame:
     """Tie-aware area under the ROC curve; null for runs of one class."""
     g = score_groups(preds, keys)
     above = F.col("neg") * (F.col("tp") - F.col("pos") + F.col("pos") / 2)
-    return g.groupBy(*keys).agg(F.try_divide(F.sum(above), F.first("n_pos") * F.first("n_neg")).alias("auroc"))
+    return g.groupBy(*keys).agg(F.try_divide(F.sum(above), F.sum("pos") * F.sum("neg")).alias("auroc"))
 
 
 def auprc(preds: DataFrame, keys: list[str]) -> DataFrame:
     """Average precision: precision at each distinct score times the recall it adds."""
     g = score_groups(preds, keys)
     step = F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
-    return g.groupBy(*keys).agg(F.try_divide(F.sum(step), F.first("n_pos")).alias("auprc"))
+    return g.groupBy(*keys).agg(F.try_divide(F.sum(step), F.sum("pos")).alias("auprc"))
 
 
 def curve_points(preds: DataFrame, keys: list[str]) -> DataFrame:
     """ROC and precision-recall points at each distinct score."""
-    g = score_groups(preds, keys)
+    g = _with_totals(score_groups(preds, keys), keys)
     return g.select(
         *keys,
         F.col("prob").alias("threshold"),
@@ -62,7 +65,7 @@ def curve_points(preds: DataFrame, keys: list[str]) -> DataFrame:
 
 def pick_threshold(preds: DataFrame, keys: list[str], method: str = "youden") -> DataFrame:
     """The threshold with the best Youden's J (highest on ties) or the best F1 (lowest on ties)."""
-    g = score_groups(preds, keys)
+    g = _with_totals(score_groups(preds, keys), keys)
     if method == "youden":
         # Ties are exact in whole numbers: tp * n_neg - fp * n_pos.
         gain, order = F.col("tp") * F.col("n_neg") - F.col("fp") * F.col("n_pos"), F.col("prob")
@@ -122,16 +125,9 @@ def calibration_error(preds: DataFrame, keys: list[str], bins: int = 10) -> Data
 
 
 def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
-    """Linear quantiles of a column by global ranks; only the values at the wanted ranks reach the driver."""
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.lit(1).cast("long").alias("one"))
-    ranked = pinned(global_running(rows, [F.col("v")], {"place": "one"}))
-    n = ranked.count()
-    if n == 0:
-        return []
-    spots = [q * (n - 1) for q in shares]
-    wanted = sorted({int(p) + k for p in spots for k in (1, 2) if int(p) + k <= n})
-    at = {r["place"] - 1: r["v"] for r in ranked.where(F.col("place").isin(wanted)).collect()}
-    return [at[int(p)] if p == int(p) or at[int(p)] == at[int(p) + 1] else (int(p) + 1 - p) * at[int(p)] + (p - int(p)) * at[int(p) + 1] for p in spots]
+    """Linear quantiles of a column; none where it has no values."""
+    found = group_quantiles(df.select(value), [], value, {f"q{i}": q for i, q in enumerate(shares)}).first()
+    return [found[f"q{i}"] for i in range(len(shares))] if found and found["n"] else []
 
 
 def calibration_quantiles(preds: DataFrame, bins: int = 10) -> DataFrame:

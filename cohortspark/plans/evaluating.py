@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortspark.operators import evaluation as E
 from cohortspark.operators import models as M
 from cohortspark.operators.cohort import assign_splits
-from cohortspark.operators.ordering import global_running
+from cohortspark.operators.ordering import global_running, group_quantiles
 from cohortspark.operators.timeops import point_window
 from cohortspark.plans.inputs import CONCEPTS, PR, SG, WIN, points, predictions, r6, stays, table
 from cohortspark.plans.registry import query
@@ -317,7 +317,9 @@ def top_features(spark, sf_dir):
 def cohort_figures(spark, sf_dir):
     """Size, prevalence and median lead of the positives."""
     lead = F.when(F.col("label") == 1, (F.col("outtime") - F.col("t0")) / 3600)
-    return stays(spark, sf_dir).agg(F.count("*").alias("n"), r6(F.avg("label")).alias("prevalence"), r6(F.median(lead)).alias("median_lead_h"))
+    rows = pinned(stays(spark, sf_dir).withColumn("lead", lead))
+    median = group_quantiles(rows, [], "lead", {"median_lead_h": 0.5}).select(r6("median_lead_h").alias("median_lead_h"))
+    return rows.agg(F.count("*").alias("n"), r6(F.avg("label")).alias("prevalence")).crossJoin(F.broadcast(median))  # one row each
 
 
 @query(

@@ -13,8 +13,10 @@ from cohortspark.operators import timeops as T
 from cohortspark.operators.cohort import filled_join, joined_once
 from cohortspark.operators.evaluation import auroc
 from cohortspark.operators.gates import gates
+from cohortspark.operators.ordering import group_quantiles
 from cohortspark.plans.inputs import EV, CONCEPTS, IV, WIN, intervals, points, r6, stays
 from cohortspark.plans.registry import query
+from cohortspark.sources.staging import pinned
 
 
 def _window(spark, sf_dir):
@@ -266,9 +268,10 @@ def score_distribution(spark, sf_dir):
     total = F.col("coagulation") + F.col("renal") + F.col("cardiovascular") + F.col("nervous")
     rows = _scores(spark, sf_dir).join(stays(spark, sf_dir).select("stay_id", "label"), "stay_id")
     missing = lambda c: r6(F.avg(F.col(c).isNull().cast("int")))
-    return rows.groupBy("label").agg(
-        F.count("*").alias("n"), r6(F.avg(total)).alias("mean_total"), F.median(total).alias("median_total"), missing("plt").alias("missing_plt"), missing("gcs").alias("missing_gcs")
-    )
+    rows = pinned(rows.withColumn("sum", total))
+    found = rows.groupBy("label").agg(F.count("*").alias("n"), r6(F.avg("sum")).alias("mean_total"), missing("plt").alias("missing_plt"), missing("gcs").alias("missing_gcs"))
+    medians = group_quantiles(rows, ["label"], "sum", {"median_total": 0.5})
+    return found.join(medians.select("label", "median_total").hint("merge"), "label")
 
 
 @query(
@@ -316,20 +319,25 @@ def filled_subjects(spark, sf_dir):
 @query(
     "exposure_summary",
     "WITH " + IV + """, ex AS (SELECT stay_id, min(observed_start) AS first FROM iw WHERE concept = 'signup' GROUP BY 1)
-, r AS (SELECT stay_id % 3 AS split, label, ex.first IS NOT NULL AS exposed, (ex.first - t0) / 3600 AS h FROM st LEFT JOIN ex USING (stay_id))
+, r AS (SELECT stay_id % 3 AS split, label, ex.first IS NOT NULL AS exposed, (ex.first - t0) / 3600 AS h, CASE WHEN label = 1 THEN (outtime - ex.first) / 3600 END AS o FROM st LEFT JOIN ex USING (stay_id))
 SELECT split, label, count(*) AS n, count(*) FILTER (exposed) AS n_exposed, round(100.0 * count(*) FILTER (exposed) / count(*), 6) AS percent_exposed, round(quantile_cont(h, 0.5), 6) AS median_h,
- round(quantile_cont(h, 0.25), 6) AS p25_h, round(quantile_cont(h, 0.75), 6) AS p75_h FROM r GROUP BY GROUPING SETS ((split, label), (label))""",
+ round(quantile_cont(h, 0.25), 6) AS p25_h, round(quantile_cont(h, 0.75), 6) AS p75_h, round(quantile_cont(o, 0.5), 6) AS median_to_onset_h FROM r GROUP BY GROUPING SETS ((split, label), (label))""",
 )
 def exposure_summary(spark, sf_dir):
     """Exposure by split and arm with the total over splits, and its timing."""
     first = _intervals(spark, sf_dir).where("concept = 'signup'").groupBy("stay_id").agg(F.min("observed_start").alias("first"))
-    rows = stays(spark, sf_dir).join(first, "stay_id", "left").withColumns({"split": F.col("stay_id") % 3, "h": (F.col("first") - F.col("t0")) / 3600})
-    n_exposed = F.count("first")
-    q = lambda p: r6(F.percentile("h", F.lit(p)))
-    return rows.groupingSets([["split", "label"], ["label"]], "split", "label").agg(
-        F.count("*").alias("n"), n_exposed.alias("n_exposed"), r6(100.0 * n_exposed / F.count("*")).alias("percent_exposed"),
-        q(0.5).alias("median_h"), q(0.25).alias("p25_h"), q(0.75).alias("p75_h"),
-    )
+    onset = F.when(F.col("label") == 1, (F.col("outtime") - F.col("first")) / 3600)  # of positives, whose onset ends the stay
+    rows = stays(spark, sf_dir).join(first, "stay_id", "left").withColumns({"h": (F.col("first") - F.col("t0")) / 3600, "o": onset})
+    # Each row in its split and in the total over splits.
+    rows = pinned(rows.select("label", "first", "h", "o", F.explode(F.array(F.col("stay_id") % 3, F.lit(None).cast("long"))).alias("split")))
+    n_exposed, keys = F.count("first"), ["split", "label"]
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"), n_exposed.alias("n_exposed"), r6(100.0 * n_exposed / F.count("*")).alias("percent_exposed"))
+    times = group_quantiles(rows, keys, "h", {"median_h": 0.5, "p25_h": 0.25, "p75_h": 0.75}).drop("n")
+    onsets = group_quantiles(rows, keys, "o", {"median_to_onset_h": 0.5}).drop("n")
+    for found in (times, onsets):
+        found = found.select(F.col("split").alias("s"), F.col("label").alias("l"), *[r6(c).alias(c) for c in found.columns if c not in keys])
+        counts = counts.join(found.hint("merge"), F.col("split").eqNullSafe(F.col("s")) & (F.col("label") == F.col("l"))).drop("s", "l")
+    return counts
 
 
 SK = WIN + """, tr AS (SELECT stay_id FROM st WHERE stay_id % 3 <> 0), c AS (SELECT unnest(['click', 'view']) AS concept)

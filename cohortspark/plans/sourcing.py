@@ -170,12 +170,12 @@ def first_rows(spark, sf_dir):
 @query(
     "normal_cohort",
     """SELECT stay_id, min(o_orderkey) AS subject_id, label FROM (
-  SELECT o_orderkey, o_custkey AS stay_id, (o_custkey % 2)::BIGINT AS label FROM orders WHERE o_orderkey % 10 <> 3 AND o_orderstatus <> 'P') GROUP BY 1, 3""",
+  SELECT o_orderkey, 9007199254740992 + o_custkey AS stay_id, (o_custkey % 2)::BIGINT AS label FROM orders WHERE o_orderkey % 10 <> 3 AND o_orderstatus <> 'P') GROUP BY 1, 3""",
 )
 def normal_cohort(spark, sf_dir):
     """Ids that arrive as text become whole numbers, rows without one go, of each stay the first row stays."""
     rows = table(spark, sf_dir, "orders").select(
-        F.when(F.col("o_orderkey") % 10 == 3, "none").otherwise(F.concat(F.col("o_custkey").cast("string"), F.lit(".0"))).alias("stay_id"),
+        F.when(F.col("o_orderkey") % 10 == 3, "none").otherwise(F.concat((F.col("o_custkey") + 2**53).cast("string"), F.lit(".0"))).alias("stay_id"),
         F.col("o_orderkey").cast("string").alias("subject_id"),
         F.when(F.col("o_orderstatus") != "P", (F.col("o_custkey") % 2).cast("double")).alias("label"),
     )
