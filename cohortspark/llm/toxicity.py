@@ -19,7 +19,8 @@ table gives an empty result. Extra columns are not read, whatever their names. T
 
 Scale. Votes of all documents are counted by pattern before they are shuffled, and the model reads those counts. Terms
 are mined from at most ``MINED`` labelled texts of each class and the classifier is fitted to at most ``FITTED`` texts,
-both the first by a hash of the text; these bounds, and the numbers of terms below, do not grow with the data.
+both the first by a hash of the text; these bounds, and the numbers of terms below, do not grow with the data. Only the
+texts so chosen are shuffled, the others are hashed, voted on and scored where they lie.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.shared import bounded_batches, staged
+from cohortspark.llm.shared import bounded_batches, sent, staged
 
 #: Labelled texts of each class that terms are mined from, and texts that the classifier is fitted to.
 MINED, FITTED = 10_000, 20_000
@@ -121,17 +122,20 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def first_texts(rows: DataFrame, most: int) -> DataFrame:
-    """At most about ``most`` distinct texts of ``rows`` (text, p): the first by a hash; p is the mean over equal texts."""
-    h = F.xxhash64("text")
-    keyed = rows.select(F.coalesce("text", F.lit("")).alias("text"), F.col("p").cast("double").alias("p")).withColumn("h", h)
-    sums = staged(keyed.groupBy("h").agg(F.avg("p").alias("p")))
+def first_keys(rows: DataFrame, most: int) -> DataFrame:
+    """At most about ``most`` distinct keys of ``rows`` (h, y): the first by the hash itself; p is the mean over equal texts."""
+    sums = staged(rows.groupBy("h").agg(F.avg("y").alias("p")))
     n = sums.count()
     if n > most:  # hashes are uniform: the first share of their range
         sums = sums.where(F.col("h") < -(2**63) + int(2**64 * (most / n)))
-    chosen = sums.withColumnRenamed("p", "mean_p")
-    one = keyed.join(chosen.hint("merge"), "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
-    return one.join(chosen.hint("merge"), "h").select("text", F.col("mean_p").alias("p"))
+    return sums
+
+
+def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """text and p of each of ``keys`` (h, p; few rows): other texts stay where they are, copies meet in their tasks."""
+    keyed = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    found = keyed.join(sent(staged(keys)), "h").groupBy("h", "p").agg(F.first("text").alias("text"))
+    return staged(found.select("text", "p"))
 
 
 def usable_labels(labels: DataFrame) -> DataFrame:
@@ -353,17 +357,16 @@ def trained(docs: DataFrame, labels: DataFrame) -> Classifier:
     bounded_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     given = staged(usable_labels(labels))
-    labelled = texts.join(given.hint("merge"), "doc_id").select("text", F.col("y").alias("p"))
-    mined = staged(first_texts(labelled.where("p = 1"), MINED).union(first_texts(labelled.where("p = 0"), MINED)))
+    known = texts.select("doc_id", F.xxhash64("text").alias("h")).join(given.hint("merge"), "doc_id", "left")
+    known = staged(known.select("h", F.col("y").cast("double").alias("y")))
+    mined = texts_of(docs, first_keys(known.where("y = 1"), MINED).union(first_keys(known.where("y = 0"), MINED)))
     sums = given.agg(F.sum("y").alias("toxic"), F.count("*").alias("n")).first()
     share = ((sums["toxic"] or 0) + 1) / (sums["n"] + 2)
-    terms = mined_terms(mined.where("p in (0, 1)"))
+    terms = mined_terms(mined)
     if not terms:
         return Classifier(math.log(share / (1 - share)), {})
     model = label_model(staged(vote_patterns(texts, given, terms)))
-    known = texts.join(given.hint("merge"), "doc_id", "left").select("text", F.col("y").alias("p"))
-    chosen = first_texts(known, FITTED)
-    return fitted(staged(posterior_texts(chosen, terms, model)))
+    return fitted(staged(posterior_texts(texts_of(docs, first_keys(known, FITTED)), terms, model)))
 
 
 def vote_patterns(texts: DataFrame, given: DataFrame, terms: list[str]) -> DataFrame:
