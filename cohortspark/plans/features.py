@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions import clinical
 from cohortspark.functions.columns import clip, prorated
+from cohortspark.operators import bundle as B
 from cohortspark.operators import features as X
 from cohortspark.operators import timeops as T
 from cohortspark.operators.cohort import filled_join, joined_once
@@ -408,6 +409,39 @@ def feature_slices(spark, sf_dir):
     return X.feature_slices(spark, {"series": concepts}, ["age", "sex"])
 
 
+BUNDLE = """, co AS (SELECT stay_id, label FROM st WHERE stay_id % 5 <> 4), tr AS (SELECT stay_id FROM co WHERE stay_id % 3 <> 0)
+, md AS (SELECT unnest([{'modality': 'vitals', 'concept': 'view', 'cum': false}, {'modality': 'vitals', 'concept': 'click', 'cum': false}, {'modality': 'treatments', 'concept': 'error', 'cum': false}, {'modality': 'treatments', 'concept': 'purchase', 'cum': true}, {'modality': 'treatments', 'concept': 'unseen', 'cum': false}], recursive := true))
+, e AS (SELECT stay_id, concept, cum, value, (23 - least(greatest(floor(hours_before), 0), 23))::INT AS t FROM win JOIN md USING (concept) SEMI JOIN co USING (stay_id))
+, h AS (SELECT stay_id, concept, t, CASE WHEN cum THEN sum(value) ELSE avg(value) END AS v FROM e GROUP BY 1, 2, 3, cum)
+, sk AS (SELECT stay_id, label, modality, concept, cum, unnest(range(24))::INT AS t FROM co, md)
+, f AS (SELECT sk.*, v, ln(1 + greatest(coalesce(v, 0), 0)) AS x, last_value(v IGNORE NULLS) OVER w AS carried, max(CASE WHEN v IS NOT NULL THEN t END) OVER w AS seen FROM sk LEFT JOIN h USING (stay_id, concept, t)
+  WINDOW w AS (PARTITION BY stay_id, concept ORDER BY t ROWS UNBOUNDED PRECEDING))
+, sc AS (SELECT concept, avg(value) AS mu, stddev_pop(value) AS sd FROM e SEMI JOIN tr USING (stay_id) WHERE NOT cum GROUP BY 1
+  UNION ALL SELECT concept, avg(x), stddev_pop(x) FROM f SEMI JOIN tr USING (stay_id) WHERE cum GROUP BY 1)
+, sb AS (SELECT stay_id, label, unnest([{'unit': 'balance', 'v': c_acctbal::DOUBLE}, {'unit': 'nation', 'v': (CASE WHEN c_nationkey % 3 > 0 THEN c_nationkey END)::DOUBLE}], recursive := true) FROM co LEFT JOIN customer ON c_custkey = stay_id)
+, ss AS (SELECT unit, avg(v) AS mu, stddev_pop(v) AS sd FROM sb SEMI JOIN tr USING (stay_id) GROUP BY 1)
+SELECT stay_id, label, modality, concept AS unit, t, round(coalesce((CASE WHEN cum THEN x ELSE coalesce(carried, mu) END - mu) / CASE WHEN sd < 1e-8 THEN 1 ELSE sd END, 0), 6) + 0.0 AS value,
+  (v IS NOT NULL)::INT AS mask, round(least(coalesce(t - seen, 24), 24) / 24.0, 6) AS delta FROM f LEFT JOIN sc USING (concept)
+UNION ALL SELECT stay_id, label, 'static', unit, NULL, round((coalesce(v, mu) - mu) / sd, 6) + 0.0, NULL, NULL FROM sb JOIN ss USING (unit)"""
+
+
+def _bundle_modalities(spark, sf_dir):
+    rows = _window(spark, sf_dir)
+    return {"vitals": B.Modality(rows, ("view", "click")), "treatments": B.Modality(rows, ("error", "purchase", "unseen"), frozenset(["purchase"]))}
+
+
+@query("grid_bundle", "WITH " + WIN + BUNDLE)
+def grid_bundle(spark, sf_dir):
+    """Series, static block and labels of a subset of the cohort, with statistics of training stays; every value."""
+    cohort, modalities = stays(spark, sf_dir), _bundle_modalities(spark, sf_dir)
+    people = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    nation = F.when(F.col("c_nationkey") % 3 > 0, F.col("c_nationkey")).alias("nation")
+    static = people.select(F.col("c_custkey").alias("stay_id"), F.col("c_acctbal").cast("double").alias("balance"), nation, F.lit(1).alias("same"))
+    bundle = B.grid_bundle(cohort, modalities, static, cohort.where("stay_id % 3 <> 0"), cohort.where("stay_id % 5 <> 4"))
+    cells = B.bundle_cells(bundle, modalities)
+    return cells.withColumns({"value": r6("value") + 0.0, "delta": r6("delta")})
+
+
 @query(
     "grid_units",
     "WITH " + SK + " SELECT stay_id, count(DISTINCT t)::INT AS hours, (3 * count(DISTINCT concept))::INT AS width FROM sk GROUP BY 1",
