@@ -17,8 +17,8 @@ eigenvalues have any orthogonal vectors of their space. Components without varia
 components, constant dimensions) have no rows; an empty table gives an empty result. Extra columns are not read,
 whatever their names. ``deviation`` is null beyond 38 digits.
 
-Scale. A pass reads the distinct vectors once and returns dimensions x vectors numbers a task, summed in a tree. The
-driver holds the subspace: dimensions times some tens of columns. Copies meet before they are shuffled.
+Scale. A pass reads the distinct vectors once and returns dimensions x vectors numbers a task, summed by the driver or,
+where they are many, in a tree. The driver holds the subspace: dimensions times some tens of columns. Copies meet before they are shuffled.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ UNIT, BITS = 256, 63
 COMPONENTS = 4
 #: Bytes of a block of rows.
 BLOCK_BYTES = 4 << 20
+#: Bytes of sums that the driver takes at once.
+GATHERED = 64 << 20
 #: Columns that the subspace starts with and has at most, steps of an inner solve, rounds.
 START, MOST, INNER, ROUNDS = 8, 32, 12, 200
 #: A residual counts as zero below so many units of rounding of the largest eigenvalue.
@@ -74,7 +76,10 @@ class FitList:
     def summed(self, of_block: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
         """The sum over all blocks of what a block (rows of whole numbers) gives."""
         dim = self.dim
-        return self.blocks.map(lambda b: of_block(_rows(b, dim))).treeReduce(np.add)
+        parts = self.blocks.map(lambda b: of_block(_rows(b, dim)))
+        # One sum a task comes to the driver where they fit in there, else they meet in a tree of tasks first.
+        few = self.blocks.getNumPartitions() * dim * MOST * 8 <= GATHERED
+        return parts.reduce(np.add) if few else parts.treeReduce(np.add)
 
     def covariance_times(self, vectors: np.ndarray) -> np.ndarray:
         """The covariance (divisor n) times each column, centred before multiplying."""

@@ -70,6 +70,15 @@ def test_cases(spark):
     check(whitening.whitened(spark.createDataFrame(large, SCHEMA)).collect(), large)
 
 
+def test_sums_in_a_tree(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(5).tolist()) for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(9)
+    monkeypatch.setattr(whitening, "GATHERED", 0)
+    monkeypatch.setattr(whitening, "BLOCK_BYTES", 5 * 8 * 7)  # seven rows a block
+    check(whitening.whitened(docs).collect(), rows)
+
+
 def test_few_rows(spark):
     assert whitening.whitened(spark.createDataFrame([], SCHEMA)).collect() == []
     assert whitening.whitened(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], SCHEMA)).collect() == []  # no variance
