@@ -202,7 +202,7 @@ def paired_table(values: DataFrame) -> DataFrame:
 
 def consistent(found: DataFrame, reported: DataFrame, tolerance: float) -> DataFrame:
     """model, metric, found, reported and whether they agree; a metric that one side lacks does not pass."""
-    both = found.join(reported, ["model", "metric"], "full")
+    both = found.join(reported.hint("merge"), ["model", "metric"], "full")
     return both.withColumn("passed", F.coalesce(F.abs(F.col("found") - F.col("reported")) <= tolerance, F.lit(False)))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.errors import IllegalArgumentException, PySparkException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -43,6 +43,11 @@ def logistic(names: list[str], n_train: int) -> Pipeline:
     )
 
 
+def linear_margin(names: list[str], n_train: int) -> Pipeline:
+    """Median impute, standardise, balanced linear support vectors: margins, no probabilities."""
+    return Pipeline(stages=[*logistic(names, n_train).getStages()[:-1], LinearSVC(labelCol="label", weightCol="weight", regParam=0.01, maxIter=50)])
+
+
 def boosted(names: list[str], rounds: int, sampling: float = 1.0, seed: int = 0) -> Pipeline:
     """Boosted trees of depth 6 on imputed values and missing flags."""
     filled = [f"{c}__filled" for c in names]
@@ -75,8 +80,13 @@ def fit(pipeline: Pipeline, matrix: DataFrame) -> PipelineModel:
 
 
 def predict(model: PipelineModel, matrix: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Keys, stay_id, split, y and prob; of a classifier without probabilities, its margin through the logistic function."""
     scored = model.transform(matrix)
-    return scored.select(*keys, "stay_id", "split", F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("prob"))
+    if "probability" in scored.columns:
+        prob = vector_to_array("probability")[1]
+    else:
+        prob = 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
+    return scored.select(*keys, "stay_id", "split", F.col("label").cast("int").alias("y"), prob.alias("prob"))
 
 
 def sweep(runs: dict[str, Callable[[], Pipeline]], matrix: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -85,7 +95,8 @@ def sweep(runs: dict[str, Callable[[], Pipeline]], matrix: DataFrame) -> tuple[D
     scored, failed = [], []
     for name, pipeline in runs.items():
         try:
-            scored.append(predict(fit(pipeline(), matrix), matrix).withColumn("run", F.lit(name)))
+            # Written here, so that a run that fails while it scores is a row too.
+            scored.append(pinned(predict(fit(pipeline(), matrix), matrix).withColumn("run", F.lit(name))))
         except (ValueError, IllegalArgumentException, PySparkException) as error:
             failed.append((name, f"{type(error).__name__}: {str(error).splitlines()[0]}"[:200]))
     if not scored:

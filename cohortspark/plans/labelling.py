@@ -174,7 +174,7 @@ def _status(spark, sf_dir):
     eligible = stays(spark, sf_dir).where("outtime - intime >= 86400").select("stay_id", "intime", "outtime")
     rows = eligible.join(C.suspicion(abx, cultures).select("stay_id", "suspicion_time"), "stay_id", "left")
     hits = _first_hit(spark, sf_dir).select("stay_id", F.col("grid_time").alias("onset_time"), "total")
-    rows = rows.join(hits, "stay_id", "left").withColumn("prediction_time", F.col("onset_time") - 21600)
+    rows = rows.join(hits.hint("merge"), "stay_id", "left").withColumn("prediction_time", F.col("onset_time") - 21600)
     inside = F.col("prediction_time").between(F.col("intime"), F.col("outtime"))
     status = F.when(F.col("suspicion_time").isNull(), "no suspicion").when(F.col("onset_time").isNull(), "no score")
     return rows.withColumn("status", status.when(inside, "positive").otherwise("outside stay"))

@@ -13,13 +13,12 @@ from cohortspark.operators.timeops import first_by, point_window
 from cohortspark.plans.inputs import EV, ST, WIN, points, r6, stays, table
 from cohortspark.plans.registry import query
 from cohortspark.sources import tables
-from cohortspark.sources.staging import pinned
+from cohortspark.sources.staging import pinned, shared_top
 
 
 def folder(spark) -> str:
     """A new folder that all executors share."""
-    pinned(spark.range(1))  # sets a folder where a local session has none
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/out-{uuid.uuid4().hex}"
+    return f"{shared_top(spark)}/out-{uuid.uuid4().hex}"
 
 
 @query("csv_round_trip", "SELECT lpad(c_custkey::VARCHAR, 12, '0') AS code, c_name, c_nationkey, c_acctbal FROM customer")
@@ -48,6 +47,26 @@ def stage_tables(spark, sf_dir):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+@query(
+    "absent_component",
+    "WITH " + ST + """, b AS (SELECT stay_id, max(value) AS bili FROM ev WHERE concept = 'signup' GROUP BY 1)
+, s AS (SELECT stay_id, CASE WHEN bili / 20 >= 12 THEN 4 WHEN bili / 20 >= 6 THEN 3 WHEN bili / 20 >= 2 THEN 2 WHEN bili / 20 >= 1.2 THEN 1 ELSE 0 END AS liver FROM st LEFT JOIN b USING (stay_id))
+SELECT stay_id, liver, 0 AS renal, liver AS total FROM s""",
+)
+def absent_component(spark, sf_dir):
+    """A score whose optional source (urine) no stage has: a warning, and its component is 0 for every stay."""
+    top = folder(spark)
+    tables.write_stage(f"{top}/raw", {"bilirubin": points(spark, sf_dir).where("concept = 'signup'").select("stay_id", (F.col("value") / 20).alias("value"))})
+    bilirubin = tables.read_stage(spark, "bilirubin", [f"{top}/done", f"{top}/raw"])
+    urine = tables.read_stage(spark, "urine", [f"{top}/done", f"{top}/raw"], "stay_id long, value double")
+    rows = stays(spark, sf_dir).select("stay_id")
+    for found, name, worst in ((bilirubin, "bili", F.max), (urine, "urine", F.sum)):
+        rows = rows.join(found.groupBy("stay_id").agg(worst("value").alias(name)).hint("merge"), "stay_id", "left")
+    liver, renal = clinical.liver(F.col("bili")), F.when(F.col("urine") < 200, 4).when(F.col("urine") < 500, 3).otherwise(0)
+    scored = rows.select("stay_id", liver.cast("int").alias("liver"), renal.alias("renal"))
+    return scored.withColumn("total", F.col("liver") + F.col("renal"))
+
+
 @query(
     "partial_rerun",
     """SELECT 'static' AS table_name, 2 AS version, count(*) AS n FROM customer UNION ALL SELECT 'series', 1, count(*) FROM events""",

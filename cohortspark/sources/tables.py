@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from functools import reduce
 
@@ -31,7 +32,7 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 def read_stage(spark: SparkSession, name: str, stages: list[str], schema: T.StructType | str | None = None) -> DataFrame:
     """The table from the first (most processed) stage that has it.
 
-    With a schema, a table that no stage has is empty; without one it is an error.
+    With a schema the table is optional: one that no stage has is empty, with a warning; without one it is an error.
     """
     for stage in stages:
         path = f"{stage}/{name}.parquet"
@@ -39,6 +40,7 @@ def read_stage(spark: SparkSession, name: str, stages: list[str], schema: T.Stru
             return spark.read.parquet(path)
     if schema is None:
         raise FileNotFoundError(f"no stage has {name}")
+    warnings.warn(f"optional table {name} is missing; what is made of it counts as none", stacklevel=2)
     return spark.createDataFrame([], schema)
 
 
