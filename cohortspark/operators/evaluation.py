@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortspark.functions.columns import hash_uniform
 from cohortspark.operators.ordering import GROUPS, global_running, group_quantiles, running_within
 from cohortspark.sources.staging import pinned
 
@@ -143,27 +142,6 @@ def quartile(df: DataFrame, value: str, name: str = "quartile") -> DataFrame:
     return df.withColumn(name, 1 + F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(value))))
 
 
-def draws(n: int, replicates: int, seed: int, spark) -> DataFrame:
-    """replicate, at: ``n`` row numbers drawn with replacement for each replicate, by hash."""
-    slots = spark.range(replicates * n).select(
-        F.floor(F.col("id") / n).alias("replicate"), (F.col("id") % n).alias("slot")
-    )
-    at = F.floor(hash_uniform(seed, F.col("replicate"), F.col("slot")) * n)
-    return slots.select("replicate", at.cast("long").alias("at"))
-
-
-def bootstrap(indexed: DataFrame, n: int, metric, keys: list[str], replicates: int = 1000, seed: int = 0) -> DataFrame:
-    """A metric of each replicate: (keys..., replicate, value of ``metric``).
-
-    indexed: ``at`` (0..n-1), keys, y and prob. The draws join the rows once for all runs; replicates of one class
-    drop out.
-    """
-    drawn = draws(n, replicates, seed, indexed.sparkSession).hint("merge").join(indexed, "at")
-    values = metric(drawn, [*keys, "replicate"])
-    name = [c for c in values.columns if c not in (*keys, "replicate")][0]
-    return values.select(*keys, "replicate", F.col(name).alias("metric")).where("metric is not null")
-
-
 def interval(values: DataFrame, keys: list[str], level: float = 0.95) -> DataFrame:
     """Percentile interval of bootstrap values."""
     low = (1 - level) / 2

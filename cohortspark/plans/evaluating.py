@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators import evaluation as E
 from cohortspark.operators import models as M
+from cohortspark.operators import resampling as R
 from cohortspark.operators.cohort import assign_splits
 from cohortspark.operators.ordering import global_running, group_quantiles
 from cohortspark.operators.timeops import point_window
@@ -161,20 +162,67 @@ def stratified_auroc(spark, sf_dir):
 REPS, PAIRED_REPS = 1000, 2000
 
 
+SEED, LEVELS = 2, 20  # of the SQL; a million groups at most
+
+
+def _mixed_sql(source: str, x: str) -> str:
+    """A subquery with column ``x`` of ``source`` put through the 32-bit mixer, step by step."""
+    for step in ("xor({x}, {x} >> 16)", "({x} * 2246822507) % 4294967296", "xor({x}, {x} >> 13)", "({x} * 3266489909) % 4294967296", "xor({x}, {x} >> 16)"):
+        source = f"(SELECT * REPLACE ({step.format(x=x)} AS {x}) FROM {source})"
+    return source
+
+
+def _uniform_sql(reps: int) -> str:
+    """replicate, cut and u of every cut between two groups."""
+    source = f"(SELECT r.i AS replicate, c.i AS cut, {SEED}::UBIGINT AS a, xor({SEED}::UBIGINT, 2654435769::UBIGINT) AS b FROM range({reps}) r(i), range(1, (SELECT gs FROM gn)) c(i))"
+    for part in ("replicate", "cut % 4294967296", "cut // 4294967296"):
+        source = _mixed_sql(f"(SELECT * REPLACE ((a + ({part})::UBIGINT) % 4294967296 AS a) FROM {source})", "a")
+        source = _mixed_sql(f"(SELECT * REPLACE (xor(b, a) AS b) FROM {source})", "b")
+    return f"SELECT replicate, cut, (b * 2097152 + (a >> 11)) / 9007199254740992.0 AS u FROM {source}"
+
+
+def _level_sql(d: int) -> str:
+    """Nodes of one level split over their halves; the distribution of each cut and number of draws is listed once."""
+    return f""", n{d} AS MATERIALIZED (SELECT k.i, k.m, (((2 * k.i + 1) * gs) // {2 ** (d + 1)})::BIGINT AS cut, y.c - x.c AS wl, z.c - y.c AS wr
+  FROM (SELECT DISTINCT i, m FROM l{d}) k, gn JOIN cb x ON x.b = (k.i * gs) // {2**d} JOIN cb y ON y.b = ((2 * k.i + 1) * gs) // {2 ** (d + 1)} JOIN cb z ON z.b = ((k.i + 1) * gs) // {2**d})
+, t{d} AS MATERIALIZED (SELECT i, m, list(s ORDER BY k) AS upto FROM (SELECT i, m, k, sum(exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + k * ln(wl / (wl + wr)) + (m - k) * ln(wr / (wl + wr)))) OVER (PARTITION BY i, m ORDER BY k) AS s
+  FROM (SELECT i, m, wl::DOUBLE AS wl, wr::DOUBLE AS wr, unnest(range(m + 1)) AS k FROM n{d} WHERE wl > 0 AND wr > 0)) GROUP BY 1, 2)
+, k{d} AS MATERIALIZED (SELECT l.replicate, l.i, l.m, CASE WHEN n.wl = 0 THEN 0 WHEN n.wr = 0 THEN l.m ELSE least(l.m, len(list_filter(t.upto, lambda v: v <= us.u))) END AS k
+  FROM l{d} l JOIN n{d} n ON n.i = l.i AND n.m = l.m LEFT JOIN t{d} t ON t.i = l.i AND t.m = l.m LEFT JOIN us ON us.replicate = l.replicate AND us.cut = n.cut AND n.wl > 0 AND n.wr > 0)
+, l{d + 1} AS MATERIALIZED (SELECT * FROM (SELECT replicate, 2 * i AS i, k AS m FROM k{d} UNION ALL SELECT replicate, 2 * i + 1, m - k FROM k{d}) WHERE m > 0)"""
+
+
+def _counts_sql(reps: int) -> str:
+    """dr: the groups of scores and label with their counts (m) in each replicate, by the tree of binomials."""
+    return (
+        PR
+        + f""", gr AS (SELECT prob, prob_b, y, count(*) AS w FROM pr WHERE y IS NOT NULL GROUP BY 1, 2, 3)
+, gp AS MATERIALIZED (SELECT *, row_number() OVER w - 1 AS g, (sum(w) OVER w)::BIGINT - w AS c FROM gr WINDOW w AS (ORDER BY prob NULLS FIRST, prob_b NULLS FIRST, y))
+, gn AS MATERIALIZED (SELECT count(*)::BIGINT AS gs, sum(w)::BIGINT AS n FROM gp)
+, cb AS MATERIALIZED (SELECT g AS b, c FROM gp UNION ALL SELECT gs, n FROM gn)
+, us AS MATERIALIZED ({_uniform_sql(reps)})
+, l0 AS (SELECT r.i AS replicate, 0::BIGINT AS i, n AS m FROM range({reps}) r(i), gn)"""
+        + "".join(map(_level_sql, range(LEVELS)))
+        + f", dr AS MATERIALIZED (SELECT l.replicate, gp.prob, gp.prob_b, gp.y, l.m FROM l{LEVELS} l, gn JOIN gp ON gp.g = (l.i * gs) // {2**LEVELS})"
+    )
+
+
 def _draws_sql(reps: int = REPS) -> str:
-    return PR + f""", ix AS (SELECT *, row_number() OVER (ORDER BY stay_id) - 1 AS pos_no, count(*) OVER () AS n FROM pr)
-, dr AS (SELECT r.i AS replicate, floor(('0x' || substr(md5('2:' || r.i || ':' || s.i), 1, 8))::BIGINT / 4294967296.0 * (SELECT count(*) FROM pr))::BIGINT AS pos_no FROM range({reps}) r(i), range((SELECT count(*) FROM pr)) s(i))
-, pr2 AS (SELECT dr.replicate, m.model, ix.y, CASE m.model WHEN 'a' THEN prob WHEN 'b' THEN prob_b ELSE (prob + prob_b) / 2 END AS prob FROM dr JOIN ix USING (pos_no), (SELECT unnest(['a', 'b', 'c']) AS model) m)
-, g AS (SELECT model, replicate, prob, sum(y)::BIGINT AS pos, sum(1 - y)::BIGINT AS neg FROM pr2 GROUP BY 1, 2, 3)
+    return _counts_sql(reps) + f""", pr2 AS (SELECT dr.replicate, m.model, dr.y, dr.m, CASE m.model WHEN 'a' THEN prob WHEN 'b' THEN prob_b ELSE (prob + prob_b) / 2 END AS prob FROM dr, (SELECT unnest(['a', 'b', 'c']) AS model) m)
+, g AS (SELECT model, replicate, prob, sum(y * m)::BIGINT AS pos, sum((1 - y) * m)::BIGINT AS neg FROM pr2 GROUP BY 1, 2, 3)
 , sg AS (SELECT *, sum(pos) OVER (PARTITION BY model, replicate ORDER BY prob DESC) AS tp, sum(pos) OVER (PARTITION BY model, replicate) AS n_pos, sum(neg) OVER (PARTITION BY model, replicate) AS n_neg FROM g)
 , bs AS (SELECT model, replicate, {AUC} AS metric FROM sg GROUP BY 1, 2 HAVING max(n_pos) > 0 AND max(n_neg) > 0)"""
 
 
+def _counted(spark, sf_dir, reps=REPS):
+    """Groups of both scores and the label, with their counts in each replicate and the mean score."""
+    preds = predictions(spark, sf_dir).select("prob", "prob_b", "y")
+    return R.resampled(preds, ["prob", "prob_b", "y"], reps, SEED).withColumn("prob_c", (F.col("prob") + F.col("prob_b")) / 2)
+
+
 def _bootstrap(spark, sf_dir, reps=REPS):
-    preds = predictions(spark, sf_dir).withColumn("one", F.lit(1).cast("long"))
-    ranked = pinned(global_running(preds, [F.col("stay_id")], {"at": "one"}).withColumn("at", F.col("at") - 1))
-    indexed = _three_models(ranked, "at")
-    return E.bootstrap(indexed, ranked.count(), E.auroc, ["model"], reps, 2)
+    counted = _counted(spark, sf_dir, reps)
+    return pinned(R.replicate_auroc(counted, {"a": "prob", "b": "prob_b", "c": "prob_c"}).where("metric is not null"))
 
 
 def _three_models(preds, *keys):
@@ -238,24 +286,22 @@ def model_table(spark, sf_dir):
     return rows.select(arm, "model", "n", share, *[r6(c).alias(c) for c in ("auroc", "ci_low", "ci_high", "auprc")])
 
 
+CUTS = (0.1, 0.3, 0.5)
+SCORES = {"length": "prob", "random": "prob_b", "mean": "prob_c"}
+
+
 @query(
     "rule_intervals",
-    "WITH " + PR + f""", ix AS (SELECT *, row_number() OVER (ORDER BY stay_id) - 1 AS pos_no FROM pr)
-, dr AS (SELECT r.i AS replicate, floor(('0x' || substr(md5('2:' || r.i || ':' || s.i), 1, 8))::BIGINT / 4294967296.0 * (SELECT count(*) FROM pr))::BIGINT AS pos_no FROM range({REPS}) r(i), range((SELECT count(*) FROM pr)) s(i))
-, rl AS (SELECT replicate, score, cut, sum((s >= cut AND y = 1)::INT) / nullif(sum(y), 0) AS se FROM (
-   SELECT replicate, y, unnest([{{'score': 'length', 's': prob}}, {{'score': 'random', 's': prob_b}}, {{'score': 'mean', 's': (prob + prob_b) / 2}}], recursive := true) FROM dr JOIN ix USING (pos_no)), (SELECT unnest([0.1, 0.3, 0.5])::DOUBLE AS cut) GROUP BY 1, 2, 3)
+    "WITH " + _counts_sql(REPS) + """, rl AS (SELECT replicate, score, cut, sum(m * (s >= cut AND y = 1)::INT) / nullif(sum(m * y), 0) AS se FROM (
+   SELECT replicate, y, m, unnest([{'score': 'length', 's': prob}, {'score': 'random', 's': prob_b}, {'score': 'mean', 's': (prob + prob_b) / 2}], recursive := true) FROM dr), (SELECT unnest([0.1, 0.3, 0.5])::DOUBLE AS cut) GROUP BY 1, 2, 3)
 SELECT score, cut, round(quantile_cont(se, 0.025), 6) AS ci_low, round(quantile_cont(se, 0.975), 6) AS ci_high FROM rl WHERE se IS NOT NULL GROUP BY 1, 2""",
 )
 def rule_intervals(spark, sf_dir):
     """Three scores at fixed cut-offs, with intervals of the sensitivity."""
-    preds = predictions(spark, sf_dir).withColumn("one", F.lit(1).cast("long"))
-    ranked = pinned(global_running(preds, [F.col("stay_id")], {"at": "one"}).withColumn("at", F.col("at") - 1))
-    drawn = E.draws(ranked.count(), REPS, 2, spark).hint("merge").join(ranked, "at")
-    scores = {"length": F.col("prob"), "random": F.col("prob_b"), "mean": (F.col("prob") + F.col("prob_b")) / 2}
-    hits = {(n, c): F.try_divide(F.count_if((s >= c) & (F.col("y") == 1)), F.sum("y")) for n, s in scores.items() for c in (0.1, 0.3, 0.5)}
-    found = drawn.groupBy("replicate").agg(F.array(*[F.struct(F.lit(n).alias("score"), F.lit(c).alias("cut"), v.alias("metric")) for (n, c), v in hits.items()]).alias("r"))
-    values = found.select(F.explode("r").alias("r")).select("r.*").where("metric is not null")
-    rows = E.interval(values, ["score", "cut"])
+    rules = {f"{n}:{c}": ((F.col(s) >= c) & (F.col("y") == 1), F.col("y") == 1) for n, s in SCORES.items() for c in CUTS}
+    values = R.replicate_rates(_counted(spark, sf_dir), rules).where("metric is not null")
+    rule = F.split("rate", ":")
+    rows = E.interval(values.select(rule[0].alias("score"), rule[1].cast("double").alias("cut"), "metric"), ["score", "cut"])
     return rows.select("score", "cut", r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"))
 
 
