@@ -16,9 +16,13 @@ from cohortspark.operators.ordering import GROUPS, global_running, group_quantil
 from cohortspark.sources.staging import pinned
 
 
-def score_groups(preds: DataFrame, keys: list[str]) -> DataFrame:
-    """Per distinct score: positives and negatives, and their running totals from the highest score."""
-    groups = preds.groupBy(*keys, "prob").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
+def score_groups(preds: DataFrame, keys: list[str], times: str | None = None) -> DataFrame:
+    """Per distinct score: positives and negatives, and their running totals from the highest score.
+
+    times: a column that says how often a row counts, as the counts of bootstrap replicates do.
+    """
+    often = F.col(times) if times else F.lit(1)
+    groups = preds.groupBy(*keys, "prob").agg(F.sum(F.col("y") * often).cast("long").alias("pos"), F.sum((1 - F.col("y")) * often).cast("long").alias("neg"))
     if not keys:
         return global_running(groups, [F.col("prob").desc()], {"tp": "pos", "fp": "neg"})
     return running_within(groups, keys, [F.col("prob").desc()], {"tp": "pos", "fp": "neg"})
@@ -36,16 +40,16 @@ def _with_totals(groups: DataFrame, keys: list[str]) -> DataFrame:
     return groups.join(F.broadcast(totals) if few else totals.hint("merge"), same).drop(*[f"_{k}" for k in keys])
 
 
-def auroc(preds: DataFrame, keys: list[str]) -> DataFrame:
+def auroc(preds: DataFrame, keys: list[str], times: str | None = None) -> DataFrame:
     """Tie-aware area under the ROC curve; null for runs of one class."""
-    g = score_groups(preds, keys)
+    g = score_groups(preds, keys, times)
     above = F.col("neg") * (F.col("tp") - F.col("pos") + F.col("pos") / 2)
     return g.groupBy(*keys).agg(F.try_divide(F.sum(above), F.sum("pos") * F.sum("neg")).alias("auroc"))
 
 
-def auprc(preds: DataFrame, keys: list[str]) -> DataFrame:
+def auprc(preds: DataFrame, keys: list[str], times: str | None = None) -> DataFrame:
     """Average precision: precision at each distinct score times the recall it adds."""
-    g = score_groups(preds, keys)
+    g = score_groups(preds, keys, times)
     step = F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
     return g.groupBy(*keys).agg(F.try_divide(F.sum(step), F.sum("pos")).alias("auprc"))
 

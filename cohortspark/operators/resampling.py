@@ -148,6 +148,24 @@ def resampled(rows: DataFrame, columns: list[str], replicates: int = 1000, seed:
     return pinned(placed.join(nodes.hint("merge"), "node").drop("node"))
 
 
+def replicate_rows(counted: DataFrame, models: dict[str, str]) -> DataFrame:
+    """(model, replicate, prob, y, times) of the drawn groups, for metrics that are no sums over ranges.
+
+    Here each group is a row in each replicate that draws it.
+    """
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(counts=[np.frombuffer(c, "<i8") for c in batch["counts"]])
+
+    named = F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).cast("double").alias("prob")) for m, c in models.items()])
+    rows = counted.select(named.alias("models"), F.col("y").cast("int").alias("y"), "chunk", "counts")
+    rows = rows.mapInPandas(listed, "models array<struct<model string, prob double>>, y int, chunk long, counts array<long>")
+    rows = rows.select("models", "y", "chunk", F.posexplode("counts").alias("at", "times")).where("times > 0")
+    rows = rows.select(F.explode("models").alias("m"), "y", (F.col("chunk") * CHUNK + F.col("at")).alias("replicate"), "times")
+    return rows.select("m.model", "replicate", "m.prob", "y", "times")
+
+
 _SUMS = "model string, chunk long, part int, pos array<double>, neg array<double>, area array<double>"
 
 

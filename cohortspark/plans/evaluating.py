@@ -305,6 +305,21 @@ def rule_intervals(spark, sf_dir):
     return rows.select("score", "cut", r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"))
 
 
+@query(
+    "rule_table",
+    "WITH " + _draws_sql() + ", ci AS (SELECT model, quantile_cont(metric, 0.025) AS low, quantile_cont(metric, 0.975) AS high FROM bs GROUP BY 1)" + THREE[len(PR):]
+    + f", cu AS (SELECT unnest([0.1, 0.3, 0.5])::DOUBLE AS threshold), cm AS (SELECT model, threshold, {COUNTS} FROM (SELECT *, prob >= threshold AS a FROM lm, cu) GROUP BY 1, 2)" + RATES
+    + f" SELECT model, threshold, {OUT}, round(lr.auroc, 6) AS auroc, round(low, 6) AS ci_low, round(high, 6) AS ci_high FROM me JOIN lr USING (model) JOIN ci USING (model)",
+)
+def rule_table(spark, sf_dir):
+    """Every count and ratio of three scores at fixed cut-offs, with the score's AUROC and its interval."""
+    rows = pinned(_three_models(predictions(spark, sf_dir), "stay_id"))
+    cuts = spark.createDataFrame([(m, c) for m in "abc" for c in CUTS], "model string, threshold double")
+    rated = _rounded(E.confusion(rows, cuts, ["model"]))
+    rates = E.auroc(rows, ["model"]).join(E.interval(_bootstrap(spark, sf_dir), ["model"]).hint("merge"), "model")
+    return rated.join(rates.select("model", *[r6(c).alias(c) for c in ("auroc", "ci_low", "ci_high")]).hint("merge"), "model")
+
+
 @query("align_predictions", "WITH " + PR + " SELECT stay_id, y, prob AS prob_a, prob_b FROM pr WHERE stay_id % 3 <> 0 AND stay_id % 5 <> 0")
 def align_predictions(spark, sf_dir):
     """Two models' predictions on the ids that both have."""

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohortspark.operators import evaluation as E
 from cohortspark.operators import resampling as R
 
 
@@ -74,6 +75,17 @@ def test_metrics_are_those_of_the_drawn_rows(spark):
         for model, at in (("a", 0), ("b", 1)):
             pairs = [(-1.0 if k[at] is None else k[at], k[2], int(v[rep])) for k, v in found.items()]
             assert got[model, rep] == pytest.approx(plain_auroc(pairs), abs=1e-12)
+    precision = {(r.model, r.replicate): r.auprc for r in E.auprc(R.replicate_rows(counted, {"a": "prob", "b": "other"}), ["model", "replicate"], "times").collect()}
+    again = {(r.model, r.replicate): r.auroc for r in E.auroc(R.replicate_rows(counted, {"a": "prob"}), ["model", "replicate"], "times").collect()}
+    assert all(again["a", rep] == pytest.approx(got["a", rep], abs=1e-12) for rep in range(260))
+    for rep in (3, 251):
+        drawn = sorted(((k[0], k[2], int(v[rep])) for k, v in found.items()), reverse=True)
+        n_pos, area = sum(m for _, y, m in drawn if y == 1), 0.0
+        for p in {p for p, _, _ in drawn}:
+            above = [(y, m) for q, y, m in drawn if q >= p]
+            here = sum(m for q, y, m in drawn if q == p and y == 1)
+            area += here * sum(m for y, m in above if y == 1) / max(1, sum(m for _, m in above))
+        assert precision["a", rep] == pytest.approx(area / n_pos, abs=1e-12)
     rates = {(r.rate, r.replicate): r.metric for r in R.replicate_rates(counted, {"se": ((F.col("other") >= 0.5) & (F.col("y") == 1), F.col("y") == 1)}).collect()}
     for rep in (0, 255):
         hits = sum(v[rep] for k, v in found.items() if k[2] == 1 and (k[1] or 0) >= 0.5)
