@@ -20,6 +20,9 @@ SPLITS = {
     "test": "test", "te": "test", "testing": "test",
 }
 
+#: Log of the chance to stay free where one control is left for a match: below that of any hash.
+CERTAIN = -40.0
+
 
 def paired(abx: DataFrame, cultures: DataFrame, hours_after: float = 24, hours_before: float = 72) -> DataFrame:
     """Antibiotics (stay_id, abx_time) that pair with a culture, with culture_time and suspicion_time.
@@ -75,12 +78,12 @@ def requested_offsets(offsets: DataFrame, ratio: float = 1.0, seed: int = 0) ->
 
 
 def _ranked(needs: DataFrame, controls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Needs (id, copy, v) and controls (id, v) in one falling order, with counts up to each and the matches up to each need.
+    """Needs (id, copy, v) and controls (id, v, capacity) in one falling order of v, with counts up to each and the matches up to each need.
 
     With c_i controls able to serve need i, i + min(0, min_{j<=i}(c_j - j)) needs can be matched up to i.
     """
-    need = needs.select("v", F.lit(1).alias("kind"), "id", "copy")
-    have = controls.select("v", F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("copy"))
+    need = needs.select("v", F.lit(1).alias("kind"), "id", "copy", F.lit(None).cast(controls.schema["capacity"].dataType).alias("capacity"))
+    have = controls.select("v", F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("copy"), "capacity")
     both = need.unionByName(have).where("v is not null")
     both = both.withColumns({"is_need": F.col("kind").cast("long"), "is_have": (1 - F.col("kind")).cast("long")})
     order = [F.col("v").desc(), F.col("kind"), F.col("id"), F.col("copy")]
@@ -90,13 +93,13 @@ def _ranked(needs: DataFrame, controls: DataFrame) -> tuple[DataFrame, DataFrame
     upto = F.col("i") + F.least(F.lit(0).cast("long"), F.col("least"))
     before = F.col("i") - 1 + F.least(F.lit(0).cast("long"), F.coalesce("least_before", F.lit(0).cast("long")))
     needs = run.select("id", "copy", "v", "i", "c", F.when(upto > before, upto).alias("m"))
-    return needs, ranked.where("kind = 0").select("id", "v", "i", "c")
+    return needs, ranked.where("kind = 0").select("id", "capacity", "c")
 
 
 def _by_rank(needs: DataFrame, controls: DataFrame) -> DataFrame:
     """The m-th need that can be matched takes the m-th control: id, copy, control_id and capacity."""
     found, ranked = _ranked(needs, controls)
-    taken = ranked.select(F.col("id").alias("control_id"), F.col("v").alias("capacity"), F.col("c").alias("m"))
+    taken = ranked.select(F.col("id").alias("control_id"), "capacity", F.col("c").alias("m"))
     return found.join(taken, "m").select("id", "copy", "control_id", "capacity")
 
 
@@ -104,25 +107,38 @@ def match_controls(offsets: DataFrame, controls: DataFrame, lead: float, ratio:
     """Controls for offsets, drawn without replacement among all that can serve them, as many matches as possible.
 
     offsets: positive_id, offset; controls: control_id, capacity (an offset needs capacity >= offset + lead). Taking the
-    longest offsets first and a random free control for each, a control that can serve the matches i >= f stays free
-    with probability prod(1 - 1 / (c_i - m_i + 1)), c_i being the controls able to serve match m_i. Each control is
-    drawn with that very chance by its hash; the drawn ones are matched by rank, and offsets that are left over by rank
-    with those not drawn, which leaves as many matched as any matching. Unmatched offsets keep a null control.
+    longest offsets first and a random free control for each, a control that can serve the matches i >= f is still free
+    after match j with probability prod(1 - 1 / (c_i - m_i + 1)) over i = f..j, c_i being the controls able to serve match
+    m_i. A control's hash, held against this falling curve, gives the match that draws it, or none. Controls are then
+    dealt in the order of these matches: a match takes one that was drawn by it or shortly before, so that a long offset
+    has no longer stays than a random free one. Offsets left over take controls that none drew, by rank. Where this
+    matches fewer than can be matched, as it may where nearly all controls are needed, all pairs are those by rank of
+    the capacities, which are as many as any matching has. Unmatched offsets keep a null control.
     """
     wanted = pinned(requested_offsets(offsets, ratio, seed))
     needs = wanted.select(F.col("positive_id").alias("id"), "copy", (F.col("offset") + lead).alias("v"))
-    pool = pinned(controls.where("capacity is not null").select(F.col("control_id").alias("id"), F.col("capacity").alias("v")))
+    pool = pinned(controls.where("capacity is not null").select(F.col("control_id").alias("id"), F.col("capacity").cast("double").alias("v"), "capacity"))
     found, _ = _ranked(needs, pool)
+    found = pinned(found.where("m is not null"))
     free = F.col("c") - F.col("m") + 1
-    stays = found.where("m is not null").select("v", F.lit(1).alias("kind"), "id", F.when(free > 1, F.log1p(-1 / free)).otherwise(-1e9).alias("w"))
-    both = stays.unionByName(pool.select("v", F.lit(0).alias("kind"), "id", F.lit(0.0).alias("w")))
+    stays = found.select("v", F.lit(1).alias("kind"), "id", "copy", F.when(free > 1, F.log1p(-1 / free)).otherwise(CERTAIN).alias("w"))
+    none = pool.select("v", F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("copy"), F.lit(0.0).alias("w"), "capacity")
     # From the shortest up: all matches that a control can serve lie before it.
-    poured = global_running(both, [F.col("v"), F.col("kind").desc(), F.col("id")], {"log_free": "w"}).where("kind = 0")
-    drawn = pinned(poured.select("id", "v", (hash_uniform(seed, F.col("id")) >= F.exp("log_free")).alias("drawn")))
-    first = pinned(_by_rank(needs, drawn.where("drawn").select("id", "v")))
+    poured = global_running(
+        stays.unionByName(none, allowMissingColumns=True), [F.col("v"), F.col("kind").desc(), F.col("id"), F.col("copy")], {"log_free": "w"}
+    )
+    # A match at the log of what is free after it in the end; a control at the level that its hash asks for.
+    level = F.col("log_free") - F.when(F.col("kind") == 1, F.col("w")).otherwise(F.log(hash_uniform(seed, F.col("id")) + 2.0**-33))
+    poured = poured.withColumns({"level": level, "minus": F.when(F.col("kind") == 1, -F.col("v"))})
+    turns = global_running(poured, [F.col("level").desc(), F.col("kind").desc(), F.col("id"), F.col("copy")], {}, {"least": "minus"})
+    drawn = pinned(turns.where("kind = 0").select("id", "v", "capacity", F.least(F.col("v"), -F.col("least")).alias("turn"), F.col("least").isNotNull().alias("drawn")))
+    first = pinned(_by_rank(needs, drawn.where("drawn").select("id", F.col("turn").alias("v"), "capacity")))
     left = needs.join(first.select("id", "copy").hint("merge"), ["id", "copy"], "left_anti")
-    rest = drawn.join(first.select(F.col("control_id").alias("id")).hint("merge"), "id", "left_anti").select("id", "v")
-    matched = pinned(first.unionByName(_by_rank(left, rest))).withColumnRenamed("id", "positive_id")
+    rest = drawn.join(first.select(F.col("control_id").alias("id")).hint("merge"), "id", "left_anti").select("id", "v", "capacity")
+    matched = pinned(first.unionByName(_by_rank(left, rest)))
+    if matched.count() < found.count():
+        matched = pinned(_by_rank(needs, pool))
+    matched = matched.withColumnRenamed("id", "positive_id")
     return wanted.join(matched.hint("merge"), ["positive_id", "copy"], "left").select("positive_id", "copy", "offset", "control_id", "capacity")
 
 

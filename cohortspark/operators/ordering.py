@@ -45,33 +45,54 @@ def global_running(df: DataFrame, order: list[Column], sums: dict[str, str], min
     return out.drop("_at", "_part", *[f"_start_{n}" for n in (*sums, *mins)])
 
 
-def running_within(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
+def running_within(
+    df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, str], maxes: dict[str, str] | None = None, mins_after: dict[str, str] | None = None
+) -> DataFrame:
     """``df`` with running sums (new column -> column) within each group of ``keys``, whatever the groups' sizes.
 
+    maxes: new column -> column whose largest value up to and with the row is taken. mins_after: new column -> column
+    whose least value from the row to the group's end is taken; both are null where there is none.
+
     The order must be total within a group. Rows are dealt by ranges of keys and order, so that a large group lies in
     many ranges and a range holds many small groups. A range runs by itself; what its first group has in earlier ranges
-    is the sum of their last groups' totals, as all ranges before it that hold the group end with it. One row a range
-    travels for this. Null keys are a group.
+    is the sum of its totals there, and its last group likewise takes over from later ranges. Two rows a range travel for
+    this. Null keys are a group.
     """
+    maxes, mins_after = maxes or {}, mins_after or {}
     placed = df.repartitionByRange(*[F.col(k) for k in keys], *order).sortWithinPartitions(*keys, *order)
     placed = pinned(placed.withColumn("_at", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_at", 33))
     group = F.struct(*keys)
     ends = placed.groupBy("_part").agg(F.min_by(group, "_at").alias("_first"), F.max_by(group, "_at").alias("_last"))
-    totals = placed.groupBy("_part", group.alias("_last")).agg(*[F.sum(c).alias(f"_total_{n}") for n, c in sums.items()])
-    tails = ends.join(totals.withColumnRenamed("_last", "_group").hint("merge"), "_part").where(F.col("_last").eqNullSafe(F.col("_group")))
-    none = [F.lit(0).alias(f"_total_{n}") for n in sums]
-    tails = pinned(tails.select("_part", "_first", "_group", *[f"_total_{n}" for n in sums]))
-    heads = tails.select("_part", F.lit(0).alias("_kind"), F.col("_first").alias("_group"), *none)
-    both = heads.unionByName(tails.select("_part", F.lit(1).alias("_kind"), "_group", *[f"_total_{n}" for n in sums]))
-    before = Window.partitionBy("_group").orderBy("_part", "_kind").rowsBetween(Window.unboundedPreceding, -1)  # two rows a range
-    starts = both.select("_part", "_kind", "_group", *[F.coalesce(F.sum(f"_total_{n}").over(before), F.lit(0)).alias(f"_start_{n}") for n in sums])
-    starts = starts.where("_kind = 0").drop("_kind").withColumnRenamed("_part", "_of")
-    rows = Window.partitionBy("_part", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    run = placed.withColumns({n: F.coalesce(F.sum(c).over(rows), F.lit(0)) for n, c in sums.items()})
+    totals = [F.sum(c).alias(f"_total_{n}") for n, c in sums.items()]
+    totals += [F.max(c).alias(f"_total_{n}") for n, c in maxes.items()] + [F.min(c).alias(f"_total_{n}") for n, c in mins_after.items()]
+    grouped = placed.groupBy("_part", group.alias("_group")).agg(*totals)
+    edges = ends.join(grouped.hint("merge"), "_part").where(F.col("_first").eqNullSafe(F.col("_group")) | F.col("_last").eqNullSafe(F.col("_group")))
+    # Of each range its first and its last group, one row where they are one; a group has a row for each range that it reaches into.
+    edges = pinned(edges.select("_part", "_group", *[f"_total_{n}" for n in (*sums, *maxes, *mins_after)]))
+    reach = Window.partitionBy("_group").orderBy("_part")
+    before, after = reach.rowsBetween(Window.unboundedPreceding, -1), reach.rowsBetween(1, Window.unboundedFollowing)
+    starts = edges.select(
+        F.col("_part").alias("_of"),
+        "_group",
+        *[F.coalesce(F.sum(f"_total_{n}").over(before), F.lit(0)).alias(f"_start_{n}") for n in sums],
+        *[F.max(f"_total_{n}").over(before).alias(f"_start_{n}") for n in maxes],
+        *[F.min(f"_total_{n}").over(after).alias(f"_start_{n}") for n in mins_after],
+    )
+    rows = Window.partitionBy("_part", *keys).orderBy("_at")
+    upto, onwards = rows.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("_part", *keys).orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
+    run = placed.withColumns(
+        {n: F.coalesce(F.sum(c).over(upto), F.lit(0)) for n, c in sums.items()}
+        | {n: F.max(c).over(upto) for n, c in maxes.items()}
+        | {n: F.min(c).over(onwards) for n, c in mins_after.items()}
+    )
     joined = run.join(F.broadcast(starts), (run["_part"] == starts["_of"]) & group.eqNullSafe(starts["_group"]), "left")
-    joined = joined.withColumns({n: F.col(n) + F.coalesce(f"_start_{n}", F.lit(0)) for n in sums})
-    return joined.drop("_at", "_part", "_of", "_group", *[f"_start_{n}" for n in sums])
+    joined = joined.withColumns(
+        {n: F.col(n) + F.coalesce(f"_start_{n}", F.lit(0)) for n in sums}
+        | {n: F.greatest(n, f"_start_{n}") for n in maxes}
+        | {n: F.least(n, f"_start_{n}") for n in mins_after}
+    )
+    return joined.drop("_at", "_part", "_of", "_group", *[f"_start_{n}" for n in (*sums, *maxes, *mins_after)])
 
 
 def group_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:

@@ -6,22 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cohortspark.operators.ordering import running_within
+
 HOUR, DAY = 3600.0, 86400.0
 
 
 def asof(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str) -> DataFrame:
     """``left`` with the nearest right time at or after (next_time) and at or before (previous_time) its own.
 
-    Both sides go through one window per key; equal times match in both directions.
+    Equal times match in both directions; a missing time has no neighbours. Both sides are dealt by ranges of key and
+    time, and a range takes over the last right time of earlier ranges and the next one of later ranges, so that one key
+    of all rows is spread over all tasks.
     """
     row = F.struct(*[F.col(c) for c in left.columns])
-    a = left.select(F.col(key), F.col(left_time).alias("t"), F.lit(None).cast("double").alias("r"), row.alias("row"))
-    b = right.where(F.col(right_time).isNotNull()).select(key, F.col(right_time).alias("t"), F.col(right_time).alias("r"), F.lit(None).cast(a.schema["row"].dataType).alias("row"))
-    window = Window.partitionBy(key).orderBy("t")
-    after = F.min("r").over(window.rangeBetween(0, Window.unboundedFollowing))
-    before = F.max("r").over(window.rangeBetween(Window.unboundedPreceding, 0))
-    both = a.unionByName(b).select("row", after.alias("next_time"), before.alias("previous_time"))
-    return both.where("row is not null").select("row.*", "next_time", "previous_time")
+    time = left.schema[left_time].dataType
+    a = left.select(F.col(key).alias("key"), F.col(left_time).alias("t"), F.lit(1).alias("side"), F.lit(None).cast(time).alias("r"), row.alias("row"))
+    times = right.where(F.col(right_time).isNotNull()).select(F.col(key).alias("key"), F.col(right_time).cast(time).alias("t")).distinct()
+    b = times.select("key", "t", F.lit(0).alias("side"), F.col("t").alias("r"), F.lit(None).cast(a.schema["row"].dataType).alias("row"))
+    # At equal times the right side comes first: it is the previous one, and then also the next.
+    run = running_within(a.unionByName(b), ["key"], [F.col("t"), F.col("side")], {}, {"before": "r"}, {"after": "r"})
+    after = F.when(F.col("before") == F.col("t"), F.col("t")).when(F.col("t").isNotNull(), F.col("after"))
+    return run.where("side = 1").select("row.*", after.alias("next_time"), F.col("before").alias("previous_time"))
 
 
 def point_window(points: DataFrame, cohort: DataFrame, time: str = "charttime") -> DataFrame:

@@ -218,24 +218,26 @@ LEAD = 1000.0
 
 
 def _rank_sql(name: str, needs: str, pool: str) -> str:
-    """CTEs that match needs (id, v) with a pool (id, v) by rank: <name>_m has the needs with their match, <name> the pairs."""
+    """CTEs that match needs (id, v) with a pool (id, v, cap) by rank: <name>_m has the needs with their match, <name> the pairs."""
     return f""", {name}_n AS (SELECT *, row_number() OVER (ORDER BY v DESC, id) AS i FROM {needs}), {name}_h AS (SELECT *, row_number() OVER (ORDER BY v DESC, id) AS c FROM {pool})
 , {name}_c AS (SELECT *, (SELECT count(*) FROM {pool} h WHERE h.v >= n.v) AS c FROM {name}_n n)
 , {name}_r AS (SELECT *, i + least(0, min(c - i) OVER (ORDER BY i)) AS m, i - 1 + least(0, coalesce(min(c - i) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS pm FROM {name}_c)
 , {name}_m AS (SELECT *, c - m + 1 AS free FROM {name}_r WHERE m > pm)
-, {name} AS (SELECT m.id, h.id AS control_id, h.v AS capacity FROM {name}_m m JOIN {name}_h h ON h.c = m.m)"""
+, {name} AS (SELECT m.id, h.id AS control_id, h.cap AS capacity FROM {name}_m m JOIN {name}_h h ON h.c = m.m)"""
 
 
 MATCH = (
     """n AS (SELECT o_orderkey AS id, 0.5 * o_totalprice AS offset_v, 0.5 * o_totalprice + 1000 AS v FROM orders WHERE o_orderpriority = '1-URGENT')
-, h AS (SELECT o_orderkey AS id, o_totalprice AS v FROM orders WHERE o_orderpriority <> '1-URGENT')"""
+, h AS (SELECT o_orderkey AS id, o_totalprice::DOUBLE AS v, o_totalprice AS cap FROM orders WHERE o_orderpriority <> '1-URGENT')"""
     + _rank_sql("w", "n", "h")
-    + """, lg AS (SELECT v, CASE WHEN free > 1 THEN ln(1 - 1.0::DOUBLE / free) ELSE -1e9 END AS x FROM w_m)
-, cum AS (SELECT v, sum(x) OVER (ORDER BY v RANGE UNBOUNDED PRECEDING) AS s FROM lg)
-, dr AS (SELECT h.*, ('0x' || substr(md5('0:' || h.id), 1, 8))::BIGINT / 4294967296.0 >= exp(coalesce(s, 0)) AS drawn FROM h ASOF LEFT JOIN (SELECT v, any_value(s) AS s FROM cum GROUP BY v) c ON h.v >= c.v)
-, d1 AS (SELECT id, v FROM dr WHERE drawn)"""
+    + """, lg AS (SELECT v, id, CASE WHEN free > 1 THEN ln(1 - 1.0::DOUBLE / free) ELSE -40.0 END AS x FROM w_m)
+, cum AS (SELECT v, x, sum(x) OVER (ORDER BY v, id ROWS UNBOUNDED PRECEDING) AS s FROM lg)
+, lv AS (SELECT h.*, coalesce(s, 0) - ln(('0x' || substr(md5('0:' || h.id), 1, 8))::BIGINT / 4294967296.0::DOUBLE + 0.5::DOUBLE / 4294967296.0) AS y
+   FROM h ASOF LEFT JOIN (SELECT v, min(s) AS s FROM cum GROUP BY v) c ON h.v >= c.v)
+, dr AS (SELECT lv.id, lv.v, lv.cap, least(lv.v, m.v) AS turn, m.v IS NOT NULL AS drawn FROM lv ASOF LEFT JOIN (SELECT s - x AS z, v FROM cum) m ON lv.y <= m.z)
+, d1 AS (SELECT id, turn AS v, cap FROM dr WHERE drawn)"""
     + _rank_sql("a", "n", "d1")
-    + """, n2 AS (SELECT * FROM n ANTI JOIN a USING (id)), d2 AS (SELECT id, v FROM dr ANTI JOIN (SELECT control_id AS id FROM a) USING (id))"""
+    + """, n2 AS (SELECT * FROM n ANTI JOIN a USING (id)), d2 AS (SELECT id, v, cap FROM dr ANTI JOIN (SELECT control_id AS id FROM a) USING (id))"""
     + _rank_sql("b", "n2", "d2")
     + """, mt AS (SELECT n.id AS positive_id, n.offset_v, p.control_id, p.capacity FROM n LEFT JOIN (SELECT * FROM a UNION ALL SELECT * FROM b) p USING (id))"""
 )

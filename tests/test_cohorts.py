@@ -56,6 +56,32 @@ def test_controls_are_spread_like_the_feasible_pool(spark):
     assert 0.42 < middle < 0.58
 
 
+def sequential(offsets, capacities, rng):
+    """The plain draw: longest offsets first, a random free control for each."""
+    free, out = list(capacities), []
+    for o in sorted(offsets, reverse=True):
+        fit = [c for c in free if c >= o]
+        if fit:
+            out.append((o, rng.choice(fit)))
+            free.remove(out[-1][1])
+    return out
+
+
+def test_each_offset_gets_a_random_free_control(spark):
+    """Long offsets have no longer stays than the plain draw gives them."""
+    rng = random.Random(1)
+    offsets = [0] * 150 + [300] * 150 + [600] * 150
+    capacities = [rng.random() * 1000 for _ in range(3000)]
+    plain = [pair for _ in range(20) for pair in sequential(offsets, capacities, rng)]
+    want = {o: sum(c for p, c in plain if p == o) / sum(p == o for p, _ in plain) for o in (0, 300, 600)}
+    got = [r for seed in (3, 4, 5) for r in C.match_controls(*frames(spark, offsets, capacities), lead=0.0, seed=seed).collect()]
+    for o in (0, 300, 600):
+        drawn = [r.capacity for r in got if r.offset == o]
+        assert len(drawn) == 450
+        # Standard error of a mean of 450 stays: 14 at most.
+        assert abs(sum(drawn) / 450 - want[o]) < 45, (o, want[o])
+
+
 def test_ratio(spark):
     offsets, capacities = list(range(20)), [100] * 200
     for ratio, n in ((0.5, 10), (1, 20), (3, 60)):

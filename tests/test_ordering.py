@@ -11,6 +11,7 @@ from cohortspark.functions.columns import to_id
 from cohortspark.operators import evaluation as E
 from cohortspark.operators.cohort import normal_cohort
 from cohortspark.operators.ordering import group_quantiles, running_within
+from cohortspark.operators.timeops import asof
 
 
 def groups(seed=1):
@@ -41,6 +42,32 @@ def test_running_within(spark, parts):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_asof_with_one_key_of_most_rows(spark, parts):
+    """Both directions, equal times, a null key, missing times and clashing names; the hot key lies in all ranges."""
+    rng = random.Random(parts)
+    pick = lambda: rng.choice(["hot"] * 12 + ["a", "b", None])
+    left = [(pick(), rng.choice([None, *range(400)]), i) for i in range(900)]
+    right = [(pick(), rng.choice([None, *range(0, 400, 3)])) for _ in range(120)]
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        a = spark.createDataFrame([(k, None if t is None else float(t), i, "x") for k, t, i in left], "g string, at double, r long, before string")
+        b = spark.createDataFrame([(k, None if t is None else float(t)) for k, t in right], "g string, at double")
+        got = {r.r: (r.next_time, r.previous_time, r.before) for r in asof(a, b, "g", "at", "at").collect()}
+        assert asof(a, b.limit(0), "g", "at", "at").where("next_time is null and previous_time is null").count() == len(left)
+        assert asof(a.limit(0), b, "g", "at", "at").collect() == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(got) == len(left)
+    for k, t, i in left:
+        times = [u for g, u in right if g == k and u is not None]
+        after = min((u for u in times if t is not None and u >= t), default=None)
+        before = max((u for u in times if t is not None and u <= t), default=None)
+        assert got[i] == (after, before, "x")
+
+
 def test_group_quantiles(spark):
     rows = [*groups(2), ("empty", -1, 0, None)]
     df = spark.createDataFrame(rows, "g string, k long, n int, v double")
