@@ -10,7 +10,8 @@ their line ends real or written out as in JSON. A token has a header and a paylo
 Spans are code points of the whole text, end exclusive, in order of start, then kind as listed above.
 
 Cases. A null or empty text has no spans. Rows are independent: repeated rows get equal results, ties within a text
-are ordered by kind, an empty table gives an empty result. Very long texts are read whole, one at a time.
+are ordered by kind, an empty table gives an empty result. Very long texts are read whole, one at a time; places that only
+look like the head of a key cost a few decoded lengths each, so that the time grows with the text's length alone.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import base64
 import binascii
 import json
 import re
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,7 +45,7 @@ MIN_VALUE, MIN_ACCESS = 12, 18
 MIN_ENCODED = 34
 
 ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----BEGIN ).)*?)-----END \1-----", re.DOTALL)
-HEADER = re.compile(r"^[ \t]*([A-Za-z][A-Za-z0-9-]*):[ \t]*(.*?)[ \t\r]*$", re.MULTILINE)
+HEADER = re.compile(r"^[ \t]*([A-Za-z][A-Za-z0-9-]*):(.*)$", re.MULTILINE)
 #: The first line of a key that goes on in the next ones: a DER sequence or the OpenSSH mark, in base64 or hex.
 FIRST = re.compile(r"(?<![A-Za-z0-9+/_-])(?=M[A-P]|b3BlbnNz|30)[A-Za-z0-9+/_-]{16,}(?=[ \t]*[\r\n])")
 NEXT = re.compile(r"[ \t]*[\r\n][ \t\r\n]*([A-Za-z0-9+/_-]+)(={0,2})")
@@ -61,78 +63,107 @@ def _decode64(text: str) -> bytes | None:
         return None
 
 
-def _elements(data: bytes) -> list[tuple[int, bytes]] | None:
-    """(tag, content) of DER elements that fill ``data`` exactly; None if lengths do not nest."""
-    found, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data):
+#: The standards' keys have no more elements than these: PKCS#1 with further primes ten, an algorithm two.
+MOST_PARTS, MOST_ALGORITHM = 10, 2
+
+
+def _reader(text: str, start: int, stop: int) -> Callable[[int, int], bytes]:
+    """Bytes a to b of what text[start:stop] encodes in base64 or, beginning with 30, in hex; only what is asked for is decoded."""
+    digits = text.startswith("30", start)
+
+    def read(a: int, b: int) -> bytes:
+        if digits:
+            piece = text[start + 2 * a : min(start + 2 * b, stop)]
+            return bytes.fromhex(piece) if re.fullmatch("(?:[0-9A-Fa-f]{2})*", piece) else b""
+        piece = text[start + a // 3 * 4 : min(start + (b + 2) // 3 * 4, stop)]
+        return (_decode64(piece[: len(piece) - (len(piece) % 4 == 1)]) or b"")[a % 3 : a % 3 + b - a]
+
+    return read
+
+
+def _element(read: Callable[[int, int], bytes], at: int, end: int) -> tuple[int, int, int] | None:
+    """Tag, begin and end of the content of the DER element at ``at``; None if it does not lie within ``end``."""
+    head = read(at, min(at + 6, end))
+    if len(head) < 2:
+        return None
+    tag, size, n = head[0], head[1], 0
+    if size >= 0x80:
+        n = size & 0x7F
+        if not 1 <= n <= 4 or len(head) < 2 + n:
             return None
-        tag, size = data[at], data[at + 1]
-        at += 2
-        if size >= 0x80:
-            n = size & 0x7F
-            if not 1 <= n <= 4 or at + n > len(data):
-                return None
-            size = int.from_bytes(data[at : at + n], "big")
-            if size < 0x80:
-                return None  # DER asks for the short form
-            at += n
-        if at + size > len(data):
+        size = int.from_bytes(head[2 : 2 + n], "big")
+        if size < 0x80:
+            return None  # DER asks for the short form
+    begin = at + 2 + n
+    return (tag, begin, begin + size) if begin + size <= end else None
+
+
+def _elements(read: Callable[[int, int], bytes], at: int, end: int, most: int) -> list[tuple[int, int, int]] | None:
+    """The elements that fill the bytes from ``at`` to ``end`` exactly; None if lengths do not nest or there are more than ``most``."""
+    found = []
+    while at < end:
+        one = _element(read, at, end) if len(found) < most else None
+        if one is None:
             return None
-        found.append((tag, data[at : at + size]))
-        at += size
+        found.append(one)
+        at = one[2]
     return found
 
 
-def _algorithm(data: bytes) -> bool:
-    parts = _elements(data)
-    return bool(parts) and parts[0][0] == 0x06 and len(parts[0][1]) >= 3
-
-
-def is_der_key(data: bytes) -> bool:
-    """Whether the bytes are one private key in DER."""
-    outer = _elements(data) if data[:1] == b"\x30" else None
-    if not outer or len(outer) != 1:
+def _is_der(read: Callable[[int, int], bytes], size: int) -> bool:
+    """Whether ``size`` bytes are one private key in DER, from the heads of its elements."""
+    outer = _element(read, 0, size)
+    if outer is None or outer[0] != 0x30 or outer[2] != size:
         return False
-    parts = _elements(outer[0][1])
+    parts = _elements(read, outer[1], size, MOST_PARTS)
     if not parts or len(parts) < 2:
         return False
-    tags = [t for t, _ in parts]
-    if tags[0] == 0x02 and parts[0][1] in (b"\0", b"\1"):
-        if len(parts) >= 9 and all(t == 0x02 for t in tags[:9]) and all(c for _, c in parts[:9]):
+    tags, sizes = [t for t, _, _ in parts], [e - b for _, b, e in parts]
+
+    def algorithm(i: int) -> bool:
+        inner = _elements(read, parts[i][1], parts[i][2], MOST_ALGORITHM)
+        return bool(inner) and inner[0][0] == 0x06 and inner[0][2] - inner[0][1] >= 3
+
+    if tags[0] == 0x02 and sizes[0] == 1 and (version := read(parts[0][1], parts[0][2])) in (b"\0", b"\1"):
+        if len(parts) >= 9 and all(t == 0x02 for t in tags[:9]) and all(sizes[:9]):
             return True  # PKCS#1
         if tags[1:3] == [0x30, 0x04]:
-            return _algorithm(parts[1][1]) and len(parts[2][1]) >= 16  # PKCS#8
-        if tags[1] == 0x04 and parts[0][1] == b"\1":
-            return 16 <= len(parts[1][1]) <= 66 and all(t in (0xA0, 0xA1) for t in tags[2:]) and len(parts) > 2  # SEC1
-    return tags == [0x30, 0x04] and _algorithm(parts[0][1]) and len(parts[1][1]) >= 32  # encrypted PKCS#8
+            return algorithm(1) and sizes[2] >= 16  # PKCS#8
+        if tags[1] == 0x04 and version == b"\1":
+            return 16 <= sizes[1] <= 66 and all(t in (0xA0, 0xA1) for t in tags[2:]) and len(parts) > 2  # SEC1
+    return tags == [0x30, 0x04] and algorithm(0) and sizes[1] >= 32  # encrypted PKCS#8
 
 
-def _openssh_end(data: bytes) -> int | None:
-    """Where the fields of an OpenSSH private key end by their lengths; None if it is none."""
-    magic, at = b"openssh-key-v1\0", 15
-    if not data.startswith(magic):
-        return None
+def is_der_key(data: bytes) -> bool:
+    """Whether the bytes are one private key in DER."""
+    return _is_der(lambda a, b: data[a:b], len(data))
 
-    def field(at: int) -> int:
-        return at + 4 + int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else len(data) + 1
 
-    for _ in range(3):  # cipher, derivation, its options
-        at = field(at)
-    if at + 4 > len(data):
-        return None
-    keys = int.from_bytes(data[at : at + 4], "big")
-    at += 4
-    if not 1 <= keys <= 16:
+def _openssh_end(read: Callable[[int, int], bytes], size: int) -> int | None:
+    """Where the fields of an OpenSSH private key end by their lengths; None if it is none or they go beyond ``size``."""
+    magic, at = b"openssh-key-v1\0", 15
+    if read(0, 15) != magic:
         return None
-    for _ in range(keys + 1):  # public keys, then the private part
-        at = field(at)
-    return at
+    for part in range(20):  # cipher, derivation, its options; public keys and the private part follow their number
+        head = read(at, at + 4)
+        if len(head) < 4:
+            return None
+        at += 4 + int.from_bytes(head, "big")
+        if at > size:
+            return None
+        if part == 2:
+            keys = int.from_bytes(read(at, at + 4), "big")
+            if not 1 <= keys <= 16:
+                return None
+            at, last = at + 4, 3 + keys
+        if part > 2 and part == last:
+            return at
+    return None
 
 
 def is_openssh_key(data: bytes) -> bool:
     """Whether the bytes are an OpenSSH private key with consistent field lengths."""
-    return _openssh_end(data) == len(data)
+    return _openssh_end(lambda a, b: data[a:b], len(data)) == len(data)
 
 
 def _der_end(data: bytes) -> int | None:
@@ -143,40 +174,29 @@ def _der_end(data: bytes) -> int | None:
     return 2 + n + (int.from_bytes(data[2 : 2 + n], "big") if n else data[1])
 
 
-def wrapped_key(text: str, first: re.Match) -> int | None:
-    """The end of a key whose text goes on over lines after ``first``; the key's own lengths say where."""
-    parts, have, at = [first[0]], len(first[0]), first.end()
-    digits = first[0].startswith("30")
-    if digits:
-        if not re.fullmatch("[0-9A-Fa-f]+", first[0]):
-            return None
-        head = bytes.fromhex(first[0][:16])
-    else:
-        head = _decode64(first[0][:16]) or b""
-    end, wanted = _der_end(head), None
-    if end is not None:
-        wanted = 2 * end if digits else (4 * end + 2) // 3
-    elif not head.startswith(b"openssh-key"):
-        return None
-    while wanted is None or have < wanted:
-        m = NEXT.match(text, at)
-        if not m:
-            break
-        parts.append(m[1])
-        have, at = have + len(m[1]), m.end()
-        if m[2]:
-            break
-    if wanted is None:  # OpenSSH: the fields are read where they all are, then the lines cut there
-        known = "".join(parts)
-        data = _decode64(known[: len(known) - (len(known) % 4 == 1)]) or b""
-        end = _openssh_end(data)
-        if end is None or end > len(data):
-            return None
-        wanted, have, at, parts = (4 * end + 2) // 3, len(first[0]), first.end(), [first[0]]
-        while have < wanted and (m := NEXT.match(text, at)):
+class Lines:
+    """Lines of base64 or hex that follow one another, joined: where each begins and where its text ends."""
+
+    def __init__(self, text: str, first: re.Match) -> None:
+        parts, at = [first[0]], first.end()
+        have = len(first[0])
+        self.begins, self.ends = {first.start(): 0}, {have: at}
+        while m := NEXT.match(text, at):
+            self.begins[m.start(1)] = have
             parts.append(m[1])
             have, at = have + len(m[1]), m.end()
-    return at if have == wanted and len(parts) > 1 and is_key("".join(parts)) else None
+            self.ends[have] = at
+            if m[2]:
+                break
+        self.joined = "".join(parts)
+
+    def key_end(self, first: re.Match) -> int | None:
+        """The end in the text of a key that begins with the line ``first`` and goes on; the key's own lengths say where."""
+        at = self.begins[first.start()]
+        size = _key_size(self.joined, at, len(self.joined))
+        if not size or size <= len(first[0]) or at + size not in self.ends:
+            return None
+        return self.ends[at + size] if is_key(self.joined[at : at + size]) else None
 
 
 def is_encrypted(headers: dict[str, str], text: str) -> bool:
@@ -211,31 +231,30 @@ def is_key(text: str) -> bool:
     return False
 
 
-def _encoded_size(head: str) -> int | None:
-    """Characters of a DER key in base64 or hex without padding, by the length in its first 16 characters."""
-    if head.startswith("30"):
-        end = _der_end(bytes.fromhex(head)) if re.fullmatch("[0-9A-Fa-f]{16}", head) else None
-        return None if end is None else 2 * end
-    end = _der_end(_decode64(head) or b"")
-    return None if end is None else (4 * end + 2) // 3
+def _key_size(text: str, start: int, stop: int) -> int | None:
+    """Characters, without padding, of a key that begins at ``start`` and whose lengths nest before ``stop``; else None.
+
+    Only lengths are decoded, a few dozen at most, so that a place costs the same however long a key it claims.
+    """
+    head = _reader(text, start, stop)(0, 8)
+    if text.startswith("b3BlbnNz", start):
+        end = _openssh_end(_reader(text, start, stop), (stop - start) * 3 // 4)
+        return None if end is None else (4 * end + 2) // 3
+    end = _der_end(head)
+    if end is None:
+        return None
+    size = 2 * end if text.startswith("30", start) else (4 * end + 2) // 3
+    return size if start + size <= stop and _is_der(_reader(text, start, start + size), end) else None
 
 
 def inner_keys(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """Keys within text[start:end], a run of characters of base64 that as a whole is none; their own lengths say where they end."""
     found, at = [], start
-    begins = list(INNER.finditer(text, start, end))
-    marks = [m.start() for m in begins if m[1]] + [end]
-    for m in begins:
-        if m[1]:  # an OpenSSH key has its mark once, so that it ends before the next one
-            marks.pop(0)
-            known = text[m.start() : marks[0]]
-            bytes_ = _openssh_end(_decode64(known[: len(known) - (len(known) % 4 == 1)]) or b"")
-            size = None if bytes_ is None else (4 * bytes_ + 2) // 3
-        else:
-            size = _encoded_size(text[m.start() : m.start() + 16])
+    for m in INNER.finditer(text, start, end):
+        size = _key_size(text, m.start(), end) if m.start() >= at else None
         stop = m.start() + (size or 0)
         whole = stop == end or (stop < end and not text[stop].isalnum())
-        if size and m.start() >= at and whole and is_key(text[m.start() : stop]):
+        if size and whole and is_key(text[m.start() : stop]):
             while stop < len(text) and text[stop] == "=" and stop - m.start() - size < -size % 4:
                 stop += 1
             found.append((m.start(), stop))
@@ -243,6 +262,20 @@ def inner_keys(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return found
 
 
+def _outside(matches: Iterable[re.Match], spans: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """Matches, in order, that begin in none of the spans; ``spans`` may grow by what was found at an earlier match."""
+    ends, seen, reach = sorted(spans), 0, 0
+    new = len(spans)
+    for m in matches:
+        while seen < len(ends) and ends[seen][0] <= m.start():
+            reach, seen = max(reach, ends[seen][1]), seen + 1
+        for s in spans[new:]:
+            reach = max(reach, s[1])
+        new = len(spans)
+        if m.start() >= reach:
+            yield m
+
+
 def find(text: str | None) -> list[tuple[int, int, int]]:
     """(start, end, kind as an index of KINDS) of each span, in order."""
     if not text:
@@ -258,20 +291,22 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
         flat = text.replace("\\n", " \n").replace("\\r", " \r")
     if "PRIVATE KEY-----" in text:
         for m in ARMOUR.finditer(flat):
-            headers = {h[1].lower(): h[2] for h in HEADER.finditer(m[2])}
+            headers = {h[1].lower(): h[2].strip(" \t\r") for h in HEADER.finditer(m[2])}
             body = "".join(HEADER.sub("", m[2]).split())
             if is_key(body) or is_encrypted(headers, body):
                 armoured.append((m.start(), m.end(), 3))
     if ".ey" in flat:
         found += [(m.start(), m.end(), 4) for m in TOKEN.finditer(flat) if is_token(m[1], m[2], m[3])]
-    for m in FIRST.finditer(flat):
-        if not any(s <= m.start() < e for s, e, _ in armoured) and (end := wrapped_key(flat, m)):
+    lines = None
+    for m in _outside(FIRST.finditer(flat), armoured):
+        if lines is None or m.start() not in lines.begins:
+            lines = Lines(flat, m)
+        if end := lines.key_end(m):
             armoured.append((m.start(), end, 3))
     if max(map(len, flat.split()), default=0) >= MIN_ENCODED:
-        for m in ENCODED.finditer(flat):
-            if not any(s <= m.start() < e for s, e, _ in armoured):
-                spans = [m.span()] if is_key(m[0]) else inner_keys(flat, *m.span(1))
-                found += [(s, e, 3) for s, e in spans]
+        for m in _outside(ENCODED.finditer(flat), armoured):
+            spans = [m.span()] if is_key(m[0]) else inner_keys(flat, *m.span(1))
+            found += [(s, e, 3) for s, e in spans]
     return sorted(found + armoured, key=lambda x: (x[0], x[2], x[1]))
 
 

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,3 +157,23 @@ def test_smallest_key():
     key = der(0x30, der(0x02, b"\1") + der(0x04, b"s" * 16) + der(0xA0, b""))
     text = base64.b64encode(key).decode()
     assert len(text.rstrip("=")) == secrets.MIN_ENCODED and kinds(f"see {text} there") == [("key", text)]
+
+
+@pytest.mark.parametrize("end", ["", "\n"])
+def test_time_grows_with_the_length(end):
+    """Five million characters whose every place claims a key of 48 kB, in one run and in lines; a key at the end is found."""
+    claim = base64.b64encode(der(0x30, b"\x02\x01\x00" + bytes(48_000))[:15]).decode()
+    assert claim.startswith("M")
+    text = (claim + "/" * 7 + "+" + end) * (5_000_000 // (len(claim) + 8)) + " " + base64.b64encode(rsa_key()).decode()
+    began = time.process_time()
+    found = secrets.find(text)
+    assert found and found[-1][1] >= len(text) - 2 and time.process_time() - began < 30
+
+
+def test_time_of_marks_and_headers():
+    """Lines that all begin like an OpenSSH key, and armour with a header of spaces."""
+    lines = ("b3BlbnNzaC1rZXktdjEA" + "A" * 44 + "\n") * 30_000
+    armour = "-----BEGIN RSA PRIVATE KEY-----\nDEK-Info:" + " " * 300_000 + "x\n-----END RSA PRIVATE KEY-----"
+    began = time.process_time()
+    assert [k for _, _, k in secrets.find(lines + armour) if k > 2] == []
+    assert time.process_time() - began < 20
