@@ -217,7 +217,7 @@ def _draws_sql(reps: int = REPS) -> str:
 def _counted(spark, sf_dir, reps=REPS):
     """Groups of both scores and the label, with their counts in each replicate and the mean score."""
     preds = predictions(spark, sf_dir).select("prob", "prob_b", "y")
-    return R.resampled(preds, ["prob", "prob_b", "y"], reps, SEED).withColumn("prob_c", (F.col("prob") + F.col("prob_b")) / 2)
+    return R.drawn(preds, ["prob", "prob_b", "y"], reps, SEED).withColumn("prob_c", (F.col("prob") + F.col("prob_b")) / 2)
 
 
 def _bootstrap(spark, sf_dir, reps=REPS):

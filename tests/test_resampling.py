@@ -101,3 +101,32 @@ def test_empty_single_and_one_class(spark):
     none = spark.createDataFrame([(None, 1), (0.2, 0)], schema)
     values = {r.metric for r in R.replicate_auroc(R.resampled(none, ["prob", "y"], 40), {"a": "prob"}).collect()}
     assert values == {0.0, None}
+
+
+def test_terms_one_by_one_and_by_table_agree(monkeypatch):
+    rng = np.random.default_rng(5)
+    draws, shares, u = rng.integers(0, 300, 2000), rng.choice([0.01, 0.5, 2 / 3, 0.9999], 2000), rng.random(2000)
+    few = R.binomial(draws, shares, u)
+    monkeypatch.setattr(R, "_FEW", -1)
+    assert (R.binomial(draws, shares, u) == few).all()
+
+
+def test_vectors_take_the_narrowest_width():
+    counts = np.array([[0, 255], [1, 256], [70_000, 2], [2**33, 0], [3, 3]])
+    seen = {}
+    for rows, vectors in R.packed(counts):
+        assert (R.unpacked(vectors, False) == counts[rows]).all()
+        seen |= {int(r): len(v.as_py()) for r, v in zip(rows, vectors, strict=True)}
+    assert [seen[i] for i in range(5)] == [3, 5, 9, 17, 3]
+
+
+def test_drawn_vectors_are_narrow_and_give_the_same_metrics(spark):
+    rows = spark.range(400).selectExpr("if(id % 50 = 0, null, id * 37 % 397 / 400.0D) as prob", "id * 17 % 23 / 22.0D as other", "cast(id * 7 % 5 < 2 as int) as y")
+    table, models = R.drawn(rows, ["prob", "other", "y"], 260, 1), {"a": "prob", "b": "other"}
+    assert {len(r.packed) for r in table.collect()} == {1 + 250, 1 + 10}
+    wide = R.resampled(rows, ["prob", "other", "y"], 260, 1)
+    order = lambda df: sorted(map(tuple, df.collect()))
+    assert order(R.replicate_auroc(table, models)) == order(R.replicate_auroc(wide, models))
+    rates = {"se": ((F.col("other") >= 0.5) & (F.col("y") == 1), F.col("y") == 1), "share": (F.col("y") == 1, F.lit(True))}
+    assert order(R.replicate_rates(table, rates)) == order(R.replicate_rates(wide, rates))
+    assert R.replicate_rows(table, models).exceptAll(R.replicate_rows(wide, models)).count() == 0
