@@ -249,7 +249,8 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, words: int = WORDS, simi
     """``docs`` (doc_id, text and others) with one row of each component: that of the least doc_id.
 
     Links are fingerprints of at most ``max_bits`` differing bits or, if ``similarity`` is given, sets of word shingles
-    of at least that Jaccard similarity. Rows that share the least doc_id compare by a hash of all columns; rows equal
+    of at least that Jaccard similarity: candidates are then what such fingerprints join and what shares a cell of least
+    hashes, and all of them are compared by their whole sets. Rows that share the least doc_id compare by a hash of all columns; rows equal
     in every column count as one.
     """
     hashed, count = fresh(docs, "row_hash"), fresh(docs, "row_count")
@@ -259,10 +260,14 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, words: int = WORDS, simi
         node = "fingerprint_bits"
         parts = with_components(staged(with_fingerprints(thin, words=words).drop("text")), max_bits)
     else:
-        node, marked = "set_key", staged(shingles.with_cells(thin, words).drop("text"))
+        node, marked = "set_key", staged(shingles.with_cells(with_fingerprints(thin, words=words), words).drop("text"))
         texts = thin.select("row_hash", "text")
+        # The empty set is like no other set.
+        prints = marked.where(F.size("cells") > 0).select(F.col("set_key").alias("doc_id"), "fingerprint_bits").distinct()
+        near = with_components(staged(prints), max_bits)
+        near = staged(near.select(F.col("doc_id").alias("set_key"), F.col("component_id").alias("cell")))
         parts = joined_components(
-            marked.drop("cells"), node, lambda _: shingles.link_forest(marked, texts, words, similarity)
+            marked.drop("cells", "fingerprint_bits"), node, lambda _: shingles.link_forest(marked, texts, words, similarity, near)
         )
     first = parts.groupBy("component_id").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("first")

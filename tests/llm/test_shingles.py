@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from cohortspark.llm import shingles, simhash
+from cohortspark.llm.shared import staged
 from tests.llm.test_simhash import brute_fingerprint
 
 
@@ -65,3 +66,21 @@ def test_stage(spark):
             root[a] = root[b] = min(root[a], root[b])
     kept = corpus_pipeline.near_dedup(spark, docs.where("text is not null"), "/root/testdata/sf0.001")
     assert {r.doc_id for r in kept.collect()} == {d for d, r in root.items() if d == r}
+
+
+def test_fingerprints_give_candidates_that_are_checked(spark, monkeypatch):
+    """The stage joins fingerprints by the grid; sets that only these bring together are linked if they are similar."""
+    seen, plain = [], simhash.with_components
+    monkeypatch.setattr(simhash, "with_components", lambda marked, bits: seen.append(bits) or plain(marked, bits))
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "more"])), (3, " ".join(f"x{i}" for i in range(60))), (4, ""), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3, 4] and seen == [simhash.MAX_BITS]
+    marked = [(n, shingles.set_key(shingles.shingle_set(t)), [100 * n + b for b in range(shingles.BANDS)]) for n, t in rows[:3]]
+    keys = [m[1] for m in marked]
+    marked = staged(spark.createDataFrame(marked, "row_hash long, set_key long, cells array<long>"))
+    texts = docs.withColumnRenamed("doc_id", "row_hash")
+    joined = staged(spark.createDataFrame([(k, 7) for k in keys + keys[:1]], "set_key long, cell long"))
+    assert shingles.link_forest(marked, texts).collect() == []
+    edges = shingles.link_forest(marked, texts, joined=joined).collect()
+    assert [{r.a, r.b} for r in edges] == [set(keys[:2])]
