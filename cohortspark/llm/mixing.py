@@ -14,9 +14,10 @@ partitioning. Very long texts are rows as any other: a rest is met to within hal
 empty result. Extra columns pass through, whatever their names.
 
 Scale. Sizes are summed by text and source (128-bit hashes of the texts; a partial sum leaves each task, so groups of
-copies of any size are one row), then by pattern. The driver solves the flow over the ``MAX_PATTERNS`` patterns with
-most words, of up to ``MAX_MEMBERS`` sources each; rows of further shared texts are routed with their source's own
-texts, which changes no quota and leaves no row out. Targets are computed in Spark for any number of sources; sources
+copies of any size are one row), then by pattern. The driver solves the flow of a network of up to ``MAX_PATTERNS``
+patterns and ``MAX_CELLS`` pairs of pattern and source (``route``). A larger one stays in tables, where the same flow is
+found by joins (``route_wide``), for any number of patterns and of sources of a text; both are least in cost, where
+several flows are, they may differ. Targets are computed in Spark for any number of sources; sources
 that share no text take their quota from their own rows without a flow. Within a pattern and source, sizes are summed
 by leading bits of the seeded order (4096 ranges), and only the range that holds the cut is ordered row by row.
 """
@@ -29,17 +30,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortspark.llm.shared import fresh, sent, staged
+from cohortspark.llm.shared import drop_folder, fresh, sent, shared_folder, staged
 from cohortspark.operators.ordering import global_running
 
 SEED = 7
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
 MAX_REPEATS = 2
+#: Up to so many patterns, and pairs of pattern and source, the driver solves the flow; beyond, joins do.
 MAX_PATTERNS = 20_000
-MAX_MEMBERS = 64
+MAX_CELLS = 200_000
 _RANGES = 4096
 _ORDER_BITS = 60
+_BUCKETS = 1024
 
 
 def word_count(text: Column) -> Column:
@@ -151,6 +154,115 @@ def route(patterns: list[int], cells: list[tuple[int, int, int]], quotas: list[i
     return [room[e ^ 1] for e in through]
 
 
+def route_wide(patterns: DataFrame, cells: DataFrame, quotas: DataFrame, most: int = MAX_REPEATS) -> DataFrame:
+    """``route`` over tables of any size: p, s and give of each cell.
+
+    patterns: p, once. cells: p, s, words. quotas: s, quota; each within ``most`` times the words of its cells.
+
+    The levels come one after the other, from the cheapest, as excess at their patterns; the excess goes to the sources
+    with quota left, as far as there is a way over cells with room. What stays at patterns is not offered again: it has
+    no way at later levels either. What stays at sources goes back to patterns, no more to each than its words of this
+    level, so that words of cheaper levels stay in use.
+    """
+    flows, path = _kept(cells.where("words > 0").select("p", "s", (most * F.col("words")).alias("cap"), F.lit(0).cast("long").alias("give")))
+    held = flows.groupBy("p").agg(F.sum("cap").alias("held"))
+    offers = staged(patterns.join(held.hint("merge"), "p").select("p", F.greatest("once", F.lit(1)).alias("once"), "held"))
+    left = staged(quotas.select("s", F.col("quota").alias("over")).where("over > 0"))
+    step = 0
+    while not left.isEmpty():
+        upto = [F.least(F.col("held").cast("double"), F.col("once") * F.lit(2.0**k)).cast("long") for k in (step, step - 1)]
+        offer = upto[0] - upto[1] if step else upto[0]
+        offered = staged(offers.select("p", offer.alias("over")).where("over > 0"))
+        flows, path, over, left = _settled(flows, path, {"p": offered, "s": None}, left, "s")
+        if over["s"] is not None and not over["s"].isEmpty():
+            used = _less(offered, over["p"].withColumnRenamed("over", "moved"), "p")
+            flows, path, _, _ = _settled(flows, path, {"p": None, "s": over["s"]}, used, "p")
+        step += 1
+    out = staged(flows.select("p", "s", "give"))
+    drop_folder(cells.sparkSession, path)
+    return out
+
+
+def _settled(flows: DataFrame, path: str, over: dict, left: DataFrame, side: str) -> tuple[DataFrame, str, dict, DataFrame]:
+    """Flows, excess (``over``, by side) and room left at the nodes of one side, after all excess with a way there went there.
+
+    Steps over cells with room give each node's distance to room that is left. The excess moves a layer nearer at a
+    time, all of a layer at once, from the farthest. What is held up has no room towards the next layer, so that its
+    distance grows; distances are taken again until no excess has one.
+    """
+    other = {"p": "s", "s": "p"}
+    while not left.isEmpty() and any(o is not None and not o.isEmpty() for o in over.values()):
+        layers, moves = _layers(flows, left, side), False
+        for depth in range(len(layers) - 1, 0, -1):
+            a, b = (other[side], side) if depth % 2 else (side, other[side])
+            if over[a] is None:
+                continue
+            moved = _moved(flows, over[a].join(sent(layers[depth]), a, "left_semi"), a, b, layers[depth - 1])
+            if moved.isEmpty():
+                continue
+            flows, path = _carried(flows, path, moved, 1 if a == "p" else -1)
+            over[a], over[b], moves = _less(over[a], moved, a), _more(over[b], moved, b), True
+        if not moves:
+            break
+        met = staged(over[side].join(sent(left.withColumnRenamed("over", "room")), side).select(side, F.least("over", "room").alias("moved")))
+        over[side], left = _less(over[side], met, side), _less(left, met, side)
+    return flows, path, over, left
+
+
+def _kept(df: DataFrame) -> tuple[DataFrame, str]:
+    path = shared_folder(df.sparkSession)
+    return staged(df, path), path
+
+
+def _layers(flows: DataFrame, left: DataFrame, side: str) -> list[DataFrame]:
+    """Nodes by their distance to room left on a side: those that have it, those of the other side with room to these, and so on."""
+    layers = [staged(left.select(side))]
+    seen: dict[str, DataFrame | None] = {"s": None, "p": None, side: layers[0]}
+    there = side
+    while True:
+        here, there = there, "p" if there == "s" else "s"
+        found = flows.where("give < cap" if there == "p" else "give > 0").join(sent(layers[-1]), here, "left_semi").select(there).distinct()
+        if seen[there] is not None:
+            found = found.join(sent(seen[there]), there, "left_anti")
+        found = staged(found)
+        if found.isEmpty():
+            return layers
+        seen[there] = found if seen[there] is None else staged(seen[there].unionByName(found))
+        layers.append(found)
+
+
+def _moved(flows: DataFrame, senders: DataFrame, a: str, b: str, takers: DataFrame) -> DataFrame:
+    """p, s and moved: what the senders' excess moves through their cells to the takers, in order, within the room of each."""
+    room = F.col("cap") - F.col("give") if a == "p" else F.col("give")
+    rows = flows.select("p", "s", room.alias("room")).where("room > 0").join(sent(senders), a).join(sent(takers), b, "left_semi")
+    # Room before each cell: of earlier buckets of the sender's cells, and of earlier cells in the bucket.
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(b), F.lit(_BUCKETS)))
+    parts = rows.groupBy(F.col(a).alias("of"), F.col("bucket").alias("part")).agg(F.sum("room").alias("sum"))
+    parts = parts.withColumn("before", F.sum("sum").over(Window.partitionBy("of").orderBy("part")) - F.col("sum"))
+    run = rows.join(parts.hint("merge"), (F.col(a) == F.col("of")) & (F.col("bucket") == F.col("part")))
+    upto = F.col("before") + F.sum("room").over(Window.partitionBy(a, "bucket").orderBy(b))
+    run = run.withColumn("upto", upto).select("p", "s", F.least("room", F.col("over") - F.col("upto") + F.col("room")).alias("moved"))
+    return staged(run.where("moved > 0"))
+
+
+def _carried(flows: DataFrame, path: str, moved: DataFrame, sign: int) -> tuple[DataFrame, str]:
+    """The flows with what moved, in a new folder; the old one goes."""
+    joined = flows.join(sent(moved), ["p", "s"], "left")
+    now = _kept(joined.select("p", "s", "cap", (F.col("give") + sign * F.coalesce("moved", F.lit(0))).alias("give")))
+    drop_folder(flows.sparkSession, path)
+    return now
+
+
+def _more(over: DataFrame | None, moved: DataFrame, node: str, sign: int = 1) -> DataFrame:
+    rows = moved.select(node, (sign * F.col("moved")).alias("over"))
+    rows = rows if over is None else over.unionByName(rows)
+    return staged(rows.groupBy(node).agg(F.sum("over").alias("over")).where("over > 0"))
+
+
+def _less(over: DataFrame, moved: DataFrame, node: str) -> DataFrame:
+    return _more(over, moved, node, -1)
+
+
 def thin_columns(text: Column, doc_id: Column, seed: int = SEED) -> list[Column]:
     """size, text keys k1 and k2, and at (seeded order) of each document."""
     return [
@@ -176,17 +288,19 @@ def plan(thin: DataFrame, weights=WEIGHTS, share: int = SHARE_PERCENT, most: int
     # A pattern's name: sums over its sources' hashes.
     name = [F.sum(F.xxhash64(F.lit(k), F.col("source")).cast("decimal(38,0)")) for k in (1, 2)]
     shared = texts.groupBy("k1", "k2").agg(F.count("*").alias("members"), F.first("size").alias("size"), F.concat_ws(",", *name).alias("pattern"))
-    shared = staged(shared.where(F.col("members").between(2, MAX_MEMBERS)).select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), "size", "pattern"))
-    chosen = shared.groupBy("pattern").agg(F.sum("size").alias("words")).orderBy(F.desc("words"), "pattern").limit(MAX_PATTERNS)
-    chosen = staged(chosen)
-    shared = staged(shared.join(F.broadcast(chosen.select("pattern")), "pattern").select("s1", "s2", "pattern"))
+    shared = staged(shared.where("members > 1").select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), "size", "pattern"))
+    patterns = staged(shared.groupBy("pattern").agg(F.sum("size").alias("once")))
+    shared = shared.drop("size")
     same_text = (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2"))
     cells = texts.join(sent(shared), same_text).groupBy("pattern", "source").agg(
         F.sum(F.col("n") * F.col("size")).alias("words"), F.sum("size").alias("once")
     )
     cells = staged(cells)
-    found = cells.orderBy("pattern", "source").collect()  # at most MAX_PATTERNS * MAX_MEMBERS rows
-    decided = _routed(spark, found, {r["pattern"]: r["words"] for r in chosen.collect()}, goals, once, most)
+    if patterns.limit(MAX_PATTERNS + 1).count() > MAX_PATTERNS or cells.limit(MAX_CELLS + 1).count() > MAX_CELLS:
+        decided = _routed_wide(cells, patterns, goals, once, most)
+    else:
+        found = cells.orderBy("pattern", "source").collect()  # at most MAX_CELLS rows
+        decided = _routed(spark, found, {r["pattern"]: r["once"] for r in patterns.collect()}, goals, once, most)
     alone = goals.join(sent(staged(cells.select(F.col("source").alias("of")).distinct())), F.col("source").eqNullSafe(F.col("of")), "left_anti")
     alone = alone.select(F.lit("").alias("pattern"), F.col("source").alias("of"), F.floor(F.col("target") + 1e-6).alias("give"), F.col("source_size").alias("words"))
     decided = alone.unionByName(decided) if decided is not None else alone
@@ -241,6 +355,31 @@ def _routed(spark, cells: list, patterns: dict[str, int], goals: DataFrame, once
     return spark.createDataFrame(out, f"pattern string, of {source_type}, give long, words long")
 
 
+def _routed_wide(cells: DataFrame, patterns: DataFrame, goals: DataFrame, once: DataFrame, most: int) -> DataFrame:
+    """The same for a network of any size."""
+    ones = goals.select("source", "source_size", "target", F.lit(1).cast("long").alias("one"))
+    numbered = staged(global_running(ones, [F.col("source").asc_nulls_last()], {"s": "one"}).drop("one"))
+    ids = sent(numbered.select(F.col("source").alias("of"), "s"))
+    pairs = cells.join(ids, F.col("source").eqNullSafe(F.col("of")))
+    pairs = staged(pairs.select(F.col("pattern").alias("p"), "s", "words", "once"))
+    # The own texts of each source: all but those of its cells.
+    texts = once.join(ids, F.col("source").eqNullSafe(F.col("of"))).select("s", F.col("once").alias("all_once"))
+    told = pairs.groupBy("s").agg(F.sum("once").alias("cell_once"), F.sum("words").alias("cell_words"))
+    own = numbered.join(told.hint("merge"), "s").join(texts.hint("merge"), "s")
+    own = staged(
+        own.select(
+            F.concat(F.lit("own "), "s").alias("p"), "s", (F.col("source_size") - F.col("cell_words")).alias("words"),
+            (F.col("all_once") - F.col("cell_once")).alias("once"), F.floor(F.col("target") + 1e-6).alias("quota"),
+        )
+    )
+    all_cells = staged(pairs.select("p", "s", "words").unionByName(own.select("p", "s", "words")))
+    offers = patterns.select(F.col("pattern").alias("p"), "once").unionByName(own.select("p", "once"))
+    given = route_wide(offers, all_cells, own.select("s", "quota"), most)
+    rows = given.join(all_cells.hint("merge"), ["p", "s"]).join(ids, "s")
+    pattern = F.when(F.col("p").startswith("own "), "").otherwise(F.col("p"))
+    return staged(rows.select(pattern.alias("pattern"), "of", "give", "words"))
+
+
 def _range_of(at: Column) -> Column:
     return F.shiftright(at, _ORDER_BITS - (_RANGES.bit_length() - 1)).cast("int")
 

@@ -151,3 +151,61 @@ def test_cases(spark):
     twice = docs.unionByName(docs)  # repeated rows share a decision
     assert mixing.mix(twice)[0].groupBy("doc_id", "size").agg(F.count_distinct("copies").alias("n")).where("n > 1").count() == 0
     assert mixing.repeat_documents(docs.limit(0)).collect() == [] and mixing.mix(docs.limit(0))[0].collect() == []
+
+
+def level_costs(through, once, held):
+    """Words of all patterns by level."""
+    out = {}
+    for words, n, most in zip(through, once, held):
+        for level, room in enumerate(mixing.levels(max(1, n), most)):
+            out[level] = out.get(level, 0) + min(words, room)
+            words -= min(words, room)
+        assert words == 0
+    return {k: v for k, v in out.items() if v}
+
+
+def through_of(cells, given, n):
+    through, held = [0] * n, [0] * n
+    for (p, _, words), g in zip(cells, given):
+        assert 0 <= g <= 2 * words
+        through[p] += g
+        held[p] += 2 * words
+    return through, held
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_flow_over_tables(spark, seed):
+    """The flow by joins fills the quotas with as many words of each level as the driver's; chains of sources need long ways."""
+    rng = random.Random(seed)
+    n, s = (3, 4) if seed == 0 else (8, 4)
+    members = [(i, i + 1) for i in range(n)] if seed == 0 else [rng.sample(range(s), rng.randrange(2, 4)) for _ in range(n)]
+    once = [rng.randrange(1, 50) for _ in range(n)]
+    cells = [(p, q, once[p] * rng.randrange(1, 3)) for p in range(n) for q in members[p]]
+    once += [rng.randrange(1, 60) for _ in range(s)]
+    cells += [(n + q, q, once[n + q]) for q in range(s)]
+    total = [sum(w for _, q, w in cells if q == k) for k in range(s)]
+    quotas = [2 * t if seed == 0 and k == 0 else int(t * rng.choice([0, 0.3, 0.9, 1.4, 2])) for k, t in enumerate(total)]
+    found = mixing.route_wide(
+        spark.createDataFrame([(str(p), w) for p, w in enumerate(once)], "p string, once long"),
+        spark.createDataFrame([(str(p), q, w) for p, q, w in cells], "p string, s long, words long"),
+        spark.createDataFrame(list(enumerate(quotas)), "s long, quota long"),
+    )
+    found = {(int(r.p), r.s): r.give for r in found.collect()}
+    wide = [found[p, q] for p, q, _ in cells]
+    assert [sum(g for (_, q, _), g in zip(cells, wide) if q == k) for k in range(s)] == quotas
+    costs = [level_costs(t, once, h) for t, h in (through_of(cells, g, n + s) for g in (wide, mixing.route(once, cells, quotas)))]
+    assert costs[0] == costs[1]
+
+
+@pytest.mark.parametrize(("sources", "patterns"), [(70, 20_000), (3, 0)])
+def test_no_pattern_is_left_out(spark, monkeypatch, sources, patterns):
+    """Texts of more than 64 sources, and patterns beyond the driver's limit, are patterns of their own."""
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", patterns)
+    rows = [f"all {i % 3}" for i in range(3 * sources)] + [f"own {i} of it" for i in range(3 * sources)]
+    rows = [(n, t, f"s{n // 3 % sources:02}") for n, t in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    thin = shared.staged(docs.select("doc_id", "source", *mixing.thin_columns(F.col("text"), F.col("doc_id"))))
+    decision, texts, _ = mixing.plan(thin)
+    assert texts.count() == 3
+    taken = mixing.copies_of(decision, texts, thin).collect()
+    check([(r.doc_id, r.size, r.size * r.copies) for r in taken], rows)
