@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.errors import IllegalArgumentException, PySparkException
 from pyspark.ml import Pipeline, PipelineModel
@@ -18,6 +19,9 @@ from cohortspark.operators.evaluation import auprc
 from cohortspark.operators.ordering import global_running
 from cohortspark.sources.staging import checkpoints, pinned
 
+#: Rows that a task of a boosted fit takes: a tree has a job a level, whose tasks cost more than the rows of a small one.
+ROWS_A_TASK = 16_384
+
 
 def design_matrix(blocks: list[DataFrame], cohort: DataFrame, drop: list[str] = ()) -> tuple[DataFrame, list[str]]:
     """The blocks' columns joined on stay_id beside the cohort's rows, finite and within 10 000; and their names."""
@@ -79,6 +83,19 @@ def fit(pipeline: Pipeline, matrix: DataFrame) -> PipelineModel:
     return pipeline.fit(matrix.where("split = 'train'"))
 
 
+def fit_all(pipelines: list[Pipeline], matrix: DataFrame) -> list[PipelineModel]:
+    """Boosted pipelines fitted side by side, as the jobs of each come one after the other and leave cores free.
+
+    The training rows are dealt by their number, whatever the cluster, and in order: sampling goes by tasks, so reruns agree.
+    """
+    train = pinned(matrix.where("split = 'train'"))
+    tasks = max(1, -(-train.count() // ROWS_A_TASK))
+    dealt = train.repartition(tasks, "stay_id").sortWithinPartitions("stay_id")
+    checkpoints(matrix.sparkSession)
+    with ThreadPool(len(pipelines)) as pool:
+        return pool.map(lambda p: p.fit(dealt), pipelines)
+
+
 def predict(model: PipelineModel, matrix: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Keys, stay_id, split, y and prob; of a classifier without probabilities, its margin through the logistic function."""
     scored = model.transform(matrix)
